@@ -1 +1,10 @@
-"""Passagework: explainable retrieval and corpus processing as Spark plans."""
+"""Passagework: explainable retrieval and corpus processing as Spark plans.
+
+Functions that run in Python workers are sent by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
