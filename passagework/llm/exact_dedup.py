@@ -212,13 +212,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows go by doc_id; among rows that share both doc_id and text (or have no doc_id), one of each text stays.
     """
-    decided = written(groups(docs).select("doc_id", "keep_id", "kept", "group_size", "text_sha256"), "decided")
-    gone = decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_own", F.sha2(normalised(F.col("text").cast("string")), 256))
-    left = rows.join(gone, (rows["doc_id"].cast("bigint") == gone["_gone"]) & (rows["_own"] == gone["_sha"]), "left_anti")
-    if decided.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty() and decided.where("doc_id is null").isEmpty():
-        return left.drop("_own")
-    nulls = decided.where("keep_id is not null and group_size > 1").select(F.col("text_sha256").alias("_sha")).distinct()
-    left = left.join(nulls, left["doc_id"].isNull() & (left["_own"] == nulls["_sha"]), "left_anti")
-    one = Window.partitionBy("doc_id", "_own").orderBy("_own")
-    return left.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_own")
+    decided = written(groups(docs), "decided")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("bigint").alias("id"), F.sha2(normalised(docs["text"].cast("string")), 256).alias("own"))
+    gone = decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    left = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("own") == F.col("gone_sha")), "left_anti")
+    again = decided.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if not again.isEmpty() or not decided.where("doc_id is null").isEmpty():
+        # rows that doc_id cannot tell apart
+        known = decided.where("keep_id is not null and group_size > 1").select(F.col("text_sha256").alias("known_sha")).distinct()
+        left = left.join(known, F.col("id").isNull() & (F.col("own") == F.col("known_sha")), "left_anti")
+        left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "own").orderBy("own"))).where("nth = 1")
+    return left.select("row.*")

@@ -133,10 +133,14 @@ def mixed(docs: DataFrame, seed: int = 17, most: int = 3) -> DataFrame:
     Documents without words weigh nothing in the mix and are not taken. Rows go by doc_id: rows that share
     one are taken in turn, as often as all of them together.
     """
-    wanted = mix(docs, seed, most).groupBy(F.col("doc_id").alias("_id")).agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    out = docs.join(wanted, docs["doc_id"].cast("bigint").eqNullSafe(wanted["_id"]))
-    turn = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.floor(F.col("_copies") / F.col("_rows")))
-    more = F.col("_copies") - F.floor(F.col("_copies") / F.col("_rows")) * F.col("_rows")
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_rows"))
-    out = out.withColumn("_turn", turn + F.when((F.col("_rows") > 1) & (nth <= more), 1).otherwise(0))
-    return out.where("_turn > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_turn")))).select(*(docs[c] for c in docs.columns))
+    wanted = mix(docs, seed, most).groupBy(F.col("doc_id").alias("wanted_id")).agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("copies"), F.count(F.lit(1)).alias("rows"))
+    wanted = written(wanted, "wanted")
+    body = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("bigint").alias("id"))
+    out = body.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")))
+    if wanted.where("rows > 1").isEmpty():
+        out = out.withColumn("turn", F.col("copies"))
+    else:
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("rows"))
+        each = F.floor(F.col("copies") / F.col("rows"))
+        out = out.withColumn("turn", each + F.when(nth <= F.col("copies") - each * F.col("rows"), 1).otherwise(0))
+    return out.where("turn > 0").withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("turn").cast("bigint")))).select("row.*")
