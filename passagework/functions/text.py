@@ -5,6 +5,9 @@ Lengths are in characters, never bytes.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,11 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f's lambdas use it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def normalise(c: Column) -> Column:
     """CRLF to LF, no blanks at line ends, exactly one final line feed."""
     c = F.regexp_replace(c, "\r\n", "\n")
@@ -118,10 +126,15 @@ def wants_graph(q: Column, n_entities: Column) -> Column:
     return (n_entities >= 2) | ((n_entities == 1) & is_relational(q))
 
 
+def _plain(first: int = 0xC0, last: int = 0x17F) -> tuple[str, str]:
+    """Latin letters that decompose into an ASCII letter and marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(first, last + 1) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def fold(c: Column) -> Column:
     """Latin letters without their accents."""
-    return F.translate(c, "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőřśšťùúûüūůűýÿžźżÀÁÂÃÄÅĀĂĄÇĆČĎÈÉÊËĒĘĚÌÍÎÏĪŁÑŃŇÒÓÔÕÖØŌŐŘŚŠŤÙÚÛÜŪŮŰÝŸŽŹŻ",
-                       "aaaaaaaaacccdeeeeeeeiiiiilnnnooooooooorsstuuuuuuuyyzzzAAAAAAAAACCCDEEEEEEEIIIIILNNNOOOOOOOORSSTUUUUUUUYYZZZ")
+    return F.translate(c, *_plain())
 
 
 def tidy_name(c: Column) -> Column:
@@ -144,11 +157,13 @@ def digit_signature(key: Column) -> Column:
 
 def entropy(key: Column) -> Column:
     """Bits a character."""
-    letters = F.split(key, "")
-    letters = F.filter(letters, lambda x: x != "")
-    n = F.size(letters).cast("double")
-    shares = F.transform(F.array_distinct(letters), lambda x: F.size(F.filter(letters, lambda y: y == x)) / n)
-    return F.aggregate(F.array_sort(shares), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    def of(letters: Column) -> Column:
+        n = F.size(letters).cast("double")
+        shares = F.transform(F.array_distinct(letters), lambda x: F.size(F.filter(letters, lambda y: y == x)) / n)
+        return F.aggregate(F.array_sort(shares), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    return bound(F.filter(F.split(key, ""), lambda x: x != ""), of)
 
 
 def ambiguous(key: Column) -> Column:
@@ -162,7 +177,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def candidate_keys(q: Column) -> Column:
     """Keys of every run of one to three words, two characters at least."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(q, r"\s+", " ")), " "), lambda w: w != "")
+    return bound(F.filter(F.split(F.trim(F.regexp_replace(q, r"\s+", " ")), " "), lambda w: w != ""), _run_keys)
+
+
+def _run_keys(words: Column) -> Column:
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i + n - 1 <= F.size(words)), lambda i: F.array_join(F.slice(words, i, n), " "))))
     return F.array_distinct(F.filter(F.transform(runs, entity_key), lambda k: F.length(k) >= 2))
 
@@ -178,9 +196,12 @@ def fields(c: Column) -> Column:
 
 def word_grams(c: Column, n: int = 3, least_words: int = 8) -> Column:
     """Distinct lower-case word n-grams; none for a text of fewer than `least_words` words."""
-    words = fields(F.lower(c))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.when(F.size(words) >= max(least_words, n), grams).otherwise(F.array().cast("array<string>"))
+
+    def of(words: Column) -> Column:
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))
+        return F.when(F.size(words) >= max(least_words, n), grams).otherwise(F.array().cast("array<string>"))
+
+    return bound(fields(F.lower(c)), of)
 
 
 def cited_chunks(c: Column) -> Column:
@@ -210,11 +231,12 @@ def yaml_quoted(c: Column) -> Column:
 
 def cut_lines(c: Column, budget: int) -> Column:
     """Whole lines while their words, and one more a line, stay within the budget; the first line always."""
-    lines = F.split(c, "\n")
-    cost = F.transform(lines, lambda x: F.size(fields(x)) + 1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.aggregate(F.slice(cost, 1, i), F.lit(0), lambda a, x: a + x))
-    keep = F.greatest(F.lit(1), F.size(F.filter(ends, lambda e: e <= budget)))
-    return F.array_join(F.slice(lines, 1, keep), "\n")
+    kept = F.aggregate(
+        F.split(c, "\n"), F.struct(F.lit("").alias("text"), F.lit(0).alias("lines"), F.lit(0).alias("spent")),
+        lambda a, x: bound(a["spent"] + F.size(fields(x)) + 1, lambda spent: F.when((a["lines"] == 0) | (spent <= budget), F.struct(F.when(a["lines"] == 0, x).otherwise(F.concat(a["text"], F.lit("\n"), x)).alias("text"), (a["lines"] + 1).alias("lines"), spent.alias("spent")))
+                         .otherwise(F.struct(a["text"].alias("text"), a["lines"].alias("lines"), F.greatest(spent, F.lit(budget + 1)).alias("spent")))),
+    )
+    return kept["text"]
 
 
 def is_number(c: Column) -> Column:

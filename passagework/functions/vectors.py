@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,33 +25,37 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def truncate_normalize(v: Column, n: int) -> Column:
-    """The first n dimensions at unit length; a zero vector stays."""
+    """The first n dimensions at unit length; a zero vector stays. """
     head = F.transform(F.slice(v, 1, n), lambda x: x.cast("double"))
-    size = F.sqrt(dot(head, head))
-    return F.when(size > 0, F.transform(head, lambda x: x / size)).otherwise(head)
+    return bound(F.sqrt(dot(head, head)), lambda size: F.when(size > 0, F.transform(head, lambda x: x / size)).otherwise(head))
+
+
+def _direction(word: str, dim: int) -> np.ndarray:
+    seed = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+    return np.random.default_rng(seed).standard_normal(dim)
 
 
-def hash_embed(text: str, dim: int = 256) -> np.ndarray:
-    """Sum over words (letters and digits, lower case) of (1 + ln tf) times a fixed gaussian direction of the word; unit length."""
+def hash_embed(text: str, dim: int = 256, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Sum over words (letters and digits, lower case) of (1 + ln tf) times a fixed gaussian direction of the word; unit length.
+
+    known: directions met before, kept up to a bound.
+    """
+    known = {} if known is None else known
     words: dict[str, int] = {}
     for w in "".join(c if c.isalnum() else " " for c in text.lower()).split():
         words[w] = words.get(w, 0) + 1
+    if len(known) > 50_000:
+        known.clear()
     out = np.zeros(dim)
     for w, n in sorted(words.items()):
-        seed = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        out += (1 + np.log(n)) * np.random.default_rng(seed).standard_normal(dim)
+        v = known.get(w)
+        if v is None:
+            v = known[w] = _direction(w, dim)
+        out += (1 + np.log(n)) * v
     size = np.linalg.norm(out)
     return (out / size if size else out).astype(np.float32)
 
 
-def bucket_embed(c: Column, dim: int = 64) -> Column:
-    """A hashed bag of words in the JVM: signed counts by `crc32` bucket, unit length. For corpora where Python per text is too slow."""
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    h = F.transform(words, lambda w: F.crc32(w.cast("binary")))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when(x % dim == i, F.when(F.shiftright(x, 20) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    return truncate_normalize(counts, dim)
-
-
 def embedder(encode: Callable[[list[str]], np.ndarray], batch: int = 16, halvings: int = 2):
     """A pandas UDF over texts. A failing batch is retried text by text; a text that is too long is halved, `halvings` times at most, then null."""
 
@@ -77,7 +83,8 @@ def embedder(encode: Callable[[list[str]], np.ndarray], batch: int = 16, halving
 
 
 def hash_encoder(dim: int = 256) -> Callable[[list[str]], np.ndarray]:
-    return lambda texts: np.stack([hash_embed(t, dim) for t in texts])
+    known: dict[str, np.ndarray] = {}
+    return lambda texts: np.stack([hash_embed(t, dim, known) for t in texts])
 
 
 class StaticEncoder:

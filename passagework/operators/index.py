@@ -84,10 +84,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, depth: int | None = 100, flo
 
     Every query is compared with every vector: the queries are the stated side (a batch of requests), so they alone are broadcast.
     """
-    unit = lambda c: V.truncate_normalize(F.col(c), 1 << 20)
-    q = queries.select("query_id", unit("vector").alias("q"))
-    v = vectors.select("id", unit("embedding").alias("v"))
-    scored = v.crossJoin(F.broadcast(q)).select("query_id", "id", V.dot(F.col("q"), F.col("v")).alias("raw"))
+    sized = lambda df, key, c, to: df.select(key, F.transform(c, lambda x: x.cast("double")).alias(to)).withColumn(f"{to}_size", F.sqrt(V.dot(F.col(to), F.col(to))))
+    q, v = sized(queries, "query_id", "vector", "q"), sized(vectors, "id", "embedding", "v")
+    size = F.col("q_size") * F.col("v_size")
+    scored = v.crossJoin(F.broadcast(q)).select("query_id", "id", F.when(size > 0, V.dot(F.col("q"), F.col("v")) / size).otherwise(0.0).alias("raw"))
     if floor is not None:
         scored = scored.where(F.col("raw") >= floor)
     return ranked(scored, arm, depth)

@@ -34,10 +34,10 @@ def _hits(name: str) -> str:
 
 def _asked(name: str, pattern: str, trim: bool) -> str:
     words = f"regexp_extract_all(text, '{pattern}')"
-    kept = f"list_filter(w, x -> NOT list_contains({_STOPS}, lower(x)))"
-    one = f"list_transform(k, x -> regexp_replace(x, {_EDGE}, '', 'g'))" if trim else "k"
-    return f"""{name}_queries AS (SELECT query_id, list_transform(range(1, len(d) + 1), i -> d[i]) AS terms FROM (SELECT query_id, list_filter(l, (x, i) -> list_position(l, x) = i) AS d FROM (
-        SELECT query_id, list_transform(list_filter({one}, x -> length(x) > 1), x -> lower(x)) AS l FROM (SELECT query_id, CASE WHEN len({kept}) = 0 THEN w ELSE {kept} END AS k FROM (SELECT item_id AS query_id, {words} AS w FROM benchmark)))))"""
+    kept = f"list_filter(w, lambda x: NOT list_contains({_STOPS}, lower(x)))"
+    one = f"list_transform(k, lambda x: regexp_replace(x, {_EDGE}, '', 'g'))" if trim else "k"
+    return f"""{name}_queries AS (SELECT query_id, list_transform(range(1, len(d) + 1), lambda i: d[i]) AS terms FROM (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS d FROM (
+        SELECT query_id, list_transform(list_filter({one}, lambda x: length(x) > 1), lambda x: lower(x)) AS l FROM (SELECT query_id, CASE WHEN len({kept}) = 0 THEN w ELSE {kept} END AS k FROM (SELECT item_id AS query_id, {words} AS w FROM benchmark)))))"""
 
 
 #: Views in order; a query gets those that it names, and those that these name.
@@ -46,13 +46,13 @@ VIEWS = {
         'doc://' || source || '/' || doc_id AS uri, {EPOCH} + doc_id * 3600000 AS updated_at,
         CASE WHEN toxic = 1 THEN 'agent' WHEN quality = 1 THEN 'curated' ELSE 'user' END AS trust FROM documents LEFT JOIN labels USING (doc_id))""",
     "lines": "lines AS (SELECT doc_id, unnest(range(len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
-    "exact_tokens": rf"exact_tokens AS (SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_.:/-]+'), x -> regexp_replace(x, {_EDGE}, '', 'g')), x -> x <> '') AS tokens FROM documents)",
+    "exact_tokens": rf"exact_tokens AS (SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_.:/-]+'), lambda x: regexp_replace(x, {_EDGE}, '', 'g')), lambda x: x <> '') AS tokens FROM documents)",
     "word_tokens": r"word_tokens AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tokens FROM documents)",
     "keyword_queries": _asked("keyword", r"[\p{L}\p{N}_]+", False),
     "exact_queries": _asked("exact", r"[\p{L}\p{N}_.:/-]+", True),
     "exact_hits": _hits("exact"),
     "keyword_hits": _hits("keyword"),
-    "token_counts": r"""token_counts AS (SELECT doc_id AS id, floor((list_sum(list_transform(list_concat(['a'], regexp_extract_all(text, '[A-Za-z0-9]+')), w -> greatest(14, 2 * length(w)))) - 14
+    "token_counts": r"""token_counts AS (SELECT doc_id AS id, floor((list_sum(list_transform(list_concat(['a'], regexp_extract_all(text, '[A-Za-z0-9]+')), lambda w: greatest(14, 2 * length(w)))) - 14
         + 12 * length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + 5 * len(regexp_extract_all(text, '[^A-Za-z0-9\x09-\x0D \x{80}-\x{10FFFF}]+')) + 5) / 10) AS tokens FROM documents)""",
     "hashed": r"""hashed AS (SELECT doc_id, 'sha256:' || sha256(regexp_replace(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '\n+\z', '') || chr(10)) AS hash FROM documents)""",
     "revisions": f"""revisions AS (SELECT o_orderkey AS id, 'c' || o_custkey % 10 AS namespace, o_orderpriority AS version, epoch_ms(o_orderdate) AS created_at, lead(o_orderkey) OVER w AS superseded_by,
@@ -163,11 +163,11 @@ class Tables:
     def corpus(self) -> S.Corpus:
         docs = self.docs.withColumn("deleted_at", F.lit(None).cast("bigint")).withColumn("superseded_by", F.lit(None).cast("bigint"))
         passages = self.docs.select("id", F.col("id").alias("document_id"), F.lit(0).alias("ord"), "text", X.estimate_tokens(F.col("text")).alias("est_tokens"), F.lit("").alias("context_header"))
-        return S.Corpus(passages, docs, self.docs.select("id", V.bucket_embed(F.col("text")).alias("embedding")))
+        return S.Corpus(passages, docs, self.docs.select("id", V.embedder(V.hash_encoder(64))(F.col("text")).alias("embedding")))
 
     def search(self, profile: str, arms: list[str]) -> DataFrame:
-        text = F.col("text")
-        queries = self.benchmark.select(F.col("item_id").alias("query_id"), text.alias("query"), X.query_terms(text).alias("terms"), X.query_terms(text, True).alias("exact_terms"), V.bucket_embed(text).alias("vector"))
+        text, embed = F.col("text"), V.embedder(V.hash_encoder(64))
+        queries = self.benchmark.select(F.col("item_id").alias("query_id"), text.alias("query"), X.query_terms(text).alias("terms"), X.query_terms(text, True).alias("exact_terms"), embed(text).alias("vector"))
         found = S.search(self.corpus(), queries, arms, PROFILES[profile], now_ms=NOW, token_budget=4000)
         return found.select("query_id", "position", "id", F.round("final", 6).alias("final"), "band", F.transform("arms", lambda a: a["arm"]).alias("arms"))
 

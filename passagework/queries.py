@@ -76,7 +76,7 @@ def collection_stats(t):
     return tokens.agg(F.count(F.lit(1)).alias("n_docs"), R(F.avg("size")).alias("avg_size"), F.sum("size").alias("tokens"))
 
 
-@query("SELECT id, n FROM (SELECT id, len(list_filter(range(1, len(tokens)), i -> tokens[i] = 'and' AND tokens[i + 1] = 'the')) AS n FROM word_tokens) WHERE n > 0")
+@query("SELECT id, n FROM (SELECT id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'and' AND tokens[i + 1] = 'the')) AS n FROM word_tokens) WHERE n > 0")
 def phrase_match(t):
     post = index.postings(index.tokenised(t.documents, "doc_id", F.col("text")))
     return index.phrase(post, ["and", "the"]).select("id", F.col("n").cast("bigint").alias("n"))
@@ -99,7 +99,7 @@ def semantic_topk_batch(t):
     return _near(t).select("query_id", "id", "rank", R("raw").alias("raw"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(h, x -> x * x)), 6) AS size2, round(h[1] / sqrt(list_sum(list_transform(h, x -> x * x))), 6) AS first FROM (SELECT vec_id, (embedding::DOUBLE[])[1:16] AS h FROM embeddings)")
+@query("SELECT vec_id, round(list_sum(list_transform(h, lambda x: x * x)), 6) AS size2, round(h[1] / sqrt(list_sum(list_transform(h, lambda x: x * x))), 6) AS first FROM (SELECT vec_id, (embedding::DOUBLE[])[1:16] AS h FROM embeddings)")
 def truncate_normalize(t):
     head = F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double"))
     return t.embeddings.select("vec_id", R(V.dot(head, head)).alias("size2"), R(V.truncate_normalize(F.col("embedding"), 16)[0]).alias("first"))
@@ -200,7 +200,7 @@ def exclude_seen(t):
 
 
 @query("""SELECT query_id, id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit DESC, rank) AS position FROM (
-    SELECT query_id, id, rank, CASE WHEN len(q.terms) > 0 THEN len(list_filter(q.terms, x -> list_contains(w.tokens, x)))::DOUBLE / len(q.terms) ELSE 0 END AS hit
+    SELECT query_id, id, rank, CASE WHEN len(q.terms) > 0 THEN len(list_filter(q.terms, lambda x: list_contains(w.tokens, x)))::DOUBLE / len(q.terms) ELSE 0 END AS hit
     FROM exact_hits h JOIN keyword_queries q USING (query_id) JOIN word_tokens w USING (id) WHERE rank <= 10))""")
 def rerank_overlap(t):
     rows = _bm25(t, True).join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
@@ -331,7 +331,7 @@ def markdown_chunks(t):
     return ingest.passages(docs).select("document_id", "ord", "section_path", "est_tokens", F.length("text").alias("chars"), "context_header")
 
 
-@query(r"SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS sentences FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '') AS s FROM documents)")
+@query(r"SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS sentences FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)")
 def sentence_split(t):
     s = X.sentences(F.col("text"), r".!?\n")
     return t.documents.select("doc_id", F.size(s).cast("bigint").alias("n"), F.md5(F.array_join(s, "|").cast("binary")).alias("sentences"))
@@ -536,7 +536,7 @@ def find_entities(t):
     return graph.find_entities(entities, none, asked)
 
 
-@query("SELECT p_partkey, len(g)::BIGINT AS n, array_to_string(g[1:4], '|') AS first FROM (SELECT p_partkey, list_transform(range(1, length(s) - 1), i -> substr(s, i, 3)) AS g FROM (SELECT p_partkey, '  ' || regexp_replace(lower(p_name), '[ _-]', '', 'g') || ' ' AS s FROM part))")
+@query("SELECT p_partkey, len(g)::BIGINT AS n, array_to_string(g[1:4], '|') AS first FROM (SELECT p_partkey, list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) AS g FROM (SELECT p_partkey, '  ' || regexp_replace(lower(p_name), '[ _-]', '', 'g') || ' ' AS s FROM part))")
 def trigrams(t):
     key = X.entity_key(F.col("p_name"))
     padded = F.concat(F.lit("  "), key, F.lit(" "))
@@ -545,14 +545,14 @@ def trigrams(t):
 
 
 @query("""WITH k AS (SELECT p_partkey, regexp_replace(lower(p_name), '[ _-]', '', 'g') AS key FROM part), c AS (SELECT p_partkey, key, unnest(string_split(key, '')) AS x FROM k),
-    f AS (SELECT p_partkey, key, x, count(*)::DOUBLE / length(key) AS p FROM c GROUP BY ALL)
+    f AS (SELECT p_partkey, key, x, count(*)::DOUBLE / length(key) AS p FROM c GROUP BY p_partkey, key, x)
     SELECT p_partkey, round(-sum(p * log2(p)), 6) AS bits, length(any_value(key)) < 5 OR -sum(p * log2(p)) < 15e-1 AS ambiguous FROM f GROUP BY p_partkey""")
 def entropy_gate(t):
     key = X.entity_key(F.col("p_name"))
     return t.part.select("p_partkey", R(X.entropy(key)).alias("bits"), X.ambiguous(key).alias("ambiguous"))
 
 
-_SETS = "g AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(s) - 1), i -> substr(s, i, 3))) AS g FROM (SELECT p_partkey, '  ' || regexp_replace(lower(p_name), '[ _-]', '', 'g') || ' ' AS s FROM part))"
+_SETS = "g AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS g FROM (SELECT p_partkey, '  ' || regexp_replace(lower(p_name), '[ _-]', '', 'g') || ' ' AS s FROM part))"
 
 
 @query(f"""WITH {_SETS}, x AS (SELECT id, unnest(g) AS y FROM g), n AS (SELECT id, len(g) AS n FROM g),
@@ -602,12 +602,12 @@ def work_item_upsert(t):
 
 
 _STEM = r"""regexp_replace(w, '^[.,;:()"''`*_-]+|[.,;:()"''`*_-]+$', '', 'g')[1:5]"""
-_FIELDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), w -> w <> '')"
+_FIELDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> '')"
 
 
-@query(rf"""WITH p AS (SELECT doc_id AS page_id, list_distinct(list_transform({_FIELDS.format('text')}, w -> {_STEM})) AS have FROM documents WHERE doc_id < 1000000000),
-    m AS (SELECT item_id AS statement_id, list_filter(list_transform({_FIELDS.format('text')}, w -> regexp_replace(w, '^[.,;:()"'']+|[.,;:()"'']+$', '', 'g')), w -> length(w) >= 4) AS words FROM benchmark)
-    SELECT page_id, statement_id, round(c, 6) AS coverage FROM (SELECT page_id, statement_id, len(list_filter(words, w -> list_contains(have, {_STEM})))::DOUBLE / len(words) AS c FROM p, m WHERE len(words) > 0 AND page_id % 40 = statement_id % 40) WHERE c < 75e-2""")
+@query(rf"""WITH p AS (SELECT doc_id AS page_id, list_distinct(list_transform({_FIELDS.format('text')}, lambda w: {_STEM})) AS have FROM documents WHERE doc_id < 1000000000),
+    m AS (SELECT item_id AS statement_id, list_filter(list_transform({_FIELDS.format('text')}, lambda w: regexp_replace(w, '^[.,;:()"'']+|[.,;:()"'']+$', '', 'g')), lambda w: length(w) >= 4) AS words FROM benchmark)
+    SELECT page_id, statement_id, round(c, 6) AS coverage FROM (SELECT page_id, statement_id, len(list_filter(words, lambda w: list_contains(have, {_STEM})))::DOUBLE / len(words) AS c FROM p, m WHERE len(words) > 0 AND page_id % 40 = statement_id % 40) WHERE c < 75e-2""")
 def omission_check(t):
     pages = t.documents.select(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))
     must = t.benchmark.select((F.col("item_id") % 40).alias("slot"), F.col("item_id").alias("statement_id"), F.col("text").alias("statement"))
@@ -615,10 +615,10 @@ def omission_check(t):
     return compact.omissions(pages, must).select("page_id", "statement_id", R("coverage").alias("coverage"))
 
 
-@query(rf"""WITH s AS (SELECT conv_id, n, sentence, list_filter(list_transform({_FIELDS.format('sentence')}, w -> {_STEM}), w -> length(w) >= 4 AND NOT starts_with(w, 'memo:')) AS words FROM
-        (SELECT conv_id, unnest(s) AS sentence, unnest(range(len(s))) AS n FROM (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(string_agg(text, chr(10) ORDER BY turn), '[.!?\n]'), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '') AS s FROM conversations WHERE role = 'assistant' GROUP BY conv_id))),
-    h AS (SELECT conv_id, list_distinct(list_transform({_FIELDS.format('text')}, w -> {_STEM})) AS have FROM conversations WHERE role = 'user')
-    SELECT conv_id, md5(sentence) AS sentence, round(max(r), 6) AS support FROM (SELECT s.conv_id, n, sentence, coalesce(len(list_filter(words, w -> list_contains(have, w)))::DOUBLE / len(words), 0) AS r FROM s LEFT JOIN h USING (conv_id) WHERE len(words) >= 8) GROUP BY conv_id, n, sentence HAVING max(r) < 5e-1""")
+@query(rf"""WITH s AS (SELECT conv_id, n, sentence, list_filter(list_transform({_FIELDS.format('sentence')}, lambda w: {_STEM}), lambda w: length(w) >= 4 AND NOT starts_with(w, 'memo:')) AS words FROM
+        (SELECT conv_id, unnest(s) AS sentence, unnest(range(len(s))) AS n FROM (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(string_agg(text, chr(10) ORDER BY turn), '[.!?\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM conversations WHERE role = 'assistant' GROUP BY conv_id))),
+    h AS (SELECT conv_id, list_distinct(list_transform({_FIELDS.format('text')}, lambda w: {_STEM})) AS have FROM conversations WHERE role = 'user')
+    SELECT conv_id, md5(sentence) AS sentence, round(max(r), 6) AS support FROM (SELECT s.conv_id, n, sentence, coalesce(len(list_filter(words, lambda w: list_contains(have, w)))::DOUBLE / len(words), 0) AS r FROM s LEFT JOIN h USING (conv_id) WHERE len(words) >= 8) GROUP BY conv_id, n, sentence HAVING max(r) < 5e-1""")
 def unsupported_sentences(t):
     said = t.conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("content"))
     sources = t.conversations.where("role = 'user'").select(F.col("conv_id").alias("page_id"), "text")
@@ -654,7 +654,7 @@ _METRICS = f"""{_QRELS}, r AS (SELECT query_id, id AS doc_id, rank FROM exact_hi
         sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1e0) ELSE 0 END) AS dcg FROM qrels q LEFT JOIN r USING (query_id, doc_id) GROUP BY q.query_id),
     k AS (SELECT query_id, count(*) AS n_results FROM r GROUP BY query_id),
     m AS (SELECT query_id, coalesce(n, 0) AS n_relevant, coalesce(n_results, 0) AS n_results, coalesce(a1 / n, 0) AS recall_at_1, coalesce(a5 / n, 0) AS recall_at_5, coalesce(a10 / n, 0) AS recall_at_10,
-        coalesce(1e0 / best, 0) AS mrr, coalesce(dcg / list_sum(list_transform(range(1, least(10, n) + 1), i -> 1 / log2(i + 1e0))), 0) AS ndcg FROM h FULL JOIN k USING (query_id))"""
+        coalesce(1e0 / best, 0) AS mrr, coalesce(dcg / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1e0))), 0) AS ndcg FROM h FULL JOIN k USING (query_id))"""
 
 
 def _metrics(t):
