@@ -10,10 +10,10 @@ from ..functions import text as X
 
 def read_tree(spark: SparkSession, path: str, kind: str = "doc") -> DataFrame:
     """uri, name, content of every file below a path; only `*.md` unless the kind is code; no dot files, no indexes. Code is fenced."""
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if kind != "code":
         reader = reader.option("pathGlobFilter", "*.md")
-    raw = reader.text(path).select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
     raw = raw.where(~F.col("name").startswith(".") & (F.col("name") != "_index.md") & ~F.col("uri").rlike(r"/\.[^/]+/"))
     return raw.withColumn("content", X.fence_code(F.col("name"), F.col("content"))) if kind == "code" else raw
 
@@ -38,8 +38,8 @@ def file_name(title: Column, id_: Column) -> Column:
 
 def export_tree(docs: DataFrame, path: str) -> None:
     """One text file a document in `namespace=/kind=/file=` folders, so that writers need no coordination."""
-    out = docs.select("namespace", "kind", file_name(F.col("title"), F.col("id")).alias("file"), rendered(docs).alias("value"))
-    out.write.mode("overwrite").partitionBy("namespace", "kind", "file").text(path, lineSep="")
+    out = docs.select("namespace", "kind", file_name(F.col("title"), F.col("id")).alias("file"), F.regexp_replace(rendered(docs), r"\n\z", "").alias("value"))
+    out.write.mode("overwrite").partitionBy("namespace", "kind", "file").text(path)  # the writer ends the last line
 
 
 def bounded_index(docs: DataFrame, facts: DataFrame | None = None, most: int = 8192, header: str = "# Index\n") -> DataFrame:
