@@ -23,9 +23,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """Ranks as SQL numbers them: 64 bits."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind == "int" and c in ("rank", "position")})
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[T.Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(T.Tables(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: _wide(f(T.Tables(spark, sf_dir)))
         if sql:
             ORACLE_SQL[f.__name__] = T.with_views(sql)
         return f
