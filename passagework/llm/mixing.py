@@ -4,7 +4,8 @@ Sources in code point order (null last) weigh 1, 2, 3, 1, ...; the budget is all
 stops at `most` times its source's size and the excess goes to the others by weight until none is above.
 Of a source with target T and size S, every document is taken floor(T / S) times; for the rest R the
 documents are counted by exact length, each length first gives its proportional share, and a bounded
-knapsack over the lengths left (a bitset of reachable sums) closes the remaining budget, never going over.
+knapsack over the lengths left (a bitset of reachable sums) closes the remaining budget: exactly if it can be,
+else as near as it can be, on either side.
 Which documents of a length are taken follows from a seeded hash of doc_id, so reruns agree.
 
 Rows of one (source, length) are dealt over `salts` sub-groups by that hash: whole sub-groups are taken or
@@ -31,6 +32,8 @@ from .words import counts, slices
 KNAPSACK = 1 << 16
 #: Budgets above this are filled greedily first, whatever the lengths.
 LARGEST = 1 << 22
+#: Budgets up to this are also tried without the lengths' shares, if those leave no exact sum.
+SMALL = 1 << 17
 
 
 def targets(sizes: list[int], most: int = 3) -> list[float]:
@@ -52,7 +55,7 @@ def targets(sizes: list[int], most: int = 3) -> list[float]:
 
 
 def subset(lengths: dict[int, int], budget: int) -> dict[int, int]:
-    """Documents to take of each length (given: how many there are), with a sum as near below `budget` as can be."""
+    """Documents to take of each length (given: how many there are), with a sum as near `budget` as can be; the lengths' shares may cost a large budget a few words."""
     lengths = {k: n for k, n in lengths.items() if k > 0}
     total = sum(k * n for k, n in lengths.items())
     if budget >= total:
@@ -65,9 +68,19 @@ def subset(lengths: dict[int, int], budget: int) -> dict[int, int]:
                 n = min(lengths[k] - take[k], max(0, left - keep) // k)
                 take[k] += n
                 left -= k * n
-    mask, reached, steps = (1 << (left + 1)) - 1, 1, []
+    got = _close(lengths, take, left)
+    off = lambda x: abs(budget - sum(k * n for k, n in x.items()))
+    if off(got) and budget <= SMALL:
+        got = min(got, _close(lengths, dict.fromkeys(lengths, 0), budget), key=off)
+    return got
+
+
+def _close(lengths: dict[int, int], take: dict[int, int], left: int) -> dict[int, int]:
+    """`take` and as many more documents as bring it `left` words further, or as near as can be on either side."""
+    take = dict(take)
+    mask, reached, steps = (1 << (2 * left + 1)) - 1, 1, []
     for k in sorted(lengths):
-        n, part = min(lengths[k] - take[k], left // k), 1
+        n, part = min(lengths[k] - take[k], 2 * left // k), 1
         while n and not reached >> left & 1:
             part = min(part, n)
             after = reached | (reached << (k * part)) & mask
@@ -76,7 +89,10 @@ def subset(lengths: dict[int, int], budget: int) -> dict[int, int]:
                 reached = after
             n -= part
             part *= 2
-    at = reached.bit_length() - 1
+    below = (reached & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reached >> left
+    over = left + (above & -above).bit_length() - 1 if above else None
+    at = over if over is not None and over - left < left - below else below
     for k, part, before in reversed(steps):
         if not before >> at & 1:
             take[k] += part
