@@ -181,8 +181,11 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(f"{path}/out")
 
     def _stream(self, name: str) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        path = f"{self.sf_dir}/{name}.parquet"
+        there = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder = there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory()
+        reader = self.spark.readStream.schema(self.spark.read.parquet(path).schema)
+        return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
 
     def streamed_first_seen(self) -> DataFrame:
         rows = self._stream("documents").select("doc_id", F.col("source").alias("namespace"), F.col("text").alias("content"))
