@@ -44,7 +44,7 @@ _BAD_NAME = re.compile(
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[_-]?(?:body|content|text))?(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|head|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
