@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import columns_apart, shuffle_partitions, written
+from .scratch import columns_apart, frugal, shuffle_partitions, written
 
 _SPACES = r"[\x20\x09-\x0D]+"
 #: Fingerprints an owner decodes at once, about; 8 bytes each.
@@ -175,13 +175,13 @@ def groups(docs: DataFrame) -> DataFrame:
     digests = [F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("print"), F.length("norm").alias("size")]
     prints = written(norm.select("doc_id", *digests), "prints")
     owners = max(shuffle_partitions(spark), math.ceil(prints.count() / OWNED))
-    sent = written(prints.select("print", "doc_id").mapInArrow(_packets(owners), _PACKET), "packets")
+    sent = written(prints.select("print", "doc_id").mapInArrow(frugal(_packets(owners)), _PACKET), "packets")
     answers = sent.select("sender", "owner", "n", "k", "unary", "code").groupBy("owner").applyInPandas(_answer(owners), "sender int, owner int, seen binary")
     suspects = written(
         sent.select("sender", "owner", "n", "again", "ids")
         .join(answers, ["sender", "owner"])
         .select("n", "again", "ids", "seen")
-        .mapInArrow(_suspects, "doc_id bigint"),
+        .mapInArrow(frugal(_suspects), "doc_id bigint"),
         "suspects",
     )
     bloom, bits = _bloom(suspects)

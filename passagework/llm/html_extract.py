@@ -21,7 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import columns_apart
+from .scratch import columns_apart, frugal
 
 #: Frequent function words of the languages on hand.
 STOP_WORDS = frozenset(
@@ -173,4 +173,4 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """For each page: page_id, url, text, n_chars."""
     pages = columns_apart(pages, {"page_id": ("page_id", "bigint"), "url": ("url", "string"), "html": ("html", "string")})
-    return pages.mapInArrow(_extracted, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.mapInArrow(frugal(_extracted), "page_id bigint, url string, text string, n_chars bigint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import columns_apart, written
+from .scratch import columns_apart, frugal, written
 from .words import find, hashed, mix, slices, utf8
 
 BUCKETS = 10_000
@@ -73,7 +73,7 @@ def _weighed(ratio: np.ndarray):
 
 
 def log_ratios(docs: DataFrame, target_ids: np.ndarray) -> np.ndarray:
-    counts = docs.mapInArrow(_counted(np.sort(target_ids)), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows
+    counts = docs.mapInArrow(frugal(_counted(np.sort(target_ids))), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     raw[counts.bucket] += counts.raw
     target[counts.bucket] += counts.target
@@ -109,7 +109,7 @@ def resample(docs: DataFrame, target: DataFrame, keep: float = 0.85, seed: int =
     ratio = log_ratios(docs, ids)
     uniform = (F.xxhash64(F.lit(seed + 1), "doc_id") / F.lit(2.0**64)) + F.lit(0.5)
     noise = -F.log(-F.log(F.greatest(F.lit(1e-300), F.least(uniform, F.lit(1 - 2.0**-53)))))
-    scored = docs.mapInArrow(_weighed(ratio), "doc_id bigint, n_grams bigint, log_weight double").withColumn("key", F.col("log_weight") + noise)
+    scored = docs.mapInArrow(frugal(_weighed(ratio)), "doc_id bigint, n_grams bigint, log_weight double").withColumn("key", F.col("log_weight") + noise)
     scored = written(scored, "scored")
     least = kth_largest(scored, "key", round(keep * scored.count()))
     kept = F.coalesce(F.col("key") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import columns_apart
+from .scratch import columns_apart, frugal
 from .words import hashed, slices, utf8
 
 BITS = 16
@@ -79,10 +80,9 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np
     known = lexicon[at] == h if len(lexicon) else np.zeros(len(h), bool)
     single.append(np.where(known, (1 << BITS) + at, (1 << BITS) + len(lexicon)).astype(np.int32))
     # from each byte of a word: it and the next, and the two after; a word's end counts as a letter
-    row = np.repeat(np.arange(len(starts)), size)
     first = np.concatenate([[0], np.cumsum(size)])
-    byte = starts[row] + (np.arange(int(first[-1])) - first[row])
-    left = ends[row] - byte
+    byte = np.repeat((starts - first[:-1]).astype(np.int32), size) + np.arange(int(first[-1]), dtype=np.int32)
+    left = np.repeat(ends.astype(np.int32), size) - byte
     a = wide[byte]
     b = np.where(left > 1, wide[byte + 1], 0).astype(np.uint32)
     c = np.where(left > 2, wide[byte + 2], 0).astype(np.uint32)
@@ -242,7 +242,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], list[s
 def _predicted(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 2_000_000):
+            for b in slices(batch, "text"):
                 data, starts, ends, rows = words(b.column("text"))
                 post, _ = posteriors(field.scores(data, starts, ends), rows, field.transitions) if field.languages else (np.zeros((len(starts), 1), np.float32), None)
                 total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, axis=0, dtype=np.float64)])
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """For each row: doc_id, held_out, lang_pred, score; only rows that are not held out were learned from."""
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "lang": ("lang", "string"), "text": ("text", "string")})
     field = fit(*sample(docs, per_lang))
-    out = docs.select("doc_id", "text").mapInArrow(_predicted(field), "doc_id bigint, lang_pred string, score double")
+    out = docs.select("doc_id", "text").mapInArrow(frugal(_predicted(field)), "doc_id bigint, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -279,14 +279,19 @@ def label_words(text: str, field: Field) -> list[tuple[str, str, float]]:
     return [(data[a:z].tobytes().decode("utf-8", "replace"), field.languages[j], float(p[j])) for a, z, j, p in zip(starts, ends, best, post)]
 
 
-def _labelled(field: Field):
+def _labelled(field: Field, at: int):
+    """at: which part of the row is its text."""
     predict = _predicted(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 2_000_000):
-                for p in predict(iter([b.select(["doc_id", "text"])])) if b.num_rows else ():
-                    yield pa.RecordBatch.from_arrays([*b.columns[2:], p.column("lang_pred"), p.column("score")], names=[*b.schema.names[2:], "lang_pred", "score"])
+            rows = batch.column(0)
+            texts = rows.flatten()[at].cast(pa.string())
+            own = pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), texts], names=["doc_id", "text"])
+            first = 0
+            for p in predict(iter([own])):
+                yield pa.RecordBatch.from_arrays([rows.slice(first, p.num_rows), p.column("lang_pred"), p.column("score")], names=["row", "lang_pred", "score"])
+                first += p.num_rows
 
     return run
 
@@ -296,6 +301,6 @@ def with_language(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     own = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "lang": ("lang", "string"), "text": ("text", "string")})
     field = fit(*sample(own, per_lang))
     rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    body = docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
-    schema = body.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return body.mapInArrow(_labelled(field), schema).select("row.*", "lang_pred", "score")
+    body = docs.select(F.struct(*(docs[c] for c in rest)).alias("row"))
+    schema = T.StructType([*body.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return body.mapInArrow(frugal(_labelled(field, [c.lower() for c in rest].index("text"))), schema).select("row.*", "lang_pred", "score")

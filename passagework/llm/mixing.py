@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import columns_apart, written
+from .scratch import columns_apart, frugal, written
 from .words import counts, slices
 
 #: The knapsack gets a budget of about so many words; lengths' shares and a greedy fill cover the rest.
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, seed: int = 17, most: int = 3) -> DataFrame:
     """For each row: doc_id, source, size, source_size, target, copies (times taken), taken (words taken)."""
     spark = docs.sparkSession
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "source": ("source", "string"), "text": ("text", "string")})
-    sized = written(docs.withColumn("u", F.xxhash64(F.lit(seed), "doc_id")).mapInArrow(_sized, "doc_id bigint, source string, size bigint, u bigint"), "sized")
+    sized = written(docs.withColumn("u", F.xxhash64(F.lit(seed), "doc_id")).mapInArrow(frugal(_sized), "doc_id bigint, source string, size bigint, u bigint"), "sized")
     salts = 1 << max(4, math.ceil(math.log2(max(1, sized.count()) / 50_000)))
     sized = sized.withColumn("salt", F.pmod("u", F.lit(salts)))
     by_source = {r.source: r.s for r in sized.groupBy("source").agg(F.sum("size").alias("s")).collect()}  # one row a source

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_dedup import _bloom, _passing
-from .scratch import columns_apart, written
+from .scratch import columns_apart, frugal, written
 from .words import find, hashed, mix, shingles, slices, utf8
 
 WIDTH, TRIES, DEPTH = 5, 16, 8
@@ -103,7 +103,7 @@ def prefix_length(texts: DataFrame, threshold: float, recall: float, least_pairs
     """The longest prefix that meets the recall target, on the evidence of all texts' first trie."""
     label = F.expr(f"substring(sig, 1, {2 * DEPTH})")
     ordered = texts.select("sig").repartitionByRange(label).sortWithinPartitions("sig")
-    seen = ordered.mapInArrow(_neighbours, "agreed bigint, pairs bigint").groupBy("agreed").agg(F.sum("pairs").alias("pairs")).toPandas()  # TRIES * DEPTH rows at most
+    seen = ordered.mapInArrow(frugal(_neighbours), "agreed bigint, pairs bigint").groupBy("agreed").agg(F.sum("pairs").alias("pairs")).toPandas()  # TRIES * DEPTH rows at most
     share = seen.agreed.to_numpy(float) / (TRIES * DEPTH)
     near = share >= threshold
     if seen.pairs[near].sum() >= least_pairs:
@@ -207,7 +207,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> D
     """For each row: doc_id, class_id (smallest doc_id of its connected class), n_links (other rows it is linked with), group_size (rows with its very words)."""
     spark = docs.sparkSession
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "text": ("text", "string")})
-    signed = written(docs.mapInArrow(_signed, _SIGNED), "signed")
+    signed = written(docs.mapInArrow(frugal(_signed), _SIGNED), "signed")
     by_text = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     texts = written(by_text, "texts")
     whole = texts.where("sig is not null and id is not null")
@@ -225,14 +225,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> D
 
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(many.select("id")).distinct(), "wanted")
     passing = docs.where("doc_id is not null and text is not null").where(_passing(spark, *_bloom(wanted)))
-    sets = passing.mapInArrow(_shingle_sets, "id bigint, set binary")
+    sets = passing.mapInArrow(frugal(_shingle_sets), "id bigint, set binary")
     facts = whole.select("id", "copies", "sig").join(large, "id", "left")
     sets = sets.join(wanted, sets["id"] == wanted["doc_id"]).drop("doc_id").dropDuplicates(["id"])
     sets = written(sets.join(facts, "id"), "sets")
 
     side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}"), F.transform(F.coalesce("large", F.array()), lambda x: x["key"]).alias(f"large_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(~F.arrays_overlap("large_a", "large_b"))
-    close = written(both.select("a", "b", "set_a", "set_b").mapInArrow(_close(threshold), "a bigint, b bigint"), "close")
+    close = written(both.select("a", "b", "set_a", "set_b").mapInArrow(frugal(_close(threshold)), "a bigint, b bigint"), "close")
 
     n_blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     blocks = many.select("key", "trie", "id", n_blocks.alias("k")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))

@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import columns_apart, written
+from .scratch import columns_apart, frugal, written
 
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sender int, seq bigint, ids binary"
 
 
@@ -197,14 +197,14 @@ def _placed(plan: np.ndarray):
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, room: int = 2048, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """For each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (null unless kept)."""
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "text": ("text", "string")})
-    pieces = written(docs.mapInArrow(_tokenised(tokenizer, ranks, room, end_id, keep_ids), _PIECE), "pieces")
+    pieces = written(docs.mapInArrow(frugal(_tokenised(tokenizer, ranks, room, end_id, keep_ids)), _PIECE), "pieces")
     by_task = pieces.groupBy("sender", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `room` rows at most
     plan = np.array(sorted(best_fit(histogram, room)) or np.zeros((0, 6)), np.int64)
     before = Window.partitionBy("length").orderBy("sender").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("sender", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["sender", "length"]).withColumn("rank", F.col("base") + F.col("seq"))
-    return ranked.mapInArrow(_placed(plan), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, ids binary")
+    return ranked.mapInArrow(frugal(_placed(plan)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, ids binary")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import columns_apart, written
+from .scratch import columns_apart, frugal, written
 from .words import find, hashed, shingles, slices, utf8
 
 #: rule: (ratio's numerator, denominator, 1 if large values are rejected else -1, grid from loosest to strictest)
@@ -100,7 +100,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "lang": ("lang", "string"), "text": ("text", "string")})
-    return docs.mapInArrow(_statistics, _STATS)
+    return docs.mapInArrow(frugal(_statistics), _STATS)
 
 
 def at_most(k: int, n: int, p: float) -> float:

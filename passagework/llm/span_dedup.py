@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import _bloom, _passing
-from .scratch import columns_apart, written
+from .scratch import columns_apart, frugal, written
 from .words import find, hashed, mix, slices, utf8
 
 SENTENCES, WORDS = 2, 25
@@ -76,7 +76,7 @@ def runs(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in slices(batch, "text", 2_000_000):
+        for b in slices(batch, "text"):
             owner, place, size, h = runs(*utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h), b.column("doc_id").take(pa.array(owner)), pa.array(place, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "owner", "place", "size"]
@@ -85,7 +85,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in slices(batch, "text", 2_000_000):
+        for b in slices(batch, "text"):
             data, rows = utf8(b.column("text"))
             starts, _, at, first, s_at = sentences(data, rows)
             texts, removed = [], []
@@ -108,7 +108,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "text": ("text", "string")})
     # the hash is named doc_id, the name that the filter below goes by
-    spans = written(docs.where("doc_id is not null").mapInArrow(_spans, "doc_id bigint, owner bigint, place int, size int"), "spans")
+    spans = written(docs.where("doc_id is not null").mapInArrow(frugal(_spans), "doc_id bigint, owner bigint, place int, size int"), "spans")
     firsts = written(spans.groupBy("doc_id").agg(F.min(F.struct("owner", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
     likely = spans.where(_passing(spark, *_bloom(firsts.select("doc_id"))))
     again = likely.join(firsts, "doc_id").where((F.col("owner") != F.col("first.owner")) | (F.col("place") != F.col("first.place")))
@@ -118,4 +118,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     touched = touched.join(gone, touched["doc_id"] == gone["id"], "left").select("doc_id", "text", "gone")
     whole = docs.where(F.col("doc_id").isNull() | ~passes).select("doc_id", "text", F.lit(None).cast("array<struct<place:int,size:int>>").alias("gone"))
     out = "doc_id bigint, text string, n_sentences bigint, n_removed bigint"
-    return touched.mapInArrow(_without, out).unionByName(whole.mapInArrow(_without, out))
+    return touched.mapInArrow(frugal(_without), out).unionByName(whole.mapInArrow(frugal(_without), out))
