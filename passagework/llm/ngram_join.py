@@ -35,8 +35,8 @@ from .words import find, hashed, mix, shingles, slices, utf8
 WIDTH, TRIES, DEPTH = 5, 16, 8
 #: Texts in a node that are still compared as pairs.
 SMALL = 32
-#: Texts, and shingles, of a block of a large node, about.
-BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Texts of a block of a large node, least and most (a quarter of the node in between), and shingles, about.
+LEAST_BLOCK, BLOCK_TEXTS, BLOCK_SHINGLES = 256, 2048, 1_000_000
 #: A pair of a large node is verified unless its labels agree in less than this share (at 0.8 that is 5 deviations off).
 LEAST_AGREED = 0.6
 _rng = np.random.default_rng(11)
@@ -234,7 +234,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> D
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(~F.arrays_overlap("large_a", "large_b"))
     close = written(both.select("a", "b", "set_a", "set_b").mapInArrow(frugal(_close(threshold)), "a bigint, b bigint"), "close")
 
-    n_blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK_TEXTS), F.col("texts") / 4))
+    n_blocks = F.greatest(F.ceil(F.col("texts") / own), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     blocks = many.select("key", "trie", "id", n_blocks.alias("k")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     blocks = blocks.select("key", "trie", "id", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
