@@ -229,7 +229,8 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], list[s
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     ids = usable.select("doc_id", "lang", (F.xxhash64(F.lit(5), "doc_id") / F.lit(2.0**64) + 0.5).alias("u"))
     counts = ids.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    few = ids.join(counts, F.col("lang") == F.col("l")).where(F.col("u") * F.col("n") <= 2 * per_lang)
+    few = ids.join(F.broadcast(counts), F.col("lang") == F.col("l"))  # a row a language, as the field has a column for each
+    few = few.where(F.col("u") * F.col("n") <= 2 * per_lang)
     chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("r") <= per_lang)
     wanted = [r.doc_id for r in chosen.select("doc_id").collect()]
     if not wanted:
