@@ -1,16 +1,21 @@
-"""Removal of passages that other documents have too, by hashes of runs of consecutive sentences.
+"""Removal of passages that other documents have too: runs of consecutive sentences, and runs of words wherever they sit.
 
-Words are `[^\\x20\\x09-\\x0D]+`; a sentence ends with a word that ends in `.`, `!` or `?`, or at a line feed. From
-every sentence two runs start: the shortest one forward and the shortest one backward that has `SENTENCES` sentences and
-`WORDS` words at least; so any passage with that many is covered up to its last sentence. Runs are joined by their hash
-over all documents; of equal runs the first, by doc_id and place, stays, and a sentence goes if any run that covers it is another.
+Words are `[^\\x20\\x09-\\x0D]+`; a sentence ends with a word that ends in `.`, `!` or `?` (closing quotes and brackets may
+follow), or at a line feed. From every sentence two runs start: the shortest one forward and the shortest one backward that has
+`SENTENCES` sentences and `WORDS` words at least; so any passage with that many is covered up to its last sentence. Runs are joined by
+their hash over all documents; of equal runs the first, by doc_id and place, stays, and a sentence goes if any run that covers it is another.
+
+A passage that sits inside a host's sentences, or is one long sentence, has no such run. So of any `LONG` words in a row that a document
+with a smaller doc_id has too, all words go, whatever the sentences. Windows of `LONG` words are compared only about anchors, runs of
+`ANCHOR` words with the least hash of all in some window: equal windows have equal anchors. Anchors that two documents share,
+and about which one that is not the first has words left, tell which windows of all documents are compared.
 
 Only hashes are shuffled: runs are aggregated to their first place, and only runs that pass a Bloom filter of the
 repeated hashes (of bounded size; what it lets through by mistake finds no partner) are joined with it. Texts of documents
-without a repeated run are never shuffled.
+without a repeated run or anchor are never shuffled.
 
 Defined cases: a null text is empty; rows without doc_id pass unchanged and are no one's first; rows that repeat a doc_id are one document
-and each loses the same sentences; a text shorter than a run passes unchanged; an empty table gives no rows.
+and each loses the same words; a text shorter than a run passes unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +32,22 @@ from .scratch import columns_apart, frugal, written
 from .words import find, hashed, mix, slices, utf8
 
 SENTENCES, WORDS = 2, 25
+LONG, ANCHOR = 50, 25
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
+_CLOSERS = np.zeros(256, bool)
+_CLOSERS[list(b"\"')]}")] = True
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _ending(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each word the last byte before up to three closing quotes or brackets."""
+    at = ends - 1
+    for _ in range(3):
+        x, y, z = data[at], data[np.maximum(at - 1, starts)], data[np.maximum(at - 2, starts)]
+        size = np.where(_CLOSERS[x], 1, np.where((x == 0xBB) & (y == 0xC2), 2, np.where((z == 0xE2) & (y == 0x80) & np.isin(x, (0x99, 0x9C, 0x9D, 0xBA)), 3, 0)))  # » ’ “ ” ›
+        at = np.where(at - size >= starts, at - size, at)
+    return data[at]
 
 
 def sentences(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -38,7 +57,7 @@ def sentences(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not n:
         return starts, ends, at, np.zeros(1, np.int64), np.zeros(len(rows), np.int64)
     feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    last = _STOPS[data[ends - 1]]
+    last = _STOPS[_ending(data, starts, ends)]
     last[:-1] |= feeds[starts[1:]] > feeds[ends[:-1]]
     whole = at[1:][np.diff(at) > 0] - 1
     last[whole] = True
@@ -46,15 +65,22 @@ def sentences(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, at, first, np.searchsorted(first, at, side="left")
 
 
-def runs(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first sentence inside the row, number of sentences, and hash, of every run."""
-    starts, ends, at, first, s_at = sentences(data, rows)
+def _hashes(words: np.ndarray):
+    """The hash of words from `a` to `z`: a polynomial of the words, from prefix sums of word * base ** place."""
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    powers = np.cumprod(np.full(len(words) + 1, base, np.uint64), dtype=np.uint64)
+    back = np.cumprod(np.full(len(words) + 1, inverse, np.uint64), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)])
+    return lambda a, z: mix((sums[z] - sums[a]) * back[a] + (z - a).astype(np.uint64))
+
+
+def runs(starts: np.ndarray, at: np.ndarray, first: np.ndarray, s_at: np.ndarray, hash_of) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word inside the row, number of words, and hash, of every run of sentences."""
     total = len(first) - 1
     if not total:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    words = hashed(data, starts, ends)
-    row = np.repeat(np.arange(len(rows) - 1), np.diff(s_at))
+    row = np.repeat(np.arange(len(at) - 1), np.diff(s_at))
     low, high = s_at[row], s_at[row + 1]
     s = np.arange(total)
     forward = np.maximum(np.searchsorted(first, first[:-1] + WORDS, side="left"), s + SENTENCES)
@@ -65,24 +91,90 @@ def runs(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     owner = np.concatenate([row[ok_f], row[ok_b]])
     both = np.unique(a * (total + 1) + z, return_index=True)[1]
     a, z, owner = a[both], z[both], owner[both]
-    # a polynomial of the words over the run, from prefix sums of word * base ** place
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    powers = np.cumprod(np.full(len(words) + 1, base, np.uint64), dtype=np.uint64)
-    back = np.cumprod(np.full(len(words) + 1, inverse, np.uint64), dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)])
-    h = mix((sums[first[z]] - sums[first[a]]) * back[first[a]] + (first[z] - first[a]).astype(np.uint64))
-    return owner, a - s_at[owner], z - a, h.view(np.int64)
+    return owner, first[a] - at[owner], first[z] - first[a], hash_of(first[a], first[z]).view(np.int64)
+
+
+def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
+    """The best of each `n` neighbours."""
+    wide = 1
+    while 2 * wide <= n:
+        x, wide = best(x[:-wide], x[wide:]), 2 * wide
+    return best(x[: len(x) - (n - wide)], x[n - wide :])
+
+
+def anchors(at: np.ndarray, hash_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word inside the row, and hash, of every run of `ANCHOR` words that has the least hash in some window of `LONG` words."""
+    total, span = int(at[-1]), LONG - ANCHOR + 1
+    if total < LONG:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    begin = np.arange(total - ANCHOR + 1)
+    h = mix(hash_of(begin, begin + ANCHOR) ^ _SALT)
+    least = _sliding(h, span, np.minimum)
+    least[at[row[: len(least)] + 1] < np.arange(len(least)) + LONG] = 0  # windows that leave their row
+    edge = np.zeros(span - 1, np.uint64)
+    chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == h)
+    return row[chosen], chosen - at[row[chosen]], h[chosen].view(np.int64)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of sentences, and anchors, which have size 0."""
     for batch in batches:
         for b in slices(batch, "text"):
-            owner, place, size, h = runs(*utf8(b.column("text")))
+            data, rows = utf8(b.column("text"))
+            starts, ends, at, first, s_at = sentences(data, rows)
+            hash_of = _hashes(hashed(data, starts, ends))
+            owner, place, size, h = runs(starts, at, first, s_at, hash_of)
+            row, begin, own = anchors(at, hash_of)
+            owner, place, size, h = np.append(owner, row), np.append(place, begin), np.append(size, np.zeros(len(row), np.int64)), np.append(h, own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), b.column("doc_id").take(pa.array(owner)), pa.array(place, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "owner", "place", "size"]
+                [pa.array(h), b.column("doc_id").take(pa.array(owner)), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.diff(at)[owner], pa.int32())],
+                names=["doc_id", "owner", "place", "size", "words"],
             )
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of anchors, not the first of theirs, with words in a window about them that no run of sentences takes away."""
+    for b in batches:
+        found = b.column("found")
+        at, x = found.offsets.to_numpy(), found.values
+        place, size, words, later, h = (x.field(c).to_numpy(zero_copy_only=False) for c in ("place", "size", "words", "later", "hash"))
+        out = []
+        for a, z in zip(at[:-1], at[1:]):
+            mine = np.flatnonzero((size[a:z] == 0) & later[a:z]) + a
+            if not len(mine):
+                continue
+            # rows that repeat a doc_id may have texts of other lengths
+            n = int(words[a:z].max())
+            run = np.flatnonzero(size[a:z] > 0) + a
+            change = np.bincount(place[run], minlength=n + 1) - np.bincount(place[run] + size[run], minlength=n + 1)
+            left = np.concatenate([[0], np.cumsum(np.cumsum(change)[:n] == 0)])
+            low, high = np.maximum(place[mine] - (LONG - ANCHOR), 0), np.minimum(place[mine], words[mine] - LONG) + LONG
+            out.append(h[mine[left[high] > left[low]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["doc_id"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of `LONG` words about the places of a row."""
+    for batch in batches:
+        for b in slices(batch, "text"):
+            data, rows = utf8(b.column("text"))
+            starts, ends, at = find(data, rows)
+            near = b.column("near")
+            places = near.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), np.diff(near.offsets.to_numpy()))
+            wanted = np.zeros(len(starts) + 1, bool)
+            for j in range(LONG - ANCHOR + 1):
+                begin = places.astype(np.int64) - j
+                ok = (begin >= 0) & (begin + LONG <= at[row + 1] - at[row])
+                wanted[at[row[ok]] + begin[ok]] = True
+            begin = np.flatnonzero(wanted)
+            owner = np.searchsorted(at, begin, side="right") - 1
+            h = _hashes(hashed(data, starts, ends))(begin, begin + LONG).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("doc_id").take(pa.array(owner)), pa.array(begin - at[owner], pa.int32())], names=["doc_id", "owner", "place"])
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch, "text"):
@@ -90,29 +182,49 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, _, at, first, s_at = sentences(data, rows)
             texts, removed = [], []
             for i, gone in enumerate(b.column("gone").to_pylist()):
-                keep, count = np.ones(int(s_at[i + 1] - s_at[i]), bool), len(rows)
+                keep = np.ones(int(at[i + 1] - at[i]), bool)
                 for g in gone or ():
                     keep[g["place"] : g["place"] + g["size"]] = False
                 if keep.all():
                     texts.append(data[rows[i] : rows[i + 1]].tobytes().decode())
-                else:
-                    begin = np.append(starts[first[s_at[i] : s_at[i + 1]]], rows[i + 1])
-                    begin[0] = rows[i]
-                    texts.append(b"".join(data[begin[j] : begin[j + 1]].tobytes() for j in np.flatnonzero(keep)).decode())
-                removed.append(int((~keep).sum()))
+                    removed.append(0)
+                    continue
+                begin = np.append(starts[at[i] : at[i + 1]], rows[i + 1])
+                begin[0] = rows[i]
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+                texts.append(b"".join(data[begin[j] : begin[k]].tobytes() for j, k in edge.reshape(-1, 2)).decode())
+                removed.append(int(np.logical_or.reduceat(~keep, first[s_at[i] : s_at[i + 1]] - at[i]).sum()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(np.diff(s_at)), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_sentences", "n_removed"])
 
 
+def _repeated(spans: DataFrame, name: str) -> DataFrame:
+    """Spans whose hash (named doc_id, the name that the filter goes by) is another's too, with the first of them and the last owner."""
+    firsts = spans.groupBy("doc_id").agg(F.min(F.struct("owner", "place")).alias("first"), F.max("owner").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.where("n > 1").drop("n"), name)
+    return spans.where(_passing(spans.sparkSession, *_bloom(firsts.select("doc_id")))).join(firsts, "doc_id")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, text without repeated sentences, n_sentences (before), n_removed."""
+    """For each row: doc_id, text without repeated passages, n_sentences (before), n_removed (sentences that lost words, mostly all)."""
     spark = docs.sparkSession
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "text": ("text", "string")})
-    # the hash is named doc_id, the name that the filter below goes by
-    spans = written(docs.where("doc_id is not null").mapInArrow(frugal(_spans), "doc_id bigint, owner bigint, place int, size int"), "spans")
-    firsts = written(spans.groupBy("doc_id").agg(F.min(F.struct("owner", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
-    likely = spans.where(_passing(spark, *_bloom(firsts.select("doc_id"))))
-    again = likely.join(firsts, "doc_id").where((F.col("owner") != F.col("first.owner")) | (F.col("place") != F.col("first.place")))
-    gone = written(again.select("owner", "place", "size").distinct().groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("place", "size")).alias("gone")), "gone")
+    spans = written(docs.where("doc_id is not null").mapInArrow(frugal(_spans), "doc_id bigint, owner bigint, place int, size int, words int"), "spans")
+    other = (F.col("owner") != F.col("first.owner")) | (F.col("place") != F.col("first.place"))
+    found = _repeated(spans, "firsts").where(F.when(F.col("size") > 0, other).otherwise(F.col("last") != F.col("first.owner")))
+    found = found.select("owner", "place", "size", "words", (F.col("owner") != F.col("first.owner")).alias("later"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(0).alias("hash")).distinct()
+    found = written(found.groupBy("owner").agg(F.collect_list(F.struct("place", "size", "words", "later", "hash")).alias("found")), "found")
+
+    hashes = written(found.mapInArrow(frugal(_open), "doc_id bigint").distinct(), "open")
+    places = found.select("owner", F.explode(F.filter("found", lambda x: x["size"] == 0)).alias("x")).select("owner", F.col("x.place").alias("place"), F.col("x.hash").alias("doc_id"))
+    places = places.where(_passing(spark, *_bloom(hashes))).join(hashes, "doc_id")
+    near = written(places.groupBy(F.col("owner").alias("id")).agg(F.collect_list("place").alias("near")), "near")
+    about = docs.where(F.col("doc_id").isNotNull() & _passing(spark, *_bloom(near.select(F.col("id").alias("doc_id")))))
+    about = about.join(near, about["doc_id"] == near["id"]).select("doc_id", "text", "near")
+    windows = written(about.mapInArrow(frugal(_windows), "doc_id bigint, owner bigint, place int"), "windows")
+    long = _repeated(windows, "first-windows").where(F.col("owner") != F.col("first.owner")).select("owner", "place", F.lit(LONG).alias("size")).distinct()
+
+    taken = found.select("owner", F.explode(F.filter("found", lambda x: x["size"] > 0)).alias("x")).select("owner", "x.place", "x.size").union(long)
+    gone = written(taken.groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.struct("place", "size")).alias("gone")), "gone")
     passes = _passing(spark, *_bloom(gone.select(F.col("id").alias("doc_id"))))
     touched = docs.where(F.col("doc_id").isNotNull() & passes)
     touched = touched.join(gone, touched["doc_id"] == gone["id"], "left").select("doc_id", "text", "gone")

@@ -324,6 +324,36 @@ def test_span_dedup(spark):
     assert got[3].text == rows[2][1] and got[4].text == "" and got[None].text == passage and got[6].text == ""
 
 
+def test_span_dedup_of_passages_inside_sentences(spark):
+    """Passages of 51 to 60 words, with few sentence ends or none, in the middle of a host's sentence."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    rows, wanted = [], {}
+    for i, n in enumerate(range(51, 61)):
+        w = prose(n).split(" ")
+        for end in ([], [22], [4, 50], [10, 25, 40])[i % 4]:
+            w[end] += "."
+        passage = " ".join(w)
+        rows.append((i, f"{prose(30)} {passage} {prose(9)}. {prose(20)}."))
+        before, after = f"{prose(7)}. {prose(12)}", f"{prose(40)}. {prose(5)}."
+        rows.append((100 + i, f"{before} {passage} {after}"))
+        wanted[i], wanted[100 + i] = rows[-2][1], f"{before} {after}"
+    short = prose(40)
+    rows += [(300 + i, f"{prose(9)} {short} {prose(9)}") for i in range(2)] + [(400, "same " * 300)]
+    got = {r.doc_id: r for r in span_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].text for i in wanted} == wanted
+    assert all((got[i].n_removed > 0) == (i >= 100) for i in wanted) and all(got[i].text == t and got[i].n_removed == 0 for i, t in rows if i >= 300)
+
+
+def test_sentences_end_at_closing_quotes():
+    import numpy as np
+
+    text = "He said (so it is.) Then \u201cno!\u201d and \u00abyes?\u00bb or 'x.') but not) \u201d end".encode()
+    data = np.frombuffer(text, np.uint8)
+    first = span_dedup.sentences(data, np.array([0, len(text)]))[3]
+    assert first.tolist() == [0, 5, 7, 9, 11, 15]
+
+
 def test_importance_resampling(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices(["good", "fine", "prose", "text"] if i % 2 else ["###", "$$$", "%%%"], k=50))) for i in range(400)]
