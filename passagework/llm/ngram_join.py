@@ -3,10 +3,8 @@
 Words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words has one shingle, all its words. Documents with the same words in
 the same order are one text from the start. Each text gets `TRIES` labels of `DEPTH` minimum hashes; a label's
 prefixes are the nodes of a sorted trie. Two texts meet in a trie if their labels share a prefix of the matched
-length, and that length is shortened from `DEPTH` on until the recall target is met: neighbours in the first
-sorted trie give the distribution of similarities (each pair weighs the inverse of its chance to be neighbours),
-and the longest length is taken whose expected recall over that distribution is `recall`; with
-too few pairs to tell, the longest whose recall at the threshold itself is. Every pair that meets is then
+length, and that length is shortened from `DEPTH` on until a pair at the threshold itself meets with a chance of `recall`;
+every more similar pair meets with a greater one, whatever else the corpus holds. Every pair that meets is then
 verified on its whole shingle sets.
 
 Small nodes give pairs, which are joined with their texts' shingles. Large nodes (near copies by the thousand)
@@ -86,33 +84,10 @@ def met(similarity: np.ndarray, depth: int) -> np.ndarray:
     return 1 - (1 - similarity**depth) ** TRIES
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over a sorted trie: how many neighbours share the whole label, by the share of all minimum hashes that agree."""
-    total, last = np.zeros(TRIES * DEPTH + 1, np.int64), None
-    for b in batches:
-        raw = [x for x in b.column("sig").to_pylist()]
-        own = np.frombuffer(b"".join(([last] if last else []) + raw), np.uint16).reshape(-1, TRIES * DEPTH)
-        if len(own) > 1:
-            same = own[1:] == own[:-1]
-            total += np.bincount(same[same[:, :DEPTH].all(axis=1)].sum(axis=1), minlength=len(total))
-        last = raw[-1] if raw else last
-    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["agreed", "pairs"])
-
-
-def prefix_length(texts: DataFrame, threshold: float, recall: float, least_pairs: int = 200) -> int:
-    """The longest prefix that meets the recall target, on the evidence of all texts' first trie."""
-    label = F.expr(f"substring(sig, 1, {2 * DEPTH})")
-    ordered = texts.select("sig").repartitionByRange(label).sortWithinPartitions("sig")
-    seen = ordered.mapInArrow(frugal(_neighbours), "agreed bigint, pairs bigint").groupBy("agreed").agg(F.sum("pairs").alias("pairs")).toPandas()  # TRIES * DEPTH rows at most
-    share = seen.agreed.to_numpy(float) / (TRIES * DEPTH)
-    near = share >= threshold
-    if seen.pairs[near].sum() >= least_pairs:
-        weight = seen.pairs.to_numpy(float)[near] / share[near] ** DEPTH
-        good = lambda d: (weight * met(share[near], d)).sum() / weight.sum() >= recall
-    else:
-        good = lambda d: met(np.array(threshold), d) >= recall
+def prefix_length(threshold: float, recall: float) -> int:
+    """The longest prefix with which pairs at the threshold, and so all above it, meet the recall target."""
     depth = DEPTH
-    while depth > 1 and not good(depth):
+    while depth > 1 and met(np.array(threshold), depth) < recall:
         depth -= 1
     return depth
 
@@ -211,7 +186,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> D
     by_text = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     texts = written(by_text, "texts")
     whole = texts.where("sig is not null and id is not null")
-    depth = prefix_length(whole, threshold, recall)
+    depth = prefix_length(threshold, recall)
     tries = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda t: F.struct(t.alias("trie"), F.xxhash64(t, F.col("sig").substr(t * (2 * DEPTH) + 1, F.lit(2 * depth))).alias("key")))
     nodes = whole.select("id", "n", F.explode(tries).alias("x")).select("id", "n", "x.trie", "x.key")
     met_in = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")).where("texts > 1")

@@ -135,6 +135,28 @@ def test_ngram_join_of_a_large_group(spark):
     assert found <= sum(links.values()) and found >= 0.99 * sum(links.values())
 
 
+def test_ngram_join_of_borderline_pairs_beside_a_large_group(spark):
+    """A large group of near copies does not shorten the reach of pairs that are just above the threshold."""
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    hot, rows = prose(300), []
+    for i in range(600):
+        w = list(hot)
+        w[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(150):  # 176 of 216 shingles are common
+        w = prose(200)
+        rows.append((1000 + 2 * i, " ".join(w)))
+        for place in (25, 75, 125, 175):
+            w[place] = f"y{i}"
+        rows.append((1001 + 2 * i, " ".join(w)))
+    got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1001 + 2 * i].class_id == 1000 + 2 * i and got[1001 + 2 * i].n_links == 1 for i in range(150))
+    assert all(got[i].class_id == 0 for i in range(600))
+    for threshold in (0.7, 0.8, 0.9):
+        assert ngram_join.met(threshold, ngram_join.prefix_length(threshold, 0.995)) >= 0.995
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
