@@ -6,8 +6,9 @@ span. A prefix that is no prefix of the next output means that the template rewr
 conversation is then reported with `rewritten` true and without spans.
 
 Prefixes longer than `window` turns are rendered from a later first turn on; at each such change the last
-turn must render alike under the old and the new start, else the conversation counts as rewritten. So the
-work grows with a conversation's length, not with its square.
+turn must render alike under the old and the new start, and at the end the pieces must be what the template makes
+of all turns. So the work grows with a conversation's length, not with its square; only where that does not hold
+(a template that numbers or drops turns, or refuses a later start) every prefix is rendered whole.
 
 Rows of a conversation meet sorted in one task but are read as a stream; memory is that of its own output.
 Defined cases: null role or text is empty; equal turn numbers are ordered by role, then text; repeated rows
@@ -60,6 +61,18 @@ def read_turns(formatted: str) -> list[Turn]:
 
 def spans(turns: list[Turn], render: Callable[[list[Turn]], str], window: int = 128) -> tuple[str, list[tuple[int, int, int, int]] | None]:
     """The formatted text and, for each turn, start and end of the turn and of its text; None if history is rewritten."""
+    if len(turns) > window:
+        whole = render(turns)
+        try:
+            text, found = _pieces(turns, render, window)
+        except Exception:  # a template may refuse what does not start at the first turn
+            text, found = whole, None
+        if found is not None and text == whole:
+            return text, found
+    return _pieces(turns, render, len(turns))
+
+
+def _pieces(turns: list[Turn], render: Callable[[list[Turn]], str], window: int) -> tuple[str, list[tuple[int, int, int, int]] | None]:
     out, found, size = [], [], 0
     first, before = 0, render([])
     size = len(before)

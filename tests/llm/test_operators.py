@@ -427,6 +427,23 @@ def test_templates_that_rewrite_history_are_found():
     assert text == plain(turns * 100) and [text[a:z] for _, _, a, z in found] == [t for _, t in turns] * 100
 
 
+def test_templates_that_look_back_beyond_the_window():
+    plain = lambda turns: "".join(f"<{r}>{t}</>" for r, t in turns)
+    turns = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(300)]
+    recent = lambda turns: plain(turns[-200:])
+    assert chat_format.spans(turns, recent) == (recent(turns), None)
+    numbered = lambda turns: "".join(f"{i}<{r}>{t}</>" for i, (r, t) in enumerate(turns))
+
+    def opened(turns):
+        if turns and turns[0][1] not in ("t0", ""):
+            raise ValueError("the first turn is missing")
+        return plain(turns)
+
+    for render in (numbered, opened):
+        text, found = chat_format.spans(turns, render)
+        assert text == render(turns) and [text[a:z] for _, _, a, z in found] == [t for _, t in turns]
+
+
 @pytest.mark.parametrize("run", [
     exact_dedup.groups, exact_dedup.deduplicated, ngram_join.classes, ngram_join.one_of_each, mixing.mix, mixing.mixed, quality_rules.statistics, language_id.identify, language_id.with_language, span_dedup.without_repeats,
     lambda d: importance_resampling.resample(d, d.select("doc_id")), lambda d: html_extract.extract(d.selectExpr("doc_id as page_id", "text as html")), lambda d: chat_format.format_chats(d),
