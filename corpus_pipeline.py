@@ -13,12 +13,12 @@ from passagework.llm import exact_dedup, language_id, mixing, ngram_join, packin
 from passagework.llm.queries import table, tokenizer_files
 from passagework.llm.scratch import written
 
-#: A document goes if its language's mean posterior is below this.
-LEAST_SCORE = 0.5
+#: A document goes if the mean of its words' best posteriors is below this; a text in several languages is sure word by word.
+LEAST_CERTAINTY = 0.5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.with_language(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return language_id.with_language(docs).where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY)).drop("lang_pred", "score", "certainty")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

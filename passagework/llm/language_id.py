@@ -250,6 +250,8 @@ def _predicted(field: Field):
                 mass = total[rows[1:]] - total[rows[:-1]]
                 n = np.diff(rows)
                 best = mass.argmax(axis=1)
+                sure = np.concatenate([[0], np.cumsum(post.max(axis=1), dtype=np.float64)])
+                sure = np.clip((sure[rows[1:]] - sure[rows[:-1]]) / np.maximum(n, 1), 0, 1)
                 score = np.clip(mass[np.arange(len(n)), best] / np.maximum(n, 1), 0, 1)
                 texts = b.column("text")
                 none = n == 0
@@ -259,7 +261,7 @@ def _predicted(field: Field):
                     none[i] = not any(c.isalpha() for c in texts[int(i)].as_py())
                 none |= np.array(not field.languages)
                 lang = [("und" if x else field.languages[j]) for x, j in zip(none, best)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(none, 0.0, score))], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(np.where(none, 0.0, sure))], names=["doc_id", "lang_pred", "score", "certainty"])
 
     return run
 
@@ -268,7 +270,7 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """For each row: doc_id, held_out, lang_pred, score; only rows that are not held out were learned from."""
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "lang": ("lang", "string"), "text": ("text", "string")})
     field = fit(*sample(docs, per_lang))
-    out = docs.select("doc_id", "text").mapInArrow(frugal(_predicted(field)), "doc_id bigint, lang_pred string, score double")
+    out = docs.select("doc_id", "text").mapInArrow(frugal(_predicted(field)), "doc_id bigint, lang_pred string, score double, certainty double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -291,17 +293,17 @@ def _labelled(field: Field, at: int):
             own = pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), texts], names=["doc_id", "text"])
             first = 0
             for p in predict(iter([own])):
-                yield pa.RecordBatch.from_arrays([rows.slice(first, p.num_rows), p.column("lang_pred"), p.column("score")], names=["row", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([rows.slice(first, p.num_rows), p.column("lang_pred"), p.column("score"), p.column("certainty")], names=["row", "lang_pred", "score", "certainty"])
                 first += p.num_rows
 
     return run
 
 
 def with_language(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """`docs`, all columns, and lang_pred and score of each row: the rows pass through the labelling, so nothing is joined."""
+    """`docs`, all columns, and of each row lang_pred, score (that language's share) and certainty (the mean of each word's best posterior): the rows pass through the labelling, so nothing is joined."""
     own = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "lang": ("lang", "string"), "text": ("text", "string")})
     field = fit(*sample(own, per_lang))
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "certainty")]
     body = docs.select(F.struct(*(docs[c] for c in rest)).alias("row"))
-    schema = T.StructType([*body.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return body.mapInArrow(frugal(_labelled(field, [c.lower() for c in rest].index("text"))), schema).select("row.*", "lang_pred", "score")
+    schema = T.StructType([*body.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType())])
+    return body.mapInArrow(frugal(_labelled(field, [c.lower() for c in rest].index("text"))), schema).select("row.*", "lang_pred", "score", "certainty")

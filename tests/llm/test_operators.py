@@ -319,6 +319,17 @@ def test_language_of_each_word():
         assert np.allclose(post[a:z], forward_backward(np, scores[a:z], t), atol=1e-4)
 
 
+def test_pipeline_keeps_texts_in_several_languages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    pools = {"en": "the and thing with from shing ward".split(), "fr": "le réeau eaux où très dans ment".split(), "de": "und der über schaft größe nicht keit".split()}
+    rows = [(i, " ".join(rng.choices(pools[x], k=60)), x) for i in range(120) for x in [("en", "fr", "de")[i % 3]]]
+    rows += [(1000 + i, " ".join(w for x in pools for w in rng.choices(pools[x], k=40)), "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.by_language(spark, docs, "").where("doc_id >= 1000").count() == 5
+
+
 def rng_scores(np):
     return np.random.default_rng(0).normal(size=(100, 2)).astype(np.float32)
 
