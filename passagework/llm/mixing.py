@@ -4,8 +4,9 @@ Sources in code point order (null last) weigh 1, 2, 3, 1, ...; the budget is all
 stops at `most` times its source's size and the excess goes to the others by weight until none is above.
 Of a source with target T and size S, every document is taken floor(T / S) times; for the rest R the
 documents are counted by exact length, each length first gives its proportional share, and a bounded
-knapsack over the lengths left (a bitset of reachable sums) closes the remaining budget: exactly if it can be,
-else as near as it can be, on either side.
+knapsack over the lengths left (a bitset of reachable sums, lengths in seeded order) closes the remaining budget: exactly if it can be,
+else as near as it can be, on either side. Shares are rounded at random from a seed, but so that short and long lengths
+round up alike (systematic sampling along the lengths), which leaves at most about the longest document to the knapsack.
 Which documents of a length are taken follows from a seeded hash of doc_id, so reruns agree.
 
 Rows of one (source, length) are dealt over `salts` sub-groups by that hash: whole sub-groups are taken or
@@ -18,6 +19,7 @@ repeated rows count once each and share the hash, so which of them is taken is o
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,9 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import columns_apart, frugal, written
 from .words import counts, slices
 
-#: The knapsack gets a budget of about so many words; lengths' shares and a greedy fill cover the rest.
-KNAPSACK = 1 << 16
-#: Budgets above this are filled greedily first, whatever the lengths.
+#: What the lengths' shares leave above this (only if there are documents of about as many words) is filled with the longest first.
 LARGEST = 1 << 22
 #: Budgets up to this are also tried without the lengths' shares, if those leave no exact sum.
 SMALL = 1 << 17
@@ -54,32 +54,47 @@ def targets(sizes: list[int], most: int = 3) -> list[float]:
     return out
 
 
-def subset(lengths: dict[int, int], budget: int) -> dict[int, int]:
+def shares(lengths: dict[int, int], budget: int, rng: random.Random) -> dict[int, int]:
+    """Documents of each length by their share of the budget; a fraction f gives one more with chance f."""
+    total = sum(k * n for k, n in lengths.items())
+    take, rest = {}, rng.randrange(total)
+    for k in sorted(lengths):
+        whole, part = divmod(lengths[k] * budget, total)
+        up, rest = divmod(rest + part, total)
+        take[k] = whole + up
+    return take
+
+
+def subset(lengths: dict[int, int], budget: int, seed: int = 17) -> dict[int, int]:
     """Documents to take of each length (given: how many there are), with a sum as near `budget` as can be; the lengths' shares may cost a large budget a few words."""
     lengths = {k: n for k, n in lengths.items() if k > 0}
     total = sum(k * n for k, n in lengths.items())
     if budget >= total:
         return dict(lengths)
-    take = {k: n * budget // total for k, n in lengths.items()}
-    left = budget - sum(k * n for k, n in take.items())
-    for keep in (KNAPSACK, 0):
+    rng, goal, left = random.Random(seed), budget, -1
+    while left < 0:
+        take = shares(lengths, goal, rng)
+        left = budget - sum(k * n for k, n in take.items())
+        goal = max(0, goal + min(left, 0))
+    if left > LARGEST:
         for k in sorted(lengths, reverse=True):
-            if keep or left > LARGEST:
-                n = min(lengths[k] - take[k], max(0, left - keep) // k)
-                take[k] += n
-                left -= k * n
-    got = _close(lengths, take, left)
+            n = min(lengths[k] - take[k], left // k)
+            take[k] += n
+            left -= k * n
+    order = sorted(lengths)
+    rng.shuffle(order)
+    got = _close(lengths, take, left, order)
     off = lambda x: abs(budget - sum(k * n for k, n in x.items()))
     if off(got) and budget <= SMALL:
-        got = min(got, _close(lengths, dict.fromkeys(lengths, 0), budget), key=off)
+        got = min(got, _close(lengths, dict.fromkeys(lengths, 0), budget, order), key=off)
     return got
 
 
-def _close(lengths: dict[int, int], take: dict[int, int], left: int) -> dict[int, int]:
+def _close(lengths: dict[int, int], take: dict[int, int], left: int, order: list[int]) -> dict[int, int]:
     """`take` and as many more documents as bring it `left` words further, or as near as can be on either side."""
     take = dict(take)
     mask, reached, steps = (1 << (2 * left + 1)) - 1, 1, []
-    for k in sorted(lengths):
+    for k in order:
         n, part = min(lengths[k] - take[k], 2 * left // k), 1
         while n and not reached >> left & 1:
             part = min(part, n)
@@ -106,11 +121,11 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(counts(b.column("text")), pa.int64()), b.column("u")], names=["doc_id", "source", "size", "u"])
 
 
-def _planned(rows: pd.DataFrame) -> pd.DataFrame:
+def _planned(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     """How many rows of each (length, salt) of one source are taken once more."""
     size, target = int(rows.source_size.iloc[0]), float(rows.target.iloc[0])
     times = int(target // size) if size else 0
-    take = subset(rows.groupby("size").n.sum().astype(int).to_dict(), round(target - times * size)) if size else {}
+    take = subset(rows.groupby("size").n.sum().astype(int).to_dict(), round(target - times * size), seed) if size else {}
     rows = rows.sort_values(["size", "salt"])
     before = rows.groupby("size").n.cumsum() - rows.n
     wanted = rows["size"].map(take).fillna(0).astype("int64")
@@ -134,7 +149,7 @@ def mix(docs: DataFrame, seed: int = 17, most: int = 3) -> DataFrame:
     same = lambda a, b, names: [a[c].eqNullSafe(b[c]) if c == "source" else a[c] == b[c] for c in names]
     hist = sized.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
     hist = hist.join(goals, same(hist, goals, ["source"])).drop(goals["source"])
-    plan = hist.groupBy("source").applyInPandas(_planned, "source string, size bigint, salt bigint, n bigint, source_size bigint, target double, times bigint, extra bigint")
+    plan = hist.groupBy("source").applyInPandas(lambda rows: _planned(rows, seed), "source string, size bigint, salt bigint, n bigint, source_size bigint, target double, times bigint, extra bigint")
     key = ["source", "size", "salt"]
     rows = sized.join(plan, same(sized, plan, key)).select("doc_id", "u", *(sized[c] for c in key), *(plan[c] for c in ("n", "source_size", "target", "times", "extra")))
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))

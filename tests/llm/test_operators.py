@@ -206,6 +206,18 @@ def test_subset_sums_are_exact_where_they_can_be():
     assert mixing.targets([10, 0, 100]) == [pytest.approx(27.5), 0.0, pytest.approx(82.5)]  # the second's share goes to the others as 1 to 3
 
 
+def test_subset_does_not_prefer_short_or_long_documents():
+    rng = random.Random(5)
+    for seed in range(3):
+        sizes = sorted(int(rng.lognormvariate(5.5, 1)) + 1 for _ in range(3000))
+        lengths = Counter(sizes)
+        take = mixing.subset(lengths, sum(sizes) // 2, seed)
+        assert sum(k * n for k, n in take.items()) == sum(sizes) // 2
+        for low, high in ((0, 25), (25, 50), (50, 75), (75, 90), (90, 100)):
+            part = [k for k in lengths if sizes[30 * low] < k <= sizes[30 * high - 1]]
+            assert 0.4 < sum(take[k] for k in part) / sum(lengths[k] for k in part) < 0.6, (seed, low)
+
+
 def test_packing(docs, corpus):
     from passagework.llm.queries import tokenizer_files
     from tokenizers import Tokenizer
