@@ -7,7 +7,8 @@ The rank is the piece's number within its task and length plus the counts of the
 length, however common, is ranked in one task. The plan's size depends on `room` alone.
 
 Defined cases: a null or empty text is the end id alone; an empty table gives no rows; rows that repeat a
-doc_id are packed each for itself; any null doc_id is carried along.
+doc_id are packed each for itself; any null doc_id is carried along. A very long text is tokenised in parts that no
+token crosses; ties (pieces of one length) take that length's slots in the order of their tasks. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,36 +25,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import columns_apart, frugal, written
+from .words import slices
 
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 200_000
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sender int, seq bigint, ids binary"
+_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
-
-class _Cuts(dict):
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, cut: str) -> bytes:
-        return self.encode(cut)
+#: Signs on which the rank form's pattern and the tokenizers file's agree: printable ASCII, tab, line ends, Latin letters and common marks.
+_PLAIN = re.compile(r"[\x20-\x7e\t\n\r\u00a1-\u024f\u2010-\u2027]*").fullmatch
+#: Longer runs of white space go to the tokenizers file, as the rank form's pattern steps back over a run.
+_WIDE_GAP = re.compile(r"\s{1000}").search
+#: A text is cut only where no token of this vocabulary crosses: before a blank that follows a sign and stands before one.
+_CUT = re.compile(r"(?<=\S)(?= \S)").search
 
 
 class Encoder:
     """Token ids of the byte-level BPE in a tokenizers file, as little-endian 32-bit bytes.
 
-    The pattern of this vocabulary never joins text across a space that a non-space follows, so a text is
-    cut there and the ids of the cuts are remembered. Cuts of ASCII and Latin letters go in one call to
-    the same vocabulary in rank form, which is several times as fast; all others, and texts that spell a
-    special token, go to the tokenizers file itself.
+    Whole texts of plain signs go to the same vocabulary in rank form, which is several times as fast. Of all
+    others, and of those that spell a special token, the tokenizers file itself gives the ids. Long texts are
+    encoded in parts of about `PART` characters that no token crosses.
     """
 
+    PART = 1_000_000
+
     def __init__(self, path: str, ranks_path: str | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.cuts = _Cuts(self._slow)
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -62,53 +61,45 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
-            for token, i in ranks.items():
-                self.bytes_of[i] = len(token)
 
-    def _slow(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self._part, self.parts(text))) if len(text) > self.PART else self._part(text)
+
+    def _part(self, text: str) -> bytes:
+        if self.fast and _PLAIN(text) and not _WIDE_GAP(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, cuts: set[str]) -> None:
-        plain = [c for c in cuts if self.fast and _PLAIN(c)]
-        for c in cuts if not self.fast else cuts.difference(plain):
-            self.cuts[c] = self._slow(c)
-        if plain:
-            # a cut starts with a space or opens a text; the latter go alone
-            joined = [c for c in plain if c[0] == " "]
-            for c in plain:
-                if c[0] != " ":
-                    self.cuts[c] = np.array(self.fast.encode_ordinary(c), "<u4").tobytes()
-            if joined:
-                ids = np.array(self.fast.encode_ordinary("".join(joined)), "<u4")
-                ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in joined])
-                at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-                raw, a = ids.tobytes(), 0
-                for c, z in zip(joined, at.tolist()):
-                    self.cuts[c] = raw[4 * a : 4 * z]
-                    a = z
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if _ODD(text):
-            return [c for c in re.split(r"(?=[ ]\S)", text) if c]
-        first, *rest = text.split(" ")
-        return [first, *(" " + c for c in rest)] if first else [" " + c for c in rest]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        whole = [None if not t else t if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        if len(self.cuts) > REMEMBERED:
-            self.cuts.clear()
-        self._learn({c for cuts in whole if type(cuts) is list for c in cuts if c not in self.cuts})
-        known = self.cuts.__getitem__
-        for cuts in whole:
-            out.append(b"" if cuts is None else self._slow(cuts) if type(cuts) is str else b"".join(map(known, cuts)))
-        return out
-
-
-_PLAIN = re.compile(r"[\x20-\x7e\t\n\r¡-ɏ‐-‧]*").fullmatch
-_ODD = re.compile(r" (?:\s|$)|^ ").search
+    @classmethod
+    def parts(cls, text: str) -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            cut = _CUT(text, at + cls.PART)
+            yield text[at : cut.start() if cut else len(text)]
+            at = cut.start() if cut else len(text)
+
+
+def _pieces(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these sizes: each piece's document, number, start and length."""
+    n = -(-sizes // room)
+    row = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = (sizes - 1) % room + 1
+    start = np.where(piece > 0, first[row] + (piece - 1) * room, 0)
+    return row, piece, start, np.where(piece > 0, room, first[row])
+
+
+def _numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each piece's number among those of its length, after those in `seen`, which is brought up to date."""
+    order = np.argsort(lengths, kind="stable")
+    own = lengths[order]
+    begin = np.flatnonzero(np.diff(own, prepend=-1))
+    out = np.empty(len(own), np.int64)
+    out[order] = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own)))) + seen[own]
+    seen += np.bincount(lengths, minlength=len(seen))
+    return out
 
 
 def _tokenised(path: str, ranks_path: str | None, room: int, end_id: int, keep_ids: bool):
@@ -116,28 +107,18 @@ def _tokenised(path: str, ranks_path: str | None, room: int, end_id: int, keep_i
         encoder, sender = Encoder(path, ranks_path), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), np.zeros(room + 1, np.int64)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            doc_ids = batch.column("doc_id").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < 1_000_000:
-                    size += len(texts[to] or "")
-                    to += 1
-                rows = []
-                for doc_id, ids in zip(doc_ids[at:to], encoder.batch(texts[at:to])):
-                    ids += end
-                    total, start, piece = len(ids) // 4, 0, 0
-                    while start < total:
-                        length = (total - start - 1) % room + 1 if not start else room
-                        own = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, piece, start, length, zlib.crc32(own), sender, int(seen[length]), own if keep_ids else None))
-                        seen[length] += 1
-                        start += length
-                        piece += 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _PIECE.split(", ")])
-                at = to
+            for b in slices(batch, "text"):
+                parts = [encoder.ids(t.as_py() or "") + end for t in b.column("text")]
+                sizes = np.array([len(x) for x in parts], np.int64) // 4
+                row, piece, start, length = _pieces(sizes, room)
+                whole = memoryview(b"".join(parts))
+                del parts
+                at = 4 * (np.cumsum(sizes) - sizes)[row] + 4 * start
+                cuts = [whole[a:z] for a, z in zip(at.tolist(), (at + 4 * length).tolist())]
+                crc = np.fromiter(map(zlib.crc32, cuts), np.int64, len(cuts))
+                ids = pa.array([bytes(c) for c in cuts] if keep_ids else [None] * len(cuts), pa.binary())
+                columns = [b.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(row), sender), pa.int32()), pa.array(_numbered(length, seen)), ids]
+                yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     return run
 
@@ -146,7 +127,7 @@ def best_fit(histogram: dict[int, int], room: int) -> list[tuple[int, int, int,
     """Best-fit-decreasing over counts.
 
     Rows (length, first rank, pieces in a bin, first bin, offset in the bin, ranks): the j-th of those ranks goes to bin
-    `first bin + j // pieces` at `offset + j % pieces * length`. Of bins with equal room the earlier is taken.
+    `first bin + j // pieces` at `offset + j % pieces * length`. Of bins with equal room those that got it last are taken.
     """
     free: dict[int, list[tuple[int, int]]] = {}
     plan, bins = [], 0
