@@ -1,20 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass: a block is bad inside a menu, header, footer,
-sidebar, form, advert, notice or comment container or with many links; good inside an article or main element
-or, elsewhere, if it is long with many stop words; near good with some; bad if long without; and
-undecided if short. Second pass: undecided and near-good blocks take the label of the nearest decided
-blocks before and after (near-good ones need one good neighbour, short ones two, headings the next). Good
-blocks are joined in page order by two line feeds; character references are decoded and white space inside a
-block becomes one space.
-
-Defined cases: null or empty html gives an empty text; an unclosed tag, comment or element ends with the page;
-repeated rows are extracted each for itself; extra columns are ignored.
+A page is cut into blocks at block-level tags. First pass, by three densities: a block with many characters inside
+links is bad, a long one with many stop words good, one with some near good, a long one without bad, and a short one undecided.
+Stop words are the page's own: words that come back in several of its blocks, whatever the language; a page too short to
+tell, or on which no block has many of them, goes by length and links alone. Second pass: near-good and undecided blocks take
+the label of the nearest decided blocks before and after (near-good ones need one good neighbour, short ones two, headings the next).
+
+Markup decides before the densities where it is plain. Menus, headers, footers, sidebars, forms, adverts, notices, comments
+and hidden elements, by element, role or a whole class token, are bad with all inside them, block or inline; an
+outer one is not undone by what stands inside, but that a main element always counts, and an article inside a form.
+Inside an article, a main element or one with a class that says so, the container itself is the nearest decided neighbour, and good.
+
+Good blocks are joined in page order by two line feeds; character references are decoded and white space inside a
+block becomes one space. `template` and `svg` are taken as markup; `noscript`, `object` and `math` are read as text.
+
+Defined cases: null or empty html gives an empty text; an unclosed tag, comment or element ends with the page; a
+very long page is one row and takes time in proportion to its length; of neighbours equally near none comes first, as both are asked;
+repeated rows are extracted each for itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,151 +31,232 @@ from pyspark.sql import DataFrame
 
 from .scratch import columns_apart, frugal
 
-#: Frequent function words of the languages on hand.
-STOP_WORDS = frozenset(
-    """
-    a an and are as at be by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you
-    aber als am an auch auf aus bei das dass dem den der des die ein eine einem einen einer er es für hat ich im in ist mit nach nicht noch sich sie sind so und von war wie wir zu zum zur
-    au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour que qui sa se ses son sont sur un une vous
-    al como con de del el ella en era es esta este fue ha hay la las le lo los más me mi no nos o para pero por que se ser si sin sobre son su sus un una y ya
-    """.split()
-)
 #: Element names.
-_BREAKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-_BAD = frozenset("nav footer aside form menu header dialog fieldset select button".split())
-_GOOD = frozenset(["article", "main"])
-_KEPT_OPEN = _BAD | _GOOD | frozenset("div section ul ol dl table blockquote figure details a center".split())
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|related|replies|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+_BREAKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav noscript ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_BAD = frozenset("nav footer aside menu dialog search".split())
+_FORMS = frozenset("form fieldset select button".split())
+_BAD_ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: Class and id tokens that name what is no article, alone or with one common word before or after.
+_AROUND = "area|bar|block|body|bottom|box|buttons?|container|content|email|form|global|google|inner|item|left|links?|list|main|mobile|page|primary|reader|right|secondary|section|site|slot|text|thread|top|unit|user|web|wrapper"
+_BAD_TOKEN = re.compile(
+    rf"(?:(?:{_AROUND})[-_])?(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|cookie[-_](?:notice|banner|consent)|disqus|footer|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promoted|related|replies|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:[-_](?:{_AROUND}|\d+))?",
     re.I,
-)
-_GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[_-]?(?:body|content|text))?(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(
+).fullmatch
+_HEAD_TOKEN = re.compile(r"(?:(?:site|page|global|top|main)[-_])?header|masthead", re.I).fullmatch
+_GOOD_TOKEN = re.compile(r"(?:article|post|entry|story|page|main)(?:[-_](?:body|content|text))|article|post|entry|story|content", re.I).fullmatch
+_TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^>]*\Z",
+    r"|<(?P<raw>script|style|template|textarea|svg|iframe|title|noembed|noframes|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>"
+    r"|<[!?/][^>]*+(?:>|\Z)"
+    r"|<[a-zA-Z][^>]*+\Z",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true)""", re.I)
-_LETTERS = re.compile(r"\w+")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+", re.S)
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I).search
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
+_WORDS = re.compile(r"[⺀-鿿가-힯぀-ヿ]|[^\W\d_]+")
+_WIDE = re.compile(r"[⺀-鿿가-힯぀-ヿ]")
 
 SHORT, LONG = 70, 200
-SOME_STOPS, MANY_STOPS, MANY_LINKS = 0.20, 0.30, 0.33
+SOME_STOPS, MANY_STOPS, MANY_LINKS = 0.15, 0.25, 0.33
+#: Words of a page with which its own stop words can be told, and the longest that such a word is.
+TELLING_WORDS, STOP_LETTERS = 150, 7
+#: How bad: forms, which an article inside undoes, and all else.
+_FORM, _OUT = 1, 2
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        value = m[2] or ""
+        out.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') and value[:1] == value[-1:] and len(value) > 1 else value)
+    return out
+
+
+def _place(name: str, rest: str, bad: int, good: bool) -> tuple[int, bool]:
+    """How bad an element is and whether it is a good container, from its own tag and what it stands in."""
+    own = _attributes(rest) if rest and _TELLING(rest) else {}
+    role = own.get("role", "").lower()
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or ("style" in own and _UNSEEN(own["style"])):
+        return _OUT, good
+    if name == "main" or role == "main":
+        return 0, True
+    tokens = () if name in ("html", "body") else (own.get("class", "") + " " + own.get("id", "")).split()
+    if name in _BAD or role in _BAD_ROLES or any(map(_BAD_TOKEN, tokens)):
+        return _OUT, good
+    if not good and (name == "header" or any(map(_HEAD_TOKEN, tokens))):
+        return _OUT, good
+    if name in _FORMS:
+        return max(bad, _FORM), good
+    if name == "article" or role == "article":
+        return (0, True) if bad <= _FORM else (bad, good)
+    if not good and not bad and name != "a" and any(map(_GOOD_TOKEN, tokens)):
+        return 0, True
+    return bad, good
 
 
 def blocks(page: str) -> list[tuple[str, int, str, bool]]:
     """Text, characters inside links, place ('bad', 'good' or '') and whether a heading, of each block in order."""
     out: list[tuple[str, int, str, bool]] = []
     parts: list[str] = []
-    opened: list[tuple[str, str]] = []
-    linked, links, heading, at = 0, 0, False, 0
+    # open block elements: name, how bad, good; open inline elements of each, from a bad one on
+    frames: list[tuple[str, int, bool]] = [("", 0, False)]
+    inline: list[list[str]] = [[]]
+    open_: Counter[str] = Counter()
+    links, linked, at = 0, 0, 0
 
     def flush() -> None:
-        nonlocal links, heading
-        text = " ".join(unescape("".join(parts)).split())
+        nonlocal links
+        text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            places = [p for _, p in opened if p]
-            bad = "bad" in places and (places[-1] == "bad" or "bad" in places[places.index("good") + 1 :] if "good" in places else True)
-            out.append((text, links, "bad" if bad else "good" if "good" in places else "", heading))
+            name, bad, good = frames[-1]
+            out.append((text, links, "bad" if bad else "good" if good else "", len(name) == 2 and name[0] == "h" and name[1].isdigit()))
         parts.clear()
         links = 0
-        heading = False
+
+    def close(to: int) -> None:
+        nonlocal linked
+        while len(frames) > to:
+            open_[frames.pop()[0]] -= 1
+            inline.pop()
+        if linked > len(frames):
+            linked = 0
 
     def text_until(end: int) -> None:
         nonlocal links
-        if end > at:
+        if end > at and not inline[-1]:
             piece = page[at:end]
             parts.append(piece)
             if linked:
                 links += len(piece.strip())
 
-    for m in _TOKEN.finditer(page):
+    for m in _TAG.finditer(page):
         text_until(m.start())
         at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+        name = (m["name"] or "").lower()
         if not name:
             continue
-        closing, rest = m["end"] or m["end2"], m["rest"] or m["rest2"] or ""
+        ends, rest = bool(m["end"]), m["rest"]
         if name in _BREAKS:
             flush()
-            heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
-        elif name == "br":
-            parts.append(" ")
-        if name not in _KEPT_OPEN:
-            continue
-        if closing:
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == name:
-                    del opened[i:]
-                    break
+            if ends:
+                if open_[name]:
+                    to = len(frames) - 1
+                    while frames[to][0] != name:
+                        to -= 1
+                    close(to)
+                continue
+            while frames[-1][0] in _CLOSED_BY.get(name, _PARAGRAPH):
+                close(len(frames) - 1)
+            if not rest.endswith("/"):
+                _, bad, good = frames[-1]
+                frames.append((name, _OUT, good) if inline[-1] else (name, *_place(name, rest, bad, good)))
+                inline.append([])
+                open_[name] += 1
+        elif name in _VOID:
+            if name == "hr":
+                flush()
+            elif name == "br":
+                parts.append(" ")
+        elif ends:
+            own = inline[-1]
+            if own:
+                if name in own:
+                    while own.pop() != name:
+                        pass
+            elif name == "a":
+                linked = 0
         elif not rest.endswith("/"):
-            place = "bad" if name in _BAD else "good" if name in _GOOD else ""
-            if name == "header" and any(p == "good" for _, p in opened):
-                place = ""
-            named = " ".join(x for t in _NAMES.findall(rest) for x in t if x) if rest else ""
-            if place != "good" and (named and _BAD_NAME.search(named) or rest and _HIDDEN.search(rest)):
-                place = "bad"
-            elif not place and named and name != "a" and _GOOD_NAME.search(named):
-                place = "good"
-            opened.append((name, place))
-        linked = sum(n == "a" for n, _ in opened)
+            if name == "a":
+                linked = len(frames)
+            _, bad, good = frames[-1]
+            if inline[-1] or (not bad and _place(name, rest, 0, good)[0]):
+                inline[-1].append(name)
     text_until(len(page))
     flush()
     return out
 
 
-def first_pass(text: str, links: int, place: str) -> str:
+_PARAGRAPH = frozenset(["p"])
+_CELLS = frozenset(["p", "td", "th"])
+#: Elements that the start of another ends, where they are the innermost.
+_CLOSED_BY = {"li": frozenset(["p", "li"]), "dt": frozenset(["p", "dt", "dd"]), "dd": frozenset(["p", "dt", "dd"]), "td": _CELLS, "th": _CELLS, "tr": _CELLS | {"tr"}, "option": frozenset(["option"]), "body": frozenset(["p", "head"])}
+
+
+def stop_words(found: list[tuple[str, int, str, bool]]) -> frozenset[str] | None:
+    """The page's short words that come back in several blocks which neither markup nor links call bad; None if it is too short to tell."""
+    times, blocks_with = Counter(), Counter()
+    for text, links, place, _ in found:
+        if place != "bad" and links <= MANY_LINKS * len(text):
+            words = _WORDS.findall(text.lower())
+            times.update(words)
+            blocks_with.update(set(words))
+    total = times.total()
+    if total < TELLING_WORDS:
+        return None
+    return frozenset(w for w, n in times.items() if len(w) <= STOP_LETTERS and blocks_with[w] >= 2 and n >= max(3, 0.004 * total))
+
+
+def first_pass(text: str, links: int, place: str, stops: frozenset[str] | None) -> str:
     if place == "bad":
         return "bad"
-    if links > MANY_LINKS * len(text) and place != "good":
-        return "bad"
+    size = len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
     if place == "good":
-        return "good"
-    if text.startswith("©") or "copyright" in text[:40].lower():
+        return "good" if size >= SHORT and links <= MANY_LINKS * len(text) else "inside"
+    if links > MANY_LINKS * len(text) or text.startswith("©") or "copyright" in text[:40].lower():
         return "bad"
-    if len(text) < SHORT:
+    if size < SHORT:
         return "short"
-    words = _LETTERS.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS:
-        return "good" if len(text) > LONG else "near"
-    return "near" if stops >= SOME_STOPS else "bad"
+    share = MANY_STOPS
+    if stops:
+        words = _WORDS.findall(text.lower())
+        share = sum(w in stops for w in words) / max(1, len(words))
+    if share >= MANY_STOPS:
+        return "good" if size > LONG else "near"
+    return "near" if share >= SOME_STOPS else "bad"
 
 
 def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
+    decided = {"good": "good", "inside": "good", "bad": "bad"}
     before, after, last = [], [], "bad"
     for x in labels:
         before.append(last)
-        last = x if x in ("good", "bad") else last
+        last = decided.get(x, last)
     last = "bad"
     for x in reversed(labels):
         after.append(last)
-        last = x if x in ("good", "bad") else last
+        last = decided.get(x, last)
     after.reverse()
+    none_good = not {"good", "inside"} & set(labels)
     out = []
     for i, x in enumerate(labels):
         if x == "near":
-            x = "good" if "good" in (before[i], after[i]) or before[i] == after[i] == "bad" and "good" not in labels else "bad"
+            out.append(none_good or "good" in (before[i], after[i]))
         elif x == "short":
-            x = after[i] if headings[i] else "good" if before[i] == after[i] == "good" else "bad"
-        out.append(x == "good")
+            out.append((after[i] if headings[i] else "good" if before[i] == after[i] == "good" else "bad") == "good")
+        else:
+            out.append(x != "bad")
     return out
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
-    kept = second_pass([first_pass(t, n, p) for t, n, p, _ in found], [h for *_, h in found])
+    stops = stop_words(found) if any(not p for _, _, p, _ in found) else None
+    labels = [first_pass(t, n, p, stops) for t, n, p, _ in found]
+    if stops is not None and not {"good", "inside"} & set(labels):  # no block has many of the page's words: they tell nothing here
+        labels = [first_pass(t, n, p, None) for t, n, p, _ in found]
+    kept = second_pass(labels, [h for *_, h in found])
     return "\n\n".join(b[0] for b, k in zip(found, kept) if k)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [main_text(x) for x in b.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            b = batch.slice(at, 100)
+            texts = [main_text(x.as_py()) for x in b.column("html")]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
