@@ -1,15 +1,17 @@
 """Importance resampling of raw text towards a target by hashed n-gram models.
 
 One- and two-word grams (words `[^\\x20\\x09-\\x0D]+`) are hashed into `BUCKETS` buckets; two bags of buckets, one of
-the target and one of all raw text, are the generative models (add-one smoothed). A document's log weight is its
-mean log ratio a gram times `SCALE`, as of a text of so many grams: length alone then moves no document.
-Gumbel noise, from a seeded hash of doc_id, is added and the k largest are the sample without replacement.
+the target and one of all raw text, are the generative models (add-one smoothed). A document's log weight is the log of its
+probability under the target's model over that under the raw one: the sum over all its grams of their log ratios. Gumbel noise, from a
+seeded hash of doc_id, is added to log weight / `temperature` and the k largest are the sample without replacement. At
+temperature 1 these are importance weights, which long texts spread far: among them the noise decides little. A higher one flattens them.
 
 The target's model is fitted on at most `TARGET_DOCS` target documents, drawn by a hash over all of them; the
 raw model counts every document. The k-th largest key is found by narrowing histograms, so no sort is global.
 
 Defined cases: a text without words (or null) has no weight and is never taken; without target documents all weights are 0;
-repeated rows share their noise, and all rows equal to the k-th key are taken; an empty table gives no rows.
+repeated rows share their noise, and all rows equal to the k-th key are taken (ties); a very long text is weighed whole, in one row; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from .scratch import columns_apart, frugal, written
 from .words import find, hashed, mix, slices, utf8
 
 BUCKETS = 10_000
-SCALE = 100.0
 TARGET_DOCS = 20_000
 
 
@@ -64,9 +65,10 @@ def _weighed(ratio: np.ndarray):
         for batch in batches:
             for b in slices(batch, "text"):
                 buckets, first = grams(b.column("text"))
-                total = np.concatenate([[0.0], np.cumsum(ratio[buckets])])
                 n = np.diff(first)
-                weight = SCALE * (total[first[1:]] - total[first[:-1]]) / np.maximum(1, n)
+                weight = np.zeros(len(n))
+                if len(buckets):
+                    weight[n > 0] = np.add.reduceat(ratio[buckets], first[:-1][n > 0])  # each row by itself, so equal texts weigh the same
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(weight, mask=n == 0)], names=["doc_id", "n_grams", "log_weight"])
 
     return run
@@ -101,15 +103,15 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 5_000) -> float |
             above += r.n
 
 
-def resample(docs: DataFrame, target: DataFrame, keep: float = 0.85, seed: int = 23, target_docs: int = TARGET_DOCS) -> DataFrame:
-    """For each row: doc_id, n_grams, log_weight, key (log weight plus noise), kept. target: doc_id of the target's documents, which are among `docs`."""
+def resample(docs: DataFrame, target: DataFrame, keep: float = 0.85, seed: int = 23, target_docs: int = TARGET_DOCS, temperature: float = 1.0) -> DataFrame:
+    """For each row: doc_id, n_grams, log_weight, key (log weight / temperature plus noise), kept. target: doc_id of the target's documents, which are among `docs`."""
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "text": ("text", "string")})
     drawn = columns_apart(target, {"doc_id": ("doc_id", "bigint")}).where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(target_docs)
     ids = np.array([r.doc_id for r in drawn.collect()], np.int64)
     ratio = log_ratios(docs, ids)
     uniform = (F.xxhash64(F.lit(seed + 1), "doc_id") / F.lit(2.0**64)) + F.lit(0.5)
     noise = -F.log(-F.log(F.greatest(F.lit(1e-300), F.least(uniform, F.lit(1 - 2.0**-53)))))
-    scored = docs.mapInArrow(frugal(_weighed(ratio)), "doc_id bigint, n_grams bigint, log_weight double").withColumn("key", F.col("log_weight") + noise)
+    scored = docs.mapInArrow(frugal(_weighed(ratio)), "doc_id bigint, n_grams bigint, log_weight double").withColumn("key", F.col("log_weight") / temperature + noise)
     scored = written(scored, "scored")
     least = kth_largest(scored, "key", round(keep * scored.count()))
     kept = F.coalesce(F.col("key") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
