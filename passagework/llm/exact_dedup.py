@@ -14,7 +14,8 @@ is the empty one. Of equal texts the row with the smallest doc_id stays.
 
 Defined cases: a row without doc_id is always compared; in a group, rows without doc_id stay only if no
 row has one. Rows that repeat the smallest doc_id with an equal text are all `kept` in `groups` (doc_id
-is the only handle to a row there); `deduplicated` returns one of them. An empty table gives no rows.
+is the only handle to a row there); `deduplicated` returns one of them. An empty table gives no rows. A very long
+text is compared like others, its bytes read in one row; extra columns are ignored by `groups` and kept by `deduplicated`, whatever their names.
 Two different texts of equal SHA-256, fingerprint and length would stop the job.
 """
 
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import columns_apart, frugal, shuffle_partitions, written
@@ -134,25 +135,32 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(out)], names=["doc_id"])
 
 
-def _probes(bits: int):
-    h = F.xxhash64("doc_id")
+def _probes(bits: int, column: str = "doc_id"):
+    h = F.xxhash64(column)
     return [F.pmod(F.shiftright(h, s), F.lit(bits)) for s in (0, 17, 34)]
 
 
 def _bloom(suspects: DataFrame) -> tuple[np.ndarray, int]:
     bits = min(FILTER_BITS, max(1 << 10, 1 << math.ceil(math.log2(16 * max(1, suspects.count())))))
-    words = (
-        suspects.select(F.explode(F.array(*_probes(bits))).alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("m"))
-        .toPandas()  # bits / 64 rows at most
-    )
-    out = np.zeros(bits // 64, np.int64)
-    out[words.w.to_numpy(np.int64)] = words.m.to_numpy(np.int64)
+    words = suspects.select(F.explode(F.array(*_probes(bits))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("m"))
+    # the driver gets blocks of 64 KB, 8 MB in all at most, not a row a word
+    blocks = words.groupBy(F.shiftright("w", _BLOCK).alias("block")).applyInPandas(_one_block, "block bigint, raw binary").collect()
+    out = np.zeros(max(bits // 64, 1 << _BLOCK), np.int64)
+    for r in blocks:
+        out[r.block << _BLOCK : (r.block + 1) << _BLOCK] = np.frombuffer(r.raw, np.int64)
     return out.view(np.uint64), bits
 
 
-def _passing(spark, bloom: np.ndarray, bits: int):
+_BLOCK = 13
+
+
+def _one_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    raw = np.zeros(1 << _BLOCK, np.int64)
+    raw[rows.w.to_numpy(np.int64) & (1 << _BLOCK) - 1] = rows.m.to_numpy(np.int64)
+    return pd.DataFrame({"block": [key[0]], "raw": [raw.tobytes()]})
+
+
+def _passing(spark, bloom: np.ndarray, bits: int, column: str = "doc_id"):
     shared = spark.sparkContext.broadcast(bloom)
 
     @F.pandas_udf("boolean")
@@ -163,7 +171,7 @@ def _passing(spark, bloom: np.ndarray, bits: int):
             ok &= ((table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
         return pd.Series(ok)
 
-    return passes(*_probes(bits))
+    return passes(*_probes(bits, column))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -207,19 +215,27 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` (with a column `id`) in two: rows that may be among `ids` (doc_id), or have none; and rows that surely are not, which need no join."""
+    passes = _passing(docs.sparkSession, *_bloom(ids), column="id")
+    return docs.where(F.col("id").isNull() | passes), docs.where(F.col("id").isNotNull() & ~passes)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that stay: one for each different text.
 
-    Rows go by doc_id; among rows that share both doc_id and text (or have no doc_id), one of each text stays.
+    Rows go by doc_id; among rows that share both doc_id and text (or have no doc_id), one of each text stays. Only
+    rows that may have to go are shuffled.
     """
     decided = written(groups(docs), "decided")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("bigint").alias("id"), F.sha2(normalised(docs["text"].cast("string")), 256).alias("own"))
-    gone = decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    left = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("own") == F.col("gone_sha")), "left_anti")
-    again = decided.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    gone = written(decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
+    again = written(decided.where("kept and group_size > 1 and doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id"), "again")
+    body = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("bigint").alias("id"), docs["text"].cast("string").alias("own"))
+    asked, rest = apart(body, gone.select(F.col("gone_id").alias("doc_id")).union(again))
+    asked = asked.withColumn("own", F.sha2(normalised(F.col("own")), 256))
+    left = asked.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("own") == F.col("gone_sha")), "left_anti")
     if not again.isEmpty() or not decided.where("doc_id is null").isEmpty():
-        # rows that doc_id cannot tell apart
+        # rows that doc_id cannot tell apart; equal ones meet after partial aggregation
         known = decided.where("keep_id is not null and group_size > 1").select(F.col("text_sha256").alias("known_sha")).distinct()
-        left = left.join(known, F.col("id").isNull() & (F.col("own") == F.col("known_sha")), "left_anti")
-        left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "own").orderBy("own"))).where("nth = 1")
-    return left.select("row.*")
+        left = left.join(known, F.col("id").isNull() & (F.col("own") == F.col("known_sha")), "left_anti").dropDuplicates(["id", "own"])
+    return left.select("row.*").unionByName(rest.select("row.*"))

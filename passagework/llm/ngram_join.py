@@ -13,6 +13,8 @@ in several nodes is counted in one of them.
 
 Defined cases: a null text or one without words has no links and a class of its own; rows without doc_id are in the
 class of an equal text that has one, else have none; rows that repeat a doc_id share its class; an empty table gives no rows.
+A very long text is one row with all its shingles; ties do not arise, as a class goes by its smallest doc_id; extra columns are ignored
+by `classes` and kept by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exact_dedup import _bloom, _passing
+from .exact_dedup import _bloom, _passing, apart
 from .scratch import columns_apart, frugal, written
 from .words import find, hashed, mix, shingles, slices, utf8
 
@@ -35,8 +37,6 @@ WIDTH, TRIES, DEPTH = 5, 16, 8
 SMALL = 32
 #: Texts of a block of a large node, least and most (a quarter of the node in between), and shingles, about.
 LEAST_BLOCK, BLOCK_TEXTS, BLOCK_SHINGLES = 256, 2048, 1_000_000
-#: A pair of a large node is verified unless its labels agree in less than this share (at 0.8 that is 5 deviations off).
-LEAST_AGREED = 0.6
 _rng = np.random.default_rng(11)
 _FLIP = _rng.integers(0, 2**32, TRIES * DEPTH, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, TRIES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -145,7 +145,6 @@ def _block(threshold: float):
         ids, block, copies = rows.id.to_numpy(), rows.block.to_numpy(), rows.copies.to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
         size = np.array([len(s) for s in sets])
-        sig = np.stack([np.frombuffer(s, np.uint16) for s in rows.sig])
         large = np.zeros((len(ids), TRIES), np.int64)
         for i, pairs in enumerate(rows.large):
             for p in pairs:
@@ -156,7 +155,6 @@ def _block(threshold: float):
             others = whole[i + 1 :] if first == second else whole[block == second] if block[i] == first else whole[:0]
             low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
             others = others[low >= threshold * high]
-            others = others[(sig[others] == sig[i]).mean(axis=1) >= LEAST_AGREED] if len(others) else others
             if not len(others):
                 continue
             if bits is not None:
@@ -201,7 +199,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> D
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(many.select("id")).distinct(), "wanted")
     passing = docs.where("doc_id is not null and text is not null").where(_passing(spark, *_bloom(wanted)))
     sets = passing.mapInArrow(frugal(_shingle_sets), "id bigint, set binary")
-    facts = whole.select("id", "copies", "sig").join(large, "id", "left")
+    facts = whole.select("id", "copies").join(large, "id", "left")
     sets = sets.join(wanted, sets["id"] == wanted["doc_id"]).drop("doc_id").dropDuplicates(["id"])
     sets = written(sets.join(facts, "id"), "sets")
 
@@ -235,6 +233,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> D
 def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
     """The rows of `docs`, all columns, whose document is the first of its class; rows without doc_id stay."""
     found = classes(docs, threshold, recall)
-    gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = written(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
     body = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("bigint").alias("id"))
-    return body.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
+    asked, rest = apart(body, gone)
+    left = asked.join(gone, F.col("id") == F.col("doc_id"), "left_anti")
+    return left.select("row.*").unionByName(rest.select("row.*"))

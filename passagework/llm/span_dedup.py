@@ -1,21 +1,22 @@
 """Removal of passages that other documents have too: runs of consecutive sentences, and runs of words wherever they sit.
 
-Words are `[^\\x20\\x09-\\x0D]+`; a sentence ends with a word that ends in `.`, `!` or `?` (closing quotes and brackets may
-follow), or at a line feed. From every sentence two runs start: the shortest one forward and the shortest one backward that has
-`SENTENCES` sentences and `WORDS` words at least; so any passage with that many is covered up to its last sentence. Runs are joined by
-their hash over all documents; of equal runs the first, by doc_id and place, stays, and a sentence goes if any run that covers it is another.
+Words are `[^\\x20\\x09-\\x0D]+`, parted also after `。`, `！` and `？`; a sentence ends there, with a word that ends in `.`, `!` or `?`
+(closing quotes and brackets may follow), or at a line feed. From every sentence starts a run of `SENTENCES` consecutive ones, however
+short. Runs are joined by their hash over all documents; of equal runs the first, by doc_id and place, stays, and a
+sentence goes if any run that covers it is another.
 
-A passage that sits inside a host's sentences, or is one long sentence, has no such run. So of any `LONG` words in a row that a document
+A passage that sits inside a host's sentences, or is one or two long ones, has no such run. So of any `LONG` words in a row that a document
 with a smaller doc_id has too, all words go, whatever the sentences. Windows of `LONG` words are compared only about anchors, runs of
 `ANCHOR` words with the least hash of all in some window: equal windows have equal anchors. Anchors that two documents share,
 and about which one that is not the first has words left, tell which windows of all documents are compared.
 
-Only hashes are shuffled: runs are aggregated to their first place, and only runs that pass a Bloom filter of the
-repeated hashes (of bounded size; what it lets through by mistake finds no partner) are joined with it. Texts of documents
-without a repeated run or anchor are never shuffled.
+What is removed goes by 128 bits of hash. Only hashes are shuffled: runs are aggregated to their first place, and only runs that pass
+a Bloom filter of the repeated hashes (of bounded size; what it lets through by mistake finds no partner) are joined with it. Texts of
+documents without a repeated run or anchor are never shuffled.
 
 Defined cases: a null text is empty; rows without doc_id pass unchanged and are no one's first; rows that repeat a doc_id are one document
-and each loses the same words; a text shorter than a run passes unchanged; an empty table gives no rows.
+and each loses the same words; a text shorter than a run passes unchanged; a very long text is one row; of equal runs in one document (ties) the first
+place stays; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .exact_dedup import _bloom, _passing
 from .scratch import columns_apart, frugal, written
 from .words import find, hashed, mix, slices, utf8
 
-SENTENCES, WORDS = 2, 25
+SENTENCES = 3
 LONG, ANCHOR = 50, 25
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
@@ -50,48 +51,56 @@ def _ending(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return data[at]
 
 
+def _wide_stops(data: np.ndarray) -> np.ndarray:
+    """Places after `。`, `！` and `？`."""
+    if len(data) < 3 or not (data >= 0xE3).any():
+        return np.zeros(0, np.int64)
+    x, y, z = data[:-2], data[1:-1], data[2:]
+    return np.flatnonzero(((x == 0xE3) & (y == 0x80) & (z == 0x82)) | ((x == 0xEF) & (y == 0xBC) & ((z == 0x81) | (z == 0x9F)))) + 3
+
+
 def sentences(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts and ends, each row's first word, each sentence's first word (one more), each row's first sentence (one more)."""
-    starts, ends, at = find(data, rows)
+    wide = _wide_stops(data)
+    starts, ends, at = find(data, rows, wide)
     n = len(starts)
     if not n:
         return starts, ends, at, np.zeros(1, np.int64), np.zeros(len(rows), np.int64)
     feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
     last = _STOPS[_ending(data, starts, ends)]
     last[:-1] |= feeds[starts[1:]] > feeds[ends[:-1]]
+    if len(wide):
+        last |= np.isin(ends, wide)
     whole = at[1:][np.diff(at) > 0] - 1
     last[whole] = True
     first = np.concatenate([[0], np.flatnonzero(last) + 1])
     return starts, ends, at, first, np.searchsorted(first, at, side="left")
 
 
-def _hashes(words: np.ndarray):
+_TWIN = np.uint64(0xA0761D6478BD642F)
+
+
+def _hashes(words: np.ndarray, base: int = 0x9E3779B97F4A7C15):
     """The hash of words from `a` to `z`: a polynomial of the words, from prefix sums of word * base ** place."""
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    inverse = pow(base, -1, 1 << 64)
     powers = np.cumprod(np.full(len(words) + 1, base, np.uint64), dtype=np.uint64)
     back = np.cumprod(np.full(len(words) + 1, inverse, np.uint64), dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)])
     return lambda a, z: mix((sums[z] - sums[a]) * back[a] + (z - a).astype(np.uint64))
 
 
-def runs(starts: np.ndarray, at: np.ndarray, first: np.ndarray, s_at: np.ndarray, hash_of) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word inside the row, number of words, and hash, of every run of sentences."""
-    total = len(first) - 1
-    if not total:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    row = np.repeat(np.arange(len(at) - 1), np.diff(s_at))
-    low, high = s_at[row], s_at[row + 1]
-    s = np.arange(total)
-    forward = np.maximum(np.searchsorted(first, first[:-1] + WORDS, side="left"), s + SENTENCES)
-    backward = np.minimum(np.searchsorted(first, first[1:] - WORDS, side="right") - 1, s + 1 - SENTENCES)
-    ok_f, ok_b = forward <= high, backward >= low
-    a = np.concatenate([s[ok_f], backward[ok_b]])
-    z = np.concatenate([forward[ok_f], s[ok_b] + 1])
-    owner = np.concatenate([row[ok_f], row[ok_b]])
-    both = np.unique(a * (total + 1) + z, return_index=True)[1]
-    a, z, owner = a[both], z[both], owner[both]
-    return owner, first[a] - at[owner], first[z] - first[a], hash_of(first[a], first[z]).view(np.int64)
+def _both(words: np.ndarray):
+    """Two hashes, 128 bits in all, of the words from `a` to `z`."""
+    return _hashes(words), _hashes(mix(words ^ _TWIN), 0xE7037ED1A0B428DB)
+
+
+def runs(at: np.ndarray, first: np.ndarray, s_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word, and word after the last, of every run of `SENTENCES` sentences."""
+    s = np.arange(max(0, len(first) - SENTENCES))
+    row = np.repeat(np.arange(len(at) - 1), np.diff(s_at))[: len(s)]
+    s = s[s + SENTENCES <= s_at[row + 1]] if len(s) else s
+    row = row[s]
+    return row, first[s], first[s + SENTENCES]
 
 
 def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -102,12 +111,12 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[: len(x) - (n - wide)], x[n - wide :])
 
 
-def anchors(at: np.ndarray, hash_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word inside the row, and hash, of every run of `ANCHOR` words that has the least hash in some window of `LONG` words."""
+def anchors(at: np.ndarray, hash_of) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word of every run of `ANCHOR` words that has the least hash in some window of `LONG` words."""
     total, span = int(at[-1]), LONG - ANCHOR + 1
     if total < LONG:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     begin = np.arange(total - ANCHOR + 1)
     h = mix(hash_of(begin, begin + ANCHOR) ^ _SALT)
@@ -115,7 +124,10 @@ def anchors(at: np.ndarray, hash_of) -> tuple[np.ndarray, np.ndarray, np.ndarray
     least[at[row[: len(least)] + 1] < np.arange(len(least)) + LONG] = 0  # windows that leave their row
     edge = np.zeros(span - 1, np.uint64)
     chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == h)
-    return row[chosen], chosen - at[row[chosen]], h[chosen].view(np.int64)
+    return row[chosen], chosen
+
+
+_SPANS = "doc_id bigint, twin bigint, owner bigint, place int, size int, words int"
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +136,15 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batch, "text"):
             data, rows = utf8(b.column("text"))
             starts, ends, at, first, s_at = sentences(data, rows)
-            hash_of = _hashes(hashed(data, starts, ends))
-            owner, place, size, h = runs(starts, at, first, s_at, hash_of)
-            row, begin, own = anchors(at, hash_of)
-            owner, place, size, h = np.append(owner, row), np.append(place, begin), np.append(size, np.zeros(len(row), np.int64)), np.append(h, own)
+            one, two = _both(hashed(data, starts, ends))
+            owner, a, z = runs(at, first, s_at)
+            row, begin = anchors(at, one)
+            h = np.append(one(a, z), mix(one(begin, begin + ANCHOR) ^ _SALT)).view(np.int64)
+            twin = np.append(two(a, z), np.zeros(len(row), np.uint64)).view(np.int64)
+            owner, place, size = np.append(owner, row), np.append(a, begin), np.append(z - a, np.zeros(len(row), np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), b.column("doc_id").take(pa.array(owner)), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.diff(at)[owner], pa.int32())],
-                names=["doc_id", "owner", "place", "size", "words"],
+                [pa.array(h), pa.array(twin), b.column("doc_id").take(pa.array(owner)), pa.array(place - at[owner], pa.int32()), pa.array(size, pa.int32()), pa.array(np.diff(at)[owner], pa.int32())],
+                names=["doc_id", "twin", "owner", "place", "size", "words"],
             )
 
 
@@ -160,7 +174,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch, "text"):
             data, rows = utf8(b.column("text"))
-            starts, ends, at = find(data, rows)
+            starts, ends, at = find(data, rows, _wide_stops(data))
             near = b.column("near")
             places = near.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), np.diff(near.offsets.to_numpy()))
@@ -171,8 +185,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wanted[at[row[ok]] + begin[ok]] = True
             begin = np.flatnonzero(wanted)
             owner = np.searchsorted(at, begin, side="right") - 1
-            h = _hashes(hashed(data, starts, ends))(begin, begin + LONG).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("doc_id").take(pa.array(owner)), pa.array(begin - at[owner], pa.int32())], names=["doc_id", "owner", "place"])
+            h, twin = (hash_of(begin, begin + LONG).view(np.int64) for hash_of in _both(hashed(data, starts, ends)))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(twin), b.column("doc_id").take(pa.array(owner)), pa.array(begin - at[owner], pa.int32())], names=["doc_id", "twin", "owner", "place"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +213,16 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeated(spans: DataFrame, name: str) -> DataFrame:
     """Spans whose hash (named doc_id, the name that the filter goes by) is another's too, with the first of them and the last owner."""
-    firsts = spans.groupBy("doc_id").agg(F.min(F.struct("owner", "place")).alias("first"), F.max("owner").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = spans.groupBy("doc_id", "twin").agg(F.min(F.struct("owner", "place")).alias("first"), F.max("owner").alias("last"), F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.where("n > 1").drop("n"), name)
-    return spans.where(_passing(spans.sparkSession, *_bloom(firsts.select("doc_id")))).join(firsts, "doc_id")
+    return spans.where(_passing(spans.sparkSession, *_bloom(firsts.select("doc_id")))).join(firsts, ["doc_id", "twin"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, text without repeated passages, n_sentences (before), n_removed (sentences that lost words, mostly all)."""
     spark = docs.sparkSession
     docs = columns_apart(docs, {"doc_id": ("doc_id", "bigint"), "text": ("text", "string")})
-    spans = written(docs.where("doc_id is not null").mapInArrow(frugal(_spans), "doc_id bigint, owner bigint, place int, size int, words int"), "spans")
+    spans = written(docs.where("doc_id is not null").mapInArrow(frugal(_spans), _SPANS), "spans")
     other = (F.col("owner") != F.col("first.owner")) | (F.col("place") != F.col("first.place"))
     found = _repeated(spans, "firsts").where(F.when(F.col("size") > 0, other).otherwise(F.col("last") != F.col("first.owner")))
     found = found.select("owner", "place", "size", "words", (F.col("owner") != F.col("first.owner")).alias("later"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(0).alias("hash")).distinct()
@@ -220,7 +234,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     near = written(places.groupBy(F.col("owner").alias("id")).agg(F.collect_list("place").alias("near")), "near")
     about = docs.where(F.col("doc_id").isNotNull() & _passing(spark, *_bloom(near.select(F.col("id").alias("doc_id")))))
     about = about.join(near, about["doc_id"] == near["id"]).select("doc_id", "text", "near")
-    windows = written(about.mapInArrow(frugal(_windows), "doc_id bigint, owner bigint, place int"), "windows")
+    windows = written(about.mapInArrow(frugal(_windows), "doc_id bigint, twin bigint, owner bigint, place int"), "windows")
     long = _repeated(windows, "first-windows").where(F.col("owner") != F.col("first.owner")).select("owner", "place", F.lit(LONG).alias("size")).distinct()
 
     taken = found.select("owner", F.explode(F.filter("found", lambda x: x["size"] > 0)).alias("x")).select("owner", "x.place", "x.size").union(long)

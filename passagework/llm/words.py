@@ -48,14 +48,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def find(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and for each row its first word's place in those (one more than rows)."""
+def find(data: np.ndarray, rows: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and for each row its first word's place in those (one more than rows). cuts: places that part words as well."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(rows), np.int64)
     edge = np.zeros(n + 1, dtype=bool)
     edge[rows] = True
+    if cuts is not None:
+        edge[cuts] = True
     solid = ~_SPACE[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1] | edge[1:n]
