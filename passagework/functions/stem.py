@@ -41,7 +41,7 @@ def _table(text: str) -> list[tuple[str, str]]:
     return sorted((tuple(x.split(" ")) for x in text.split(",")), key=lambda x: -len(x[0]))
 
 
-_TWO, _THREE, _FOUR = _table(_STEP2), _table(_STEP3), sorted(_STEP4.split(), key=len, reverse=True)
+TWO, THREE, FOUR = _table(_STEP2), _table(_STEP3), sorted(_STEP4.split(), key=len, reverse=True)
 
 
 def stem(w: str) -> str:
@@ -65,13 +65,13 @@ def stem(w: str) -> str:
                 w = cut + "e" if _measure(cut) == 1 and _cvc(cut) else cut
     if w.endswith("y") and _vowel(w[:-1]):
         w = w[:-1] + "i"
-    for rules in (_TWO, _THREE):
+    for rules in (TWO, THREE):
         for old, new in rules:
             if w.endswith(old):
                 if _measure(w[: -len(old)]) > 0:
                     w = w[: -len(old)] + new
                 break
-    for old in _FOUR:
+    for old in FOUR:
         if w.endswith(old):
             base = w[: -len(old)]
             if _measure(base) > 1 and (old != "ion" or base.endswith(("s", "t"))):
@@ -91,3 +91,10 @@ def stem_words(words: pd.Series) -> pd.Series:
     """Over distinct words it pays to stem a vocabulary once and join it; see operators.index."""
     known = {w: stem(w) for w in words.dropna().unique()}
     return words.map(known)
+
+
+@arrow_udf("array<string>")
+def stem_phrases(terms: pd.Series) -> pd.Series:
+    """Of each array the distinct phrases of stems, in order: the parts of a term at `_`, each stemmed, with blanks between."""
+    phrase = lambda term: " ".join(stem(part) for part in term.split("_") if part)
+    return terms.map(lambda own: [] if own is None else list(dict.fromkeys(filter(None, map(phrase, own)))))

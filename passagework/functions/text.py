@@ -93,7 +93,7 @@ def one_liner(c: Column) -> Column:
 
 def exact_tokens(c: Column) -> Column:
     """Identifiers whole; the marks `.:/-` are trimmed at both ends, in texts and queries alike."""
-    return F.filter(F.transform(_all(F.lower(c), _EXACT), lambda t: F.regexp_replace(t, "^[.:/-]+|[.:/-]+$", "")), lambda t: t != "")
+    return _all(F.lower(c), r"[\p{L}\p{N}_](?:[\p{L}\p{N}_.:/-]*[\p{L}\p{N}_])?")
 
 
 def word_tokens(c: Column) -> Column:
@@ -107,11 +107,11 @@ def without_stop_words(words: Column) -> Column:
 
 
 def query_terms(q: Column, exact: bool = False) -> Column:
-    """Distinct terms of a query: stop words dropped unless nothing is left, then one-character words."""
+    """Distinct terms of a query, folded as the index is: stop words dropped unless nothing is left, then one-character words."""
     words = without_stop_words(_all(q, _EXACT if exact else _WORD))
     if exact:
         words = F.transform(words, lambda t: F.regexp_replace(t, "^[.:/-]+|[.:/-]+$", ""))
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 1), F.lower))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: fold(F.lower(w))))
 
 
 def looks_like_identifier(q: Column) -> Column:
@@ -126,9 +126,10 @@ def wants_graph(q: Column, n_entities: Column) -> Column:
     return (n_entities >= 2) | ((n_entities == 1) & is_relational(q))
 
 
-def _plain(first: int = 0xC0, last: int = 0x17F) -> tuple[str, str]:
+def _plain() -> tuple[str, str]:
     """Latin letters that decompose into an ASCII letter and marks, and those letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(first, last + 1) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    pairs = [(a, b) for a, b in pairs if b.isascii()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -215,7 +216,7 @@ def sentences(c: Column, marks: str = ".!?\n") -> Column:
 
 def spoken_sentences(c: Column) -> Column:
     """Sentences that keep their mark: `.`, `!` or `?` before white space or the end."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def slug(title: Column) -> Column:
@@ -282,15 +283,18 @@ def valid_name(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z0-9._-]{1,64}$") & ~c.isin(".", "..")
 
 
+#: What a message says when arguments were wrong.
+ARGUMENT_HINTS = ("is required", "must be one of", "must name", "usage:", "needs ", "bad ", "malformed", "not a memo://")
+
+
 def error_class(message: Column) -> Column:
     m = F.lower(message)
-    bad = ["required", "invalid", "must be", "unknown", "cannot parse"]
-    any_of = m.contains(bad[0])
-    for b in bad[1:]:
-        any_of = any_of | m.contains(b)
+    any_of = m.contains(ARGUMENT_HINTS[0])
+    for hint in ARGUMENT_HINTS[1:]:
+        any_of = any_of | m.contains(hint)
     return (
         F.when(m.contains("was forgotten"), "forgotten")
-        .when(m.contains("not found") | m.contains("no rows"), "not_found")
+        .when(m.contains("not found"), "not_found")
         .when(m.contains("needs a human"), "needs_human")
         .when(m.contains("context canceled") | m.contains("deadline exceeded"), "canceled")
         .when(any_of, "invalid_args")

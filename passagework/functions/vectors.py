@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,28 +32,32 @@ def truncate_normalize(v: Column, n: int) -> Column:
     return bound(F.sqrt(dot(head, head)), lambda size: F.when(size > 0, F.transform(head, lambda x: x / size)).otherwise(head))
 
 
+#: Directions that a worker remembers.
+REMEMBERED = 50_000
+_words = re.compile(r"[^\W_]+").findall
+
+
 def _direction(word: str, dim: int) -> np.ndarray:
-    seed = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-    return np.random.default_rng(seed).standard_normal(dim)
+    """8 signed steps by the bytes of the word's MD5, two a step: dimension `first mod dim`, plus 1 if the second is below 128, else minus 1."""
+    own = np.frombuffer(hashlib.md5(word.encode()).digest(), np.uint8)
+    return np.bincount(own[::2] % dim, np.where(own[1::2] < 128, 1.0, -1.0), dim)
 
 
 def hash_embed(text: str, dim: int = 256, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
-    """Sum over words (letters and digits, lower case) of (1 + ln tf) times a fixed gaussian direction of the word; unit length.
+    """Sum over words (letters and digits, lower case) of (1 + ln tf) times a fixed direction of the word; unit length.
 
     known: directions met before, kept up to a bound.
     """
     known = {} if known is None else known
-    words: dict[str, int] = {}
-    for w in "".join(c if c.isalnum() else " " for c in text.lower()).split():
-        words[w] = words.get(w, 0) + 1
-    if len(known) > 50_000:
+    words = Counter(_words(text.lower()))
+    if not words:
+        return np.zeros(dim, np.float32)
+    if len(known) > REMEMBERED:
         known.clear()
-    out = np.zeros(dim)
-    for w, n in sorted(words.items()):
-        v = known.get(w)
-        if v is None:
-            v = known[w] = _direction(w, dim)
-        out += (1 + np.log(n)) * v
+    for w in words:
+        if w not in known:
+            known[w] = _direction(w, dim)
+    out = (1 + np.log(np.fromiter(words.values(), np.float64, len(words)))) @ np.stack([known[w] for w in words])
     size = np.linalg.norm(out)
     return (out / size if size else out).astype(np.float32)
 

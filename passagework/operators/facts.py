@@ -44,6 +44,11 @@ def state(remembered: DataFrame, tombstones: DataFrame | None = None, trusts: Da
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
+def subject(about: Column) -> Column:
+    """The key of the first name that a fact is about."""
+    return X.entity_key(F.try_element_at(F.filter(about, lambda a: F.trim(a) != ""), F.lit(1)))
+
+
 def tombstone_message(deleted_at_ms: Column, reason: Column) -> Column:
     return F.concat(F.lit("was forgotten on "), F.date_format(F.timestamp_millis(deleted_at_ms), "yyyy-MM-dd"), F.lit(": "), reason)
 

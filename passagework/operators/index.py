@@ -5,25 +5,34 @@ Rankings have one schema: query_id, arm, id, rank, raw. Ties go to the smaller i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..functions.stem import stem_words
+from ..functions.stem import stem_phrases, stem_words
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Asked words up to which they are broadcast to the tokens; a larger batch is joined by shuffling.
+FEW_WORDS = 200_000
+#: Query vectors that are broadcast at once.
+FEW_QUERIES = 10_000
+
+POSTINGS = "kind string, term string, id long, size int, tf long, positions array<int>"
 
 
 def tokenised(texts: DataFrame, id_: str, body: Column, exact: bool = False) -> DataFrame:
-    """id, tokens, size of each text."""
+    """id, tokens (folded), size of each text."""
+    body = X.fold(body)
     return texts.select(F.col(id_).alias("id"), (X.exact_tokens(body) if exact else X.word_tokens(body)).alias("tokens")).withColumn("size", F.size("tokens"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """term, id, tf, positions (from 0)."""
-    spread = tokens.select("id", F.posexplode("tokens").alias("pos", "term"))
-    return spread.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """term, id, size, tf, positions (from 0)."""
+    spread = tokens.select("id", "size", F.posexplode("tokens").alias("pos", "term"))
+    return spread.groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -32,24 +41,78 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def stemmed(tokens: DataFrame) -> DataFrame:
-    """The tokens with each term replaced by its stem, order kept."""
-    spread = tokens.select("id", "size", F.posexplode("tokens").alias("pos", "term")).join(vocabulary(tokens), "term")
-    return spread.groupBy("id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("tokens"))
+    """Postings of stems: terms of one stem in a text are one, with all their positions."""
+    spelled = postings(tokens).join(vocabulary(tokens).withColumnRenamed("term", "_t"), F.col("term") == F.col("_t"))
+    merged = spelled.groupBy(F.col("stem").alias("term"), "id", "size").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return merged
+
+
+def stored(texts: DataFrame, id_: str, header: Column, body: Column) -> DataFrame:
+    """What an ingest writes: postings of both kinds, `stem` over header and text, `exact` over the text alone."""
+    whole = F.concat_ws("\n", F.nullif(header, F.lit("")), body)
+    stems = stemmed(tokenised(texts, id_, whole)).select(F.lit("stem").alias("kind"), "*")
+    return stems.unionByName(postings(tokenised(texts, id_, body, True)).select(F.lit("exact").alias("kind"), "*"))
+
+
+def stem_terms(queries: DataFrame, terms: str = "terms") -> DataFrame:
+    """Query words as the stemmed index has them: folded and stemmed, a word with `_` as the phrase of its parts (joined by blanks)."""
+    return queries.withColumn(terms, stem_phrases(F.transform(terms, lambda w: X.fold(w))))
 
 
 def idf(n_docs: Column, n: Column) -> Column:
     return F.greatest(F.lit(LEAST_IDF), F.log((n_docs - n + 0.5) / (n + 0.5)))
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, depth: int | None = 100, arm: str = "keyword") -> DataFrame:
+def _few(words: DataFrame) -> DataFrame:
+    """A frame of words as the side to broadcast, if its checked size allows."""
+    return F.broadcast(words) if words.count() <= FEW_WORDS else words
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, bool]:
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    return asked, not asked.where(F.contains("term", F.lit(" "))).isEmpty()
+
+
+def bm25(tokens: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, depth: int | None = 100, arm: str = "keyword", stems: bool = False) -> DataFrame:
     """Okapi BM25 of every query over one tokenised table; statistics are of the whole table, `allowed` (id) only filters.
 
-    queries: query_id, terms. Terms that no query has are dropped before anything is exploded or shuffled.
+    queries: query_id, terms; a term with blanks is a phrase. Words that no query has are dropped before they are shuffled, and an
+    empty word of each text carries its size to the statistics. stems: the terms are stems (see stem_terms); the table's
+    distinct words are stemmed first, and those with an asked stem looked up.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = asked.select("term").distinct()
-    totals = tokens.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
-    hits = tokens.select("id", "size", F.explode("tokens").alias("term")).join(terms, "term").groupBy("id", "size", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    asked, phrases = _asked(queries)
+    words = asked.select(F.explode(F.split("term", " ")).alias("asked")).distinct()
+    words = vocabulary(tokens).join(words, F.col("stem") == F.col("asked")).select("term", "stem").persist() if stems else words.select(F.col("asked").alias("term"), F.col("asked").alias("stem"))
+    words = words.union(queries.sparkSession.createDataFrame([("", "")], "term string, stem string"))
+    spread = tokens.select("id", "size", F.posexplode(F.concat("tokens", F.array(F.lit("")))).alias("pos", "word"))
+    spread = spread.join(_few(words), F.col("word") == F.col("term")).select("id", "size", "pos", F.col("stem").alias("term"))
+    places = [F.collect_list("pos").alias("positions")] if phrases else []
+    post = spread.groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf"), *places)
+    totals = post.where("term = ''").agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
+    return _scored(post.where("term <> ''"), totals, asked, phrases, allowed, depth, arm)
+
+
+def bm25_stored(post: DataFrame, n_docs: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, depth: int | None = 100, arm: str = "keyword") -> DataFrame:
+    """As bm25, from postings that an ingest wrote: no text is read. n_docs: n_docs, avg_size."""
+    asked, phrases = _asked(queries)
+    words = asked.select(F.explode(F.split("term", " ")).alias("term")).distinct()
+    return _scored(post.join(_few(words), "term"), n_docs, asked, phrases, allowed, depth, arm)
+
+
+def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
+    """term, id, size, tf of phrases (column term, words joined by blanks): how often the words follow each other, by positions alone."""
+    parts = phrases.select(F.col("term").alias("phrase"), F.posexplode(F.split("term", " ")).alias("k", "word"), F.size(F.split("term", " ")).alias("n"))
+    met = post.join(parts, F.col("term") == F.col("word")).select("phrase", "n", "id", "size", "k", F.explode("positions").alias("pos"))
+    whole = met.groupBy("phrase", "n", "id", "size", (F.col("pos") - F.col("k")).alias("start")).agg(F.countDistinct("k").alias("got")).where("got = n")
+    return whole.groupBy(F.col("phrase").alias("term"), "id", "size").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _scored(post: DataFrame, totals: DataFrame, asked: DataFrame, phrases: bool, allowed: DataFrame | None, depth: int | None, arm: str) -> DataFrame:
+    columns = ["term", "id", "size", "tf"]
+    hits = post.select(*columns)
+    if phrases:
+        several = asked.select("term").where(F.contains("term", F.lit(" "))).distinct()
+        hits = hits.unionByName(phrase_hits(post, several).select(*columns))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     weighed = hits.join(df, "term").crossJoin(F.broadcast(totals))  # one row
     score = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
@@ -68,22 +131,25 @@ def ranked(scored: DataFrame, arm: str, depth: int | None) -> DataFrame:
 
 
 def phrase(post: DataFrame, words: list[str]) -> DataFrame:
-    """id and how often the words follow each other, from positions alone."""
-    out = None
-    for i, w in enumerate(words):
-        own = post.where(F.col("term") == w).select("id", F.transform("positions", lambda p: p - i).alias(f"p{i}"))
-        out = own if out is None else out.join(own, "id")
-    starts = F.col("p0")
-    for i in range(1, len(words)):
-        starts = F.array_intersect(starts, f"p{i}")
-    return out.select("id", F.size(starts).alias("n")).where("n > 0")
+    """id and how often the words follow each other."""
+    asked = post.sparkSession.createDataFrame([(" ".join(words),)], "term string")
+    return phrase_hits(post, asked).select("id", F.col("tf").alias("n"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, depth: int | None = 100, floor: float | None = None, arm: str = "semantic") -> DataFrame:
     """Exact nearest neighbours by cosine. queries: query_id, vector; vectors: id, embedding.
 
-    Every query is compared with every vector: the queries are the stated side (a batch of requests), so they alone are broadcast.
+    Every query is compared with every vector: the queries are the stated side (a batch of requests) and are broadcast up to `FEW_QUERIES`;
+    a larger batch goes through in blocks of that many, each block with all vectors.
     """
+    blocks = -(-queries.count() // FEW_QUERIES)
+    if blocks > 1:  # by a hash, so blocks are about even
+        each = [_nearest(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), depth, floor, arm) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, each)
+    return _nearest(vectors, queries, depth, floor, arm)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, depth: int | None, floor: float | None, arm: str) -> DataFrame:
     sized = lambda df, key, c, to: df.select(key, F.transform(c, lambda x: x.cast("double")).alias(to)).withColumn(f"{to}_size", F.sqrt(V.dot(F.col(to), F.col(to))))
     q, v = sized(queries, "query_id", "vector", "q"), sized(vectors, "id", "embedding", "v")
     size = F.col("q_size") * F.col("v_size")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..schemas import KINDS, ORIGINS
 from . import chunking
 
 STALLED_AFTER_MS = 10 * 60 * 1000
@@ -61,6 +62,24 @@ def neighbours(chunks: DataFrame, document: str = "document_id", order: str = "o
     return chunks.select("*", F.lag(text).over(w).alias("before"), F.lead(text).over(w).alias("after"))
 
 
+def listing(docs: DataFrame, chunks: DataFrame, namespace: str | None = None, kind: str | None = None, since_ms: int | None = None, limit: int = 50) -> DataFrame:
+    """Documents, newest first, with their number of passages. docs: id, namespace, kind, updated_at and more."""
+    seen = docs
+    for column, value in (("namespace", namespace), ("kind", kind)):
+        seen = seen if value is None else seen.where(F.col(column) == value)
+    seen = seen if since_ms is None else seen.where(F.col("updated_at") >= since_ms)
+    first = seen.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
+    n = chunks.join(first.select(F.col("id").alias("document_id")), "document_id", "left_semi").groupBy(F.col("document_id").alias("_d")).agg(F.count(F.lit(1)).alias("passages"))
+    return first.join(n, F.col("id") == F.col("_d"), "left").withColumn("passages", F.coalesce("passages", F.lit(0))).drop("_d").orderBy(F.desc("updated_at"), F.desc("id"))
+
+
+def checked(docs: DataFrame) -> DataFrame:
+    """The documents; an error for a namespace that is no name, or a kind or origin that is none of the known."""
+    one_of = lambda c, values: F.when(F.col(c).isin(*values), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} must be one of {', '.join(values)}, not "), F.coalesce(c, F.lit("null")))))
+    name = F.when(X.valid_name(F.col("namespace")), F.col("namespace")).otherwise(F.raise_error(F.concat(F.lit("malformed namespace "), F.coalesce("namespace", F.lit("null")))))
+    return docs.withColumns({"namespace": name, "kind": one_of("kind", KINDS), "origin": one_of("origin", ORIGINS)})
+
+
 def stale_pages(page_sources: DataFrame, chunks: DataFrame, retired: DataFrame) -> DataFrame:
     """Pages that cite a passage of a document that was revised or forgotten. retired: document_id, reason."""
     return page_sources.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id").join(retired, "document_id").groupBy("page_id").agg(F.lit(True).alias("stale"), F.min("reason").alias("stale_reason"))
@@ -85,8 +104,8 @@ def models(models: DataFrame, vectors: DataFrame, default: str | None = None) ->
     return models.join(counts, "id", "left").withColumn("n_vectors", F.coalesce("n_vectors", F.lit(0))).withColumn("is_default", F.col("id") == default if default else first)
 
 
-def audit_row(ts: Column, op: str, target: Column, detail: Column, channel: Column, actor: Column | None = None) -> list[Column]:
-    return [ts.alias("ts"), F.coalesce(actor, channel).alias("actor") if actor is not None else channel.alias("actor"), channel.alias("channel"), F.lit(op).alias("op"), target.alias("target_uri"), F.to_json(detail).alias("detail")]
+def audit_row(ts: Column, op: str | Column, target: Column, detail: Column, channel: Column, actor: Column | None = None) -> list[Column]:
+    return [ts.alias("ts"), F.coalesce(actor, channel).alias("actor") if actor is not None else channel.alias("actor"), channel.alias("channel"), (F.lit(op) if isinstance(op, str) else op).alias("op"), target.alias("target_uri"), F.to_json(detail).alias("detail")]
 
 
 def run_rollup(items: DataFrame, runs: DataFrame, now_ms: int) -> DataFrame:

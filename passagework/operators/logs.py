@@ -92,26 +92,41 @@ def tool_stats(calls: DataFrame, tool: str = "tool", ok: str = "ok", latency: st
 
 #: Arguments that the log may keep, by tool.
 KEPT_ARGUMENTS = {
-    "search": ["query", "mode", "limit", "profile", "granularity", "namespaces"], "ingest": ["namespace", "kind", "uri", "title"], "read": ["uri"], "remember": ["namespace", "about"],
-    "forget": ["uri"], "promote": ["uri", "trust"], "explore": ["entity", "namespace"], "compact": ["namespace", "kind"], "submit": ["id", "action"], "status": ["namespace"],
-}
+    "search": ["query", "queries", "mode", "scope", "granularity", "response_format", "max_tokens", "as_of", "exclude_ids"],
+    "ingest": ["namespace", "source"],
+    "read": ["uri", "granularity", "max_tokens"],
+    "remember": ["namespace", "about", "evidence_uri", "supersedes", "valid_from", "valid_to"],
+    "forget": ["uri", "redact"],
+    "promote": ["uri", "to"],
+    "explore": ["entity", "namespace", "hops", "as_of"],
+    "compact": ["namespace", "kinds", "limit", "lint"],
+    "submit": ["item_id", "keep", "accept", "skip", "dry_run"],
+    "status": [],
+}
 
 
 def argument_summary(tool: Column, raw: Column) -> Column:
-    """JSON of the arguments that may be kept and the length of a content; `{}` for what is no object."""
-    args = F.from_json(raw, "map<string,string>")
-    allowed = F.create_map(*[x for k, v in KEPT_ARGUMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[tool]
-    kept = F.map_filter(args, lambda k, _: F.array_contains(allowed, k))
-    length = F.when(args["content"].isNotNull(), F.create_map(F.lit("content_len"), F.length(args["content"]).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
-    return F.coalesce(F.to_json(F.map_concat(kept, length)), F.lit("{}"))
+    """JSON of the arguments that may be kept, keys in order, and for an ingest the bytes of the content's JSON; `{}` for what is no object."""
+    args = F.from_json(raw, "map<string,variant>")
+    allowed = F.create_map(*[x for k, v in KEPT_ARGUMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])[tool]
+    kept = F.filter(F.array_sort(F.map_keys(args)), lambda k: F.array_contains(allowed, k))
+    parts = F.transform(kept, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.coalesce(F.to_json(args[k]), F.lit("null"))))
+    content = args["content"]
+    length = F.when((tool == "ingest") & content.isNotNull(), F.array(F.concat(F.lit('"content_len":'), F.octet_length(F.to_json(content)).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.concat(F.lit("{"), F.array_join(F.array_sort(F.concat(parts, length)), ","), F.lit("}")), F.lit("{}"))
 
 
 def degraded_class(reason: Column) -> Column:
-    return F.when(reason.startswith("no embedder"), "no_embedder").when(reason.startswith("embed"), "embed_failed").when(reason != "", "other")
+    return (
+        F.when(reason.startswith("no embedding model"), "no_embedder").when(reason.startswith("query embedding failed"), "query_embed_failed").when(reason.startswith("reranker failed"), "reranker_failed").otherwise("other")
+    )
 
 
 def abstain_class(reason: Column) -> Column:
-    return F.when(reason.startswith("no documents in scope"), "empty_scope").when(reason.contains("below"), "below_floor").when(reason != "", "no_match")
+    return (
+        F.when(reason.startswith("no retrieval arm"), "no_arm").when(reason.startswith("no fact"), "no_fact").when(reason.startswith("no page"), "no_page")
+        .when(reason.startswith("no arm matched") | reason.startswith("nothing matched"), "no_match").otherwise("other")
+    )
 
 
 def resource_kind(uri: Column) -> Column:

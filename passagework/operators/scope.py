@@ -113,16 +113,17 @@ def counts(docs: DataFrame, scope: Scope) -> DataFrame:
 
 
 def describe(scope: Scope) -> str:
-    parts = [f"{k}={','.join(v) if isinstance(v, list) else v}" for k, v in scope.__dict__.items() if v not in (None, [])]
-    return "; ".join(parts) or "everything live"
+    parts = [f"{name}={','.join(values)}" for name, values in (("namespaces", scope.namespaces), ("kinds", scope.kinds)) if values]
+    parts += [f"sources={len(scope.sources)}"] if scope.sources else []
+    parts += [f"{name}={value}" for name, value in (("library", scope.library), ("version", scope.version)) if value]
+    parts += [f"tags={','.join(scope.tags)}"] if scope.tags else []
+    parts += ["date range"] if scope.date_from is not None or scope.date_to is not None else []
+    parts += [f"min_trust={scope.min_trust}"] if scope.min_trust else []
+    return "; ".join(parts) or "all namespaces, live documents"
 
 
 def hint(scope: Scope) -> str:
-    """What to relax when nothing was found."""
-    if scope.version:
-        return "no document of that version matches; drop version"
-    if scope.as_of is not None:
-        return "nothing was known at that time; drop as_of"
-    if scope.min_trust:
-        return "lower min_trust"
-    return "widen the scope" if describe(scope) != "everything live" else "try other words"
+    """What to change when nothing was found."""
+    if not scope.namespaces:
+        return "narrow with scope.namespaces or scope.library; or rephrase with the terms the source uses"
+    return "rephrase the query or widen the scope" if scope.version else "narrow with scope.version, or rephrase"

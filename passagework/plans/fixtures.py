@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..functions import text as X
 from ..functions import vectors as V
-
+from ..operators import index
 from ..streaming import ingest as stream
 from . import search as S
 from .profiles import PROFILES
@@ -37,7 +38,60 @@ def _asked(name: str, pattern: str, trim: bool) -> str:
     kept = f"list_filter(w, lambda x: NOT list_contains({_STOPS}, lower(x)))"
     one = f"list_transform(k, lambda x: regexp_replace(x, {_EDGE}, '', 'g'))" if trim else "k"
     return f"""{name}_queries AS (SELECT query_id, list_transform(range(1, len(d) + 1), lambda i: d[i]) AS terms FROM (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS d FROM (
-        SELECT query_id, list_transform(list_filter({one}, lambda x: length(x) > 1), lambda x: lower(x)) AS l FROM (SELECT query_id, CASE WHEN len({kept}) = 0 THEN w ELSE {kept} END AS k FROM (SELECT item_id AS query_id, {words} AS w FROM benchmark)))))"""
+        SELECT query_id, list_transform(list_filter({one}, lambda x: length(x) > 1), lambda x: strip_accents(lower(x))) AS l FROM (SELECT query_id, CASE WHEN len({kept}) = 0 THEN w ELSE {kept} END AS k FROM (SELECT item_id AS query_id, {words} AS w FROM benchmark)))))"""
+
+
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+
+
+def _porter(source: str) -> str:
+    """The stem of each term of a view, by Porter's published steps as one view a step: measures are patterns over runs of consonants and vowels; a first y is a consonant."""
+    at_least = lambda x, n: f"regexp_matches({x}, '^({_C})?{(_V + _C) * n}')"
+    one = lambda x: f"regexp_matches({x}, '^({_C})?{_V}{_C}({_V})?$')"
+    vowel = lambda x: f"regexp_matches({x}, '^({_C})?[aeiouy]')"
+    short = lambda x: f"({one(x)} AND regexp_matches({x}, '^{_C}[aeiouy][^aeiouwxy]$'))"
+    cut = lambda n: f"left(w, -{n})"
+    mended = lambda x: f"CASE WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e' WHEN right({x}, 1) = left(right({x}, 2), 1) AND length({x}) > 1 AND regexp_matches({x}, '[^aeiouylsz]$') THEN left({x}, -1) WHEN {short(x)} THEN {x} || 'e' ELSE {x} END"
+
+    def swapped(rules: list[tuple[str, str]], n: int, more: str = "TRUE") -> str:
+        return "CASE " + " ".join(f"WHEN w LIKE '%{old}' THEN CASE WHEN {at_least(cut(len(old)), n)} AND {more if old == 'ion' else 'TRUE'} THEN {cut(len(old))} || '{new}' ELSE w END" for old, new in rules) + " ELSE w END"
+
+    steps = [
+        f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {at_least(cut(3), 1)} THEN {cut(1)} ELSE w END WHEN w LIKE '%ed' AND {vowel(cut(2))} THEN {mended(cut(2))} WHEN w LIKE '%ing' AND {vowel(cut(3))} THEN {mended(cut(3))} ELSE w END",
+        f"CASE WHEN w LIKE '%y' AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END",
+        swapped(stem.TWO, 1),
+        swapped(stem.THREE, 1),
+        swapped([(x, "") for x in stem.FOUR], 2, f"regexp_matches({cut(3)}, '[st]$')"),
+        f"CASE WHEN w LIKE '%e' AND ({at_least(cut(1), 2)} OR ({one(cut(1))} AND NOT {short(cut(1))})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {at_least('w', 2)} THEN {cut(1)} ELSE w END",
+    ]
+    views = [f"stem_0 AS (SELECT DISTINCT term, CASE WHEN term LIKE 'y%' THEN 'Y' || substr(term, 2) ELSE term END AS w, regexp_matches(term, '^[a-z]{{3,}}$') AS plain FROM {source})"]
+    views += [f"stem_{i + 1} AS (SELECT term, CASE WHEN plain THEN {x} ELSE w END AS w, plain FROM stem_{i})" for i, x in enumerate(steps)]
+    return ",\n".join([*views, f"stems AS (SELECT term, CASE WHEN plain THEN lower(w) ELSE term END AS stem FROM stem_{len(steps)})"])
+
+
+def _stem_hits(name: str, tokens: str, queries: str) -> str:
+    """BM25 over stems of a view with id, tokens, for a view with query_id, terms."""
+    return f"""{name}_spread AS (SELECT id, len(tokens) AS size, unnest(tokens) AS term FROM {tokens}),
+    {name}_words AS (SELECT term FROM {name}_spread UNION SELECT unnest(terms) FROM {queries}),
+    {_porter(f'{name}_words')},
+    {name}_asked AS (SELECT DISTINCT query_id, stem FROM (SELECT query_id, unnest(terms) AS term FROM {queries}) JOIN stems USING (term)),
+    {name}_tf AS (SELECT id, size, stem, count(*)::DOUBLE AS tf FROM {name}_spread JOIN stems USING (term) WHERE stem IN (SELECT stem FROM {name}_asked) GROUP BY ALL),
+    {name}_df AS (SELECT stem, count(*)::DOUBLE AS df FROM {name}_tf GROUP BY stem),
+    {name}_all AS (SELECT count(*)::DOUBLE AS n, avg(len(tokens)) AS avg_size FROM {tokens}),
+    {name}_scored AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 5e-1) / (df + 5e-1))) * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * size / avg_size))), 9) AS raw
+        FROM {name}_asked JOIN {name}_tf USING (stem) JOIN {name}_df USING (stem), {name}_all GROUP BY query_id, id),
+    {name}_hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM {name}_scored)"""
+
+
+def _hashed_vectors(name: str, rows: str) -> str:
+    """Unit vectors of 64 dimensions as rows (id, d, x) of a query that gives id, text: each word takes 8 signed steps by its MD5."""
+    byte = lambda place: f"('0x' || substr(md5(term), 4 * k + {place}, 2))::INT"
+    return rf"""{name}_terms AS (SELECT id, term, 1 + ln(count(*)) AS w FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM ({rows})) GROUP BY ALL),
+    {name}_steps AS (SELECT term, {byte(1)} % 64 AS d, CASE WHEN {byte(3)} < 128 THEN 1 ELSE -1 END AS s FROM (SELECT DISTINCT term FROM {name}_terms), range(8) r(k)),
+    {name}_sums AS (SELECT id, d, sum(w * s) AS x FROM {name}_terms JOIN {name}_steps USING (term) GROUP BY ALL),
+    {name} AS (SELECT id, d, (x / size)::FLOAT::DOUBLE AS x FROM {name}_sums JOIN (SELECT id, sqrt(sum(x * x)) AS size FROM {name}_sums GROUP BY id) USING (id) WHERE size > 0)"""
 
 
 #: Views in order; a query gets those that it names, and those that these name.
@@ -46,12 +100,18 @@ VIEWS = {
         'doc://' || source || '/' || doc_id AS uri, {EPOCH} + doc_id * 3600000 AS updated_at,
         CASE WHEN toxic = 1 THEN 'agent' WHEN quality = 1 THEN 'curated' ELSE 'user' END AS trust FROM documents LEFT JOIN labels USING (doc_id))""",
     "lines": "lines AS (SELECT doc_id, unnest(range(len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
-    "exact_tokens": rf"exact_tokens AS (SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_.:/-]+'), lambda x: regexp_replace(x, {_EDGE}, '', 'g')), lambda x: x <> '') AS tokens FROM documents)",
-    "word_tokens": r"word_tokens AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tokens FROM documents)",
+    "exact_tokens": rf"exact_tokens AS (SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_.:/-]+'), lambda x: regexp_replace(x, {_EDGE}, '', 'g')), lambda x: x <> '') AS tokens FROM documents)",
+    "word_tokens": r"word_tokens AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS tokens FROM documents)",
     "keyword_queries": _asked("keyword", r"[\p{L}\p{N}_]+", False),
     "exact_queries": _asked("exact", r"[\p{L}\p{N}_.:/-]+", True),
     "exact_hits": _hits("exact"),
     "keyword_hits": _hits("keyword"),
+    "stem_hits": _stem_hits("stem", "word_tokens", "keyword_queries"),
+    "semantic_hits": f"""{_hashed_vectors("doc_vectors", "SELECT doc_id AS id, text FROM documents")},
+    {_hashed_vectors("query_vectors", "SELECT item_id AS id, text FROM benchmark")},
+    pair_dots AS (SELECT q.id AS query_id, v.id, sum(q.x * v.x) AS dot FROM query_vectors q JOIN doc_vectors v USING (d) GROUP BY ALL),
+    semantic_hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM (
+        SELECT query_id, p.id, round(dot / (nq * nv), 9) AS raw FROM pair_dots p JOIN (SELECT id AS query_id, sqrt(sum(x * x)) AS nq FROM query_vectors GROUP BY id) USING (query_id) JOIN (SELECT id, sqrt(sum(x * x)) AS nv FROM doc_vectors GROUP BY id) n ON n.id = p.id))""",
     "token_counts": r"""token_counts AS (SELECT doc_id AS id, floor((list_sum(list_transform(list_concat(['a'], regexp_extract_all(text, '[A-Za-z0-9]+')), lambda w: greatest(14, 2 * length(w)))) - 14
         + 12 * length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + 5 * len(regexp_extract_all(text, '[^A-Za-z0-9\x09-\x0D \x{80}-\x{10FFFF}]+')) + 5) / 10) AS tokens FROM documents)""",
     "hashed": r"""hashed AS (SELECT doc_id, 'sha256:' || sha256(regexp_replace(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '\n+\z', '') || chr(10)) AS hash FROM documents)""",
@@ -64,14 +124,14 @@ VIEWS = {
     "chained": "chained AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS statement, epoch_ms(o_orderdate) AS recorded_at, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes FROM orders)",
     "mentions": "mentions AS (SELECT l_suppkey AS entity_id, l_partkey AS chunk_id, max(l_quantity) / 50e0 AS weight FROM lineitem GROUP BY ALL)",
 }
-_NEEDS = {"exact_hits": ["exact_tokens", "exact_queries"], "keyword_hits": ["word_tokens", "keyword_queries"]}
+_NEEDS = {"exact_hits": ["exact_tokens", "exact_queries"], "keyword_hits": ["word_tokens", "keyword_queries"], "stem_hits": ["word_tokens", "keyword_queries"]}
 
 
-def with_views(sql: str) -> str:
-    """The SQL with the views that it names in front."""
+def with_views(sql: str, needs: list[str] = []) -> str:
+    """The SQL with the views that it names, or needs, in front."""
     import re
 
-    wanted = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
+    wanted = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)} | set(needs)
     for v in list(wanted):
         wanted |= set(_NEEDS.get(v, []))
     heads = [VIEWS[v] for v in VIEWS if v in wanted]
@@ -165,11 +225,15 @@ class Tables:
         passages = self.docs.select("id", F.col("id").alias("document_id"), F.lit(0).alias("ord"), "text", X.estimate_tokens(F.col("text")).alias("est_tokens"), F.lit("").alias("context_header"))
         return S.Corpus(passages, docs, self.docs.select("id", V.embedder(V.hash_encoder(64))(F.col("text")).alias("embedding")))
 
+    def asked(self) -> DataFrame:
+        """The benchmark's passages as requests: query_id, query, terms (stems), exact_terms."""
+        text = F.col("text")
+        return index.stem_terms(self.benchmark.select(F.col("item_id").alias("query_id"), text.alias("query"), X.query_terms(text).alias("terms"), X.query_terms(text, True).alias("exact_terms")))
+
     def search(self, profile: str, arms: list[str]) -> DataFrame:
-        text, embed = F.col("text"), V.embedder(V.hash_encoder(64))
-        queries = self.benchmark.select(F.col("item_id").alias("query_id"), text.alias("query"), X.query_terms(text).alias("terms"), X.query_terms(text, True).alias("exact_terms"), embed(text).alias("vector"))
+        queries = self.asked().withColumn("vector", V.embedder(V.hash_encoder(64))(F.col("query")))
         found = S.search(self.corpus(), queries, arms, PROFILES[profile], now_ms=NOW, token_budget=4000)
-        return found.select("query_id", "position", "id", F.round("final", 6).alias("final"), "band", F.transform("arms", lambda a: a["arm"]).alias("arms"))
+        return found.select("query_id", "position", "id", F.round("final", 6).alias("final"), "band", F.array_join(F.transform("arms", lambda a: a["arm"]), " ").alias("arms"))
 
     def _streamed(self, df: DataFrame, name: str, mode: str) -> DataFrame:
         """A stream run to its end, its result read again."""

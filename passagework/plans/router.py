@@ -12,8 +12,11 @@ _identifier, _relational = re.compile(IDENTIFIER), re.compile(RELATIONAL)
 _MODES = {"keyword": ["keyword"], "exact": ["exact"], "semantic": ["semantic"], "hybrid": ["semantic", "keyword", "fact"], "graph": ["entity", "graph"]}
 
 
+NO_MODEL = "no embedding model available; semantic arm skipped"
+
+
 def arms(mode: str, queries: list[str], profile: Profile, n_entities: int = 0, has_vectors: bool = True) -> tuple[list[str], list[str]]:
-    """Arms in order, and why."""
+    """Arms of one request (its query and alternates) in order, and why. Structural arms go by its first query alone."""
     why = [f"mode={mode}"]
     chosen = list(_MODES.get(mode, ["semantic", "keyword", "fact"]))
     if mode not in _MODES:
@@ -28,5 +31,5 @@ def arms(mode: str, queries: list[str], profile: Profile, n_entities: int = 0, h
         chosen = [a for a in chosen if a in profile.arms]
     if not has_vectors and "semantic" in chosen:
         chosen.remove("semantic")
-        why.append("degraded: no vectors")
+        why.append(NO_MODEL)
     return chosen, why

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,10 @@ from .profiles import Profile
 
 @dataclass
 class Corpus:
-    """What a search reads. passages: id, document_id, ord, text, est_tokens, context_header; documents: id, kind, title, uri, updated_at and the scope's fields."""
+    """What a search reads. passages: id, document_id, ord, text, est_tokens, context_header; documents: id, kind, title, uri, updated_at and the scope's fields.
+
+    postings: what `index.stored` made of the passages, over which statistics are taken; without it the passages are tokenised for the request batch.
+    """
 
     passages: DataFrame
     documents: DataFrame
@@ -24,6 +27,7 @@ class Corpus:
     fact_vectors: DataFrame | None = None
     mentions: DataFrame | None = None  # entity_id, chunk_id, weight
     wanted: DataFrame | None = None  # query_id, entity_id
+    postings: DataFrame | None = None  # kind, term, id, size, tf, positions
 
 
 def visible(corpus: Corpus, scope: scope_.Scope) -> DataFrame:
@@ -38,7 +42,7 @@ def fact_arm(corpus: Corpus, queries: DataFrame, scope: scope_.Scope, profile: P
     A fact that only words found must have half of the query's terms; one that only meaning found must reach the floor.
     """
     facts = corpus.facts.where(scope_.facts(scope) & F.col("evidence_chunk_id").isNotNull())
-    words = index.bm25(index.tokenised(corpus.facts, "id", F.col("statement")), queries, facts, None, "fact").withColumnRenamed("rank", "k_rank")
+    words = index.bm25(index.tokenised(corpus.facts, "id", F.col("statement")), queries, facts, None, "fact", True).withColumnRenamed("rank", "k_rank")
     words = words.join(queries.select("query_id", F.size("terms").alias("n_terms")), "query_id").withColumn("half", F.size(F.col("terms")) * 2 >= F.col("n_terms"))
     words = words.select("query_id", "id", "k_rank", "half")
     if corpus.fact_vectors is not None and "vector" in queries.columns:
@@ -51,20 +55,39 @@ def fact_arm(corpus: Corpus, queries: DataFrame, scope: scope_.Scope, profile: P
     return index.ranked(backed.select("query_id", "id", (-F.col("best")).cast("double").alias("raw")), "fact", profile.depth)
 
 
+def _keyword_arms(corpus: Corpus, queries: DataFrame, names: list[str], inside: DataFrame, depth: int, of) -> list[DataFrame]:
+    """The keyword arm over stems of header and text, and the exact arm over the text's own tokens, both from postings."""
+    header = F.coalesce("context_header", F.lit(""))
+    out = []
+    for arm, kind, terms in (("keyword", "stem", "terms"), ("exact", "exact", "exact_terms")):
+        if arm not in names:
+            continue
+        asked = of(arm).select("query_id", F.col(terms).alias("terms"))
+        if corpus.postings is not None:
+            post = corpus.postings.where(F.col("kind") == kind)
+            each = post.select("id", "size").distinct()
+            totals = each.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
+            out.append(index.bm25_stored(post, totals, asked, inside, depth, arm))
+        elif kind == "exact":
+            out.append(index.bm25(index.tokenised(corpus.passages, "id", F.col("text"), True), asked, inside, depth, arm))
+        else:
+            whole = F.concat_ws("\n", F.nullif(header, F.lit("")), "text")
+            out.append(index.bm25(index.tokenised(corpus.passages, "id", whole), asked, inside, depth, arm, True))
+    return out
+
+
 def arms(corpus: Corpus, queries: DataFrame, names: list[str], scope: scope_.Scope, profile: Profile) -> DataFrame:
-    """All ranked lists in one schema. queries: query_id, terms, exact_terms, vector (as the arms need)."""
+    """All ranked lists in one schema. queries: query_id, terms (stems), exact_terms, vector (as the arms need) and, if they differ, the arms of each."""
     inside = visible(corpus, scope).select("id")
-    body = F.concat_ws("\n", F.nullif("context_header", F.lit("")), "text")
-    lists = []
-    if "keyword" in names:
-        lists.append(index.bm25(index.tokenised(corpus.passages, "id", body), queries, inside, profile.depth, "keyword"))
-    if "exact" in names:
-        asked = queries.select("query_id", F.col("exact_terms").alias("terms"))
-        lists.append(index.bm25(index.tokenised(corpus.passages, "id", F.col("text"), True), asked, inside, profile.depth, "exact"))
+    of = lambda arm: queries.where(F.array_contains("arms", arm)) if "arms" in queries.columns else queries
+    lists = _keyword_arms(corpus, queries, names, inside, profile.depth, of)
     if "semantic" in names and corpus.vectors is not None:
-        lists.append(index.nearest(corpus.vectors.join(inside, "id", "left_semi"), queries, profile.depth))
+        lists.append(index.nearest(corpus.vectors.join(inside, "id", "left_semi"), of("semantic").where("vector is not null"), profile.depth))
     if "fact" in names and corpus.facts is not None:
-        lists.append(fact_arm(corpus, queries, scope, profile).join(inside, "id", "left_semi"))
+        lists.append(fact_arm(corpus, of("fact"), scope, profile).join(inside, "id", "left_semi"))
+    if "arms" in queries.columns and corpus.wanted is not None:
+        named = queries.where(F.array_contains("arms", "graph") | F.array_contains("arms", "entity")).select("query_id")
+        corpus = replace(corpus, wanted=corpus.wanted.join(named, "query_id", "left_semi"))
     if "entity" in names and corpus.mentions is not None:
         seen = corpus.mentions.join(inside.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
         lists.append(graph.entity_arm(seen, corpus.wanted, profile.depth))
@@ -74,6 +97,10 @@ def arms(corpus: Corpus, queries: DataFrame, names: list[str], scope: scope_.Sco
     out = lists[0].select(*common)
     for x in lists[1:]:
         out = out.unionByName(x.select(*common))
+    if "request_id" in queries.columns:  # several queries of one request: each list votes with its share
+        asked = queries.select("query_id", "request_id", F.count(F.lit(1)).over(Window.partitionBy("request_id")).cast("double").alias("n_queries"))
+        alone = F.col("arm").isin("entity", "graph")
+        out = out.join(asked, "query_id").select(F.col("request_id").alias("query_id"), "arm", "id", "rank", "raw", F.when(alone, 1.0).otherwise(F.col("n_queries")).alias("n_queries"))
     return out
 
 
@@ -95,7 +122,7 @@ Scorer = Callable[[Column, Column], Column]
 def overlap_score(query: Column, text: Column) -> Column:
     """The reranker at hand: the share of the query's terms that a text has. Any function of two columns may stand in, a pandas UDF with a model too."""
     terms = X.query_terms(query)
-    return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, X.word_tokens(text))) / F.size(terms)).otherwise(0.0)
+    return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, X.word_tokens(X.fold(text)))) / F.size(terms)).otherwise(0.0)
 
 
 def rerank(rows: DataFrame, top: int, scorer: Scorer = overlap_score) -> DataFrame:
@@ -116,10 +143,11 @@ def search(
     lists = arms(corpus, queries, names, scope, profile)
     fused = fusion.min_max(lists, profile.weights) if profile.fusion == "minmax" else fusion.rrf(lists, profile.weights, profile.k)
     fused = fusion.semantic_floor(fused, profile.semantic_floor)
-    around = Window.partitionBy("document_id").orderBy("ord")
-    passages = corpus.passages.select("id", "document_id", "ord", "text", "est_tokens", F.lag("text").over(around).alias("before"), F.lead("text").over(around).alias("after"))
-    docs = corpus.documents.select(F.col("id").alias("document_id"), "kind", "title", "uri", "trust", "updated_at")
-    rows = fused.join(passages, "id").join(docs, "document_id")  # candidates only: texts are fetched late
+    reranks = bool(profile.rerank_top or scorer is not None)
+    places = corpus.passages.select("id", "document_id", "ord", "est_tokens", *(["text"] if reranks else []))
+    fresh = [c for c in ("fetched_at", "ttl_s") if c in corpus.documents.columns]
+    docs = corpus.documents.select(F.col("id").alias("document_id"), "kind", "title", "uri", "trust", "updated_at", *fresh)
+    rows = fused.join(places, "id").join(docs, "document_id")
     kinds = None if profile.recency_kinds is None else list(profile.recency_kinds)
     rows = rows.withColumn("recency", fusion.recency(F.col("kind"), F.col("updated_at"), now_ms, kinds, profile.recency_floor, profile.half_life_days)).withColumn("final", F.col("fused") * F.col("recency"))
     if per_document:
@@ -127,24 +155,48 @@ def search(
     if seen is not None:
         rows = fusion.unseen(rows, seen)
     rows = fusion.numbered(rows)
-    if profile.rerank_top or scorer is not None:
-        rows = rerank(rows.join(queries.select("query_id", "query"), "query_id"), profile.rerank_top or 30, scorer or overlap_score)
+    if reranks:
+        asked = queries.select(F.col("request_id" if "request_id" in queries.columns else "query_id").alias("query_id"), "query", F.col("query_id").alias("_q")).groupBy("query_id").agg(F.min_by("query", "_q").alias("query"))
+        rows = rerank(rows.join(asked, "query_id"), profile.rerank_top or 30, scorer or overlap_score).drop("query", "text")
     rows = fusion.limit(rows, limit or profile.limit)
-    if not (profile.rerank_top or scorer is not None):
+    if not reranks:
         rows = fusion.gap_cut(rows, profile.gap, profile.min_results)
     if token_budget:
         rows = fusion.budget(rows, F.col("est_tokens"), token_budget)
+    rows = with_texts(corpus.passages, rows, form != "concise")
     cosine = F.when(F.exists("arms", lambda a: a["arm"] == "semantic"), F.array_max(F.transform(F.filter("arms", lambda a: a["arm"] == "semantic"), lambda a: a["raw"])))
+    stale = fusion.stale(F.col("fetched_at"), F.col("ttl_s"), now_ms) if len(fresh) == 2 else F.lit(False)
     return rows.select(
         "query_id", "position", "id", "document_id", "fused", "recency", "final", "arms", fusion.relevance(cosine, profile.bands).alias("band"),
-        fusion.rendered(F.col("text"), F.col("before"), F.col("after"), form).alias("content"), F.struct("uri", "title", "kind", "trust", "updated_at").alias("provenance"),
+        fusion.rendered(F.col("text"), F.col("before"), F.col("after"), form).alias("content"), F.struct("uri", "title", "kind", "trust", "updated_at", stale.alias("stale")).alias("provenance"),
     )
 
 
+def with_texts(passages: DataFrame, rows: DataFrame, neighbours: bool = True) -> DataFrame:
+    """The text of each result and of the passages before and after it: read for results only, by (document, place)."""
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1)) if neighbours else F.array(F.lit(0))
+    wanted = rows.select("document_id", "ord").distinct().select("document_id", F.col("ord").alias("at"), F.explode(near).alias("step")).withColumn("ord", F.col("at") + F.col("step"))
+    found = passages.select("document_id", "ord", "text").join(wanted, ["document_id", "ord"])
+    one = lambda step: F.max(F.when(F.col("step") == step, F.col("text")))
+    texts = found.groupBy("document_id", F.col("at").alias("ord")).agg(one(0).alias("text"), one(-1).alias("before"), one(1).alias("after"))
+    return rows.join(texts, ["document_id", "ord"])
+
+
+def abstained(queries: DataFrame, found: DataFrame, scope: scope_.Scope, profile: Profile, unfloored: DataFrame | None = None) -> DataFrame:
+    """Requests without a result: query_id, reason, hint. unfloored: query_id, below (passages that only the semantic floor kept out)."""
+    none = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    reason = F.lit("no arm matched")
+    if unfloored is not None:
+        none = none.join(unfloored, "query_id", "left")
+        text = F.concat(F.lit("nothing matched by keyword and the "), F.col("below").cast("string"), F.lit(f" nearest passages are below the similarity floor ({profile.semantic_floor:.2f})"))
+        reason = F.when(F.col("below") > 0, text).otherwise(reason)
+    return none.select("query_id", reason.alias("reason"), F.lit(scope_.hint(scope)).alias("hint"))
+
+
 def search_facts(facts: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, profile: Profile = Profile(), scope: scope_.Scope = scope_.Scope()) -> DataFrame:
     """Facts themselves: reciprocal-rank fusion of words and meaning; trust decides among scores within a tenth of a group's best."""
     seen = facts.where(scope_.facts(scope))
-    lists = index.bm25(index.tokenised(facts, "id", F.col("statement")), queries, seen, profile.depth, "keyword").select("query_id", "arm", "id", "rank", "raw")
+    lists = index.bm25(index.tokenised(facts, "id", F.col("statement")), queries, seen, profile.depth, "keyword", True).select("query_id", "arm", "id", "rank", "raw")
     if vectors is not None:
         lists = lists.unionByName(index.nearest(vectors.join(seen.select("id"), "id", "left_semi"), queries, profile.depth, profile.semantic_floor).select(*lists.columns))
     fused = fusion.rrf(lists, profile.weights, profile.k).join(seen.select("id", "statement", "trust", "evidence_chunk_id"), "id")
@@ -154,7 +206,7 @@ def search_facts(facts: DataFrame, queries: DataFrame, vectors: DataFrame | None
 def search_pages(pages: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, profile: Profile = Profile(), scope: scope_.Scope = scope_.Scope()) -> DataFrame:
     """Written pages by title and content, with their staleness."""
     seen = pages.where(scope_.pages(scope))
-    lists = index.bm25(index.tokenised(pages, "id", F.concat_ws("\n", "title", "content")), queries, seen, profile.depth, "keyword").select("query_id", "arm", "id", "rank", "raw")
+    lists = index.bm25(index.tokenised(pages, "id", F.concat_ws("\n", "title", "content")), queries, seen, profile.depth, "keyword", True).select("query_id", "arm", "id", "rank", "raw")
     if vectors is not None:
         lists = lists.unionByName(index.nearest(vectors.join(seen.select("id"), "id", "left_semi"), queries, profile.depth, profile.semantic_floor).select(*lists.columns))
     fused = fusion.rrf(lists, profile.weights, profile.k).join(seen.select("id", "title", "stale", "is_inference"), "id").withColumn("final", F.col("fused"))

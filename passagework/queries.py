@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vectors as V
+from .functions.stem import stem_words
 from .operators import compact, evaluation, fusion, graph, index, ingest, logs, resolve, scope
 from .operators import facts as facts_
 from .plans import fixtures as T
@@ -28,11 +29,13 @@ def _wide(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind == "int" and c in ("rank", "position")})
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, needs: list[str] = []):
+    """needs: views that the SQL reads by the names of their parts."""
+
     def add(f: Callable[[T.Tables], DataFrame]) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: _wide(f(T.Tables(spark, sf_dir)))
         if sql:
-            ORACLE_SQL[f.__name__] = T.with_views(sql)
+            ORACLE_SQL[f.__name__] = T.with_views(sql, needs)
         return f
 
     return add
@@ -59,14 +62,30 @@ def keyword_bm25_topk(t):
     return _bm25(t, False).select("query_id", "id", "rank", R("raw").alias("raw"))
 
 
-@query()
+@query("SELECT query_id, id, rank, round(raw, 6) AS raw FROM stem_hits WHERE rank <= 10")
 def keyword_bm25_stemmed_topk(t):
-    tokens = index.stemmed(index.tokenised(t.documents, "doc_id", F.col("text")))
-    spread = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(X.query_terms(F.col("text"))).alias("term"))
-    from .functions.stem import stem_words
+    tokens = index.tokenised(t.documents, "doc_id", F.col("text"))
+    return index.bm25(tokens, t.asked(), None, 10, stems=True).select("query_id", "id", "rank", R("raw").alias("raw"))
+
+
+@query("SELECT query_id, string_agg(stem, ' ' ORDER BY stem) AS stems FROM stem_asked GROUP BY query_id", needs=["stem_hits"])
+def stemmed_query_terms(t):
+    return t.asked().select("query_id", F.array_join(F.array_sort("terms"), " ").alias("stems"))
+
+
+@query("SELECT term, stem FROM stems", needs=["stem_hits"])
+def stem_vocabulary(t):
+    asked = t.benchmark.select(F.explode(X.query_terms(F.col("text"))).alias("term"))
+    spread = index.tokenised(t.documents, "doc_id", F.col("text")).select(F.explode("tokens").alias("term"))
+    return spread.union(asked).distinct().select("term", stem_words("term").alias("stem"))
+
 
-    queries = spread.select("query_id", stem_words("term").alias("stem")).groupBy("query_id").agg(F.collect_set("stem").alias("terms"))
-    return index.bm25(tokens, queries, None, 10).select("query_id", "id", "rank", R("raw").alias("raw"))
+@query("SELECT stem AS term, id, tf::BIGINT AS tf FROM stem_tf", needs=["stem_hits"])
+def stored_postings(t):
+    """The postings that an ingest writes, of stems that the requests ask for."""
+    post = index.stored(t.documents.select("doc_id", "text"), "doc_id", F.lit(""), F.col("text")).where("kind = 'stem'")
+    asked = t.asked().select(F.explode("terms").alias("term")).distinct()
+    return post.join(asked, "term", "left_semi").select("term", "id", "tf")
 
 
 @query("SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM exact_tokens) GROUP BY term")
@@ -212,26 +231,50 @@ def rerank_overlap(t):
     return S.rerank(rows.withColumn("position", F.col("rank")), 10).select("query_id", "id", "position")
 
 
-@query()
+def _searched(lists: str, gap: str, least: int, rerank: bool = False) -> str:
+    """A whole search in SQL: lists (query_id, arm, id, rank, raw, w) to results."""
+    order = "CASE arm WHEN 'semantic' THEN 1 WHEN 'keyword' THEN 2 ELSE 3 END"
+    ranked = """SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN len(q.terms) > 0 THEN len(list_filter(q.terms, lambda x: list_contains(w.tokens, x)))::DOUBLE / len(q.terms) ELSE 0 END DESC, position) AS place
+        FROM (SELECT * FROM numbered WHERE position <= 30) r JOIN keyword_queries q USING (query_id) JOIN word_tokens w USING (id)"""
+    kept = f"SELECT * EXCLUDE (position, place), place AS position FROM ({ranked}) WHERE place <= 10" if rerank else f"""SELECT * FROM (SELECT *, max(fall) OVER (PARTITION BY query_id ORDER BY position) AS cut FROM (
+        SELECT *, CASE WHEN position > {least} AND final < lag(final) OVER (PARTITION BY query_id ORDER BY position) * (1 - {gap}) THEN 1 ELSE 0 END AS fall FROM numbered WHERE position <= 10)) WHERE cut = 0"""
+    return f"""WITH lists AS ({lists}),
+    fused AS (SELECT query_id, id, sum(w / (60e0 + rank)) AS fused, string_agg(arm, ' ' ORDER BY {order}) AS arms, max(raw) FILTER (WHERE arm = 'semantic') AS cosine FROM lists GROUP BY ALL),
+    aged AS (SELECT f.*, fused * CASE WHEN kind = 'note' THEN 8e-1 + 2e-1 * pow(5e-1, greatest(0e0, ({T.NOW} - updated_at) / 86400000e0) / 90e0) ELSE 1e0 END AS final FROM fused f JOIN docs USING (id) WHERE NOT (arms = 'semantic' AND cosine < 3e-1)),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS position FROM aged), kept AS ({kept})
+    SELECT query_id, position, id, round(final, 6) AS final, arms, CASE WHEN cosine IS NULL THEN 'keyword-only' WHEN cosine >= 6e-1 THEN 'strong' WHEN cosine >= 45e-2 THEN 'moderate' WHEN cosine >= 3e-1 THEN 'weak' ELSE 'very-weak' END AS band
+    FROM (SELECT k.*, sum(tokens + 24) OVER (PARTITION BY query_id ORDER BY position) AS spent FROM kept k JOIN token_counts USING (id)) WHERE position = 1 OR spent <= 4000"""
+
+
+def _list(view: str, arm: str, weight: str, depth: int = 100) -> str:
+    return f"SELECT query_id, '{arm}' AS arm, id, rank, raw, {weight} AS w FROM {view} WHERE rank <= {depth}"
+
+
+@query(_searched(" UNION ALL ".join([_list("semantic_hits", "semantic", "5e-1"), _list("stem_hits", "keyword", "5e-1"), _list("exact_hits", "exact", "3e-1")]), "5e-1", 3))
 def hybrid_search(t):
     return t.search("default", ["semantic", "keyword", "exact"])
 
 
-@query()
+@query(_searched(" UNION ALL ".join([_list("stem_hits", "keyword", "5e-1", 200), _list("exact_hits", "exact", "3e-1", 200)]), "6e-1", 2, True), needs=["word_tokens", "keyword_queries"])
 def precise_search(t):
     return t.search("precise", ["keyword", "exact"])
 
 
-@query()
+# scores are those of ranks: the first group of near-equal ones is ranks 1 to 7, the second 8 to 15
+@query(rf"""WITH fact_tokens AS (SELECT id, regexp_extract_all(lower(statement), '[\p{{L}}\p{{N}}]+') AS tokens FROM facts),
+    fact_queries AS (SELECT min(id) AS query_id, [w FOR w IN regexp_extract_all(lower(statement), '[\p{{L}}\p{{N}}]+') IF length(w) > 1 AND w NOT IN ('not')] AS terms FROM facts GROUP BY statement),
+    {T._stem_hits("fact", "fact_tokens", "fact_queries")},
+    live AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS place FROM (SELECT h.query_id, h.id, h.raw, trust FROM fact_hits h JOIN facts USING (id) WHERE deleted_at IS NULL AND invalidated_at IS NULL))
+    SELECT query_id, position, id, round(5e-1 / (60e0 + place), 6) AS fused, trust FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN place <= 7 THEN 1 ELSE 2 END, CASE trust WHEN 'curated' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, place) AS position FROM live WHERE place <= 15) WHERE position <= 10""")
 def fact_search(t):
-    queries = t.priorities.select(F.col("id").alias("query_id"), X.query_terms(F.col("statement")).alias("terms"))
+    queries = index.stem_terms(t.priorities.select(F.col("id").alias("query_id"), X.query_terms(F.col("statement")).alias("terms")))
     return S.search_facts(t.facts, queries).select("query_id", "position", "id", R("fused").alias("fused"), "trust")
 
 
-@query()
+@query(rf"""WITH page_tokens AS (SELECT id, regexp_extract_all(strip_accents(lower(title || chr(10) || text)), '[\p{{L}}\p{{N}}]+') AS tokens FROM docs), {T._stem_hits("page", "page_tokens", "keyword_queries")}
+    SELECT query_id, rank AS position, id, round(5e-1 / (60e0 + rank), 6) AS fused, id % 4 = 0 AS stale FROM page_hits WHERE rank <= 10""", needs=["keyword_queries"])
 def page_search(t):
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), X.query_terms(F.col("text")).alias("terms"))
-    return S.search_pages(t.pages_written, queries).select("query_id", "position", "id", R("fused").alias("fused"), "stale")
+    return S.search_pages(t.pages_written, t.asked()).select("query_id", "position", "id", R("fused").alias("fused"), "stale")
 
 
 # --- query text -----------------------------------------------------------------------------------------------------
@@ -256,7 +299,7 @@ def query_router(t):
 
 @query("SELECT doc_id, len(tokens)::BIGINT AS n, len(list_distinct(tokens))::BIGINT AS n_distinct FROM (SELECT id AS doc_id, tokens FROM word_tokens)")
 def word_tokens(t):
-    tokens = X.word_tokens(F.col("text"))
+    tokens = X.word_tokens(X.fold(F.col("text")))
     return t.documents.select("doc_id", F.size(tokens).cast("bigint").alias("n"), F.size(F.array_distinct(tokens)).cast("bigint").alias("n_distinct"))
 
 
@@ -533,12 +576,17 @@ def graph_arm(t):
     return graph.graph_arm(mass, own, seeds.withColumn("query_id", F.lit(0)), n, chunk, None).select("id", R("raw", 5).alias("raw"), "hops")
 
 
-@query()
+@query("""WITH q AS (SELECT s_suppkey AS query_id, string_split('what is ' || s_name || ' for alias' || s_suppkey || ' now', ' ') AS w FROM supplier),
+    r AS (SELECT query_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || w[i + 1] || w[i + 2]))) AS run FROM q),
+    a AS (SELECT DISTINCT query_id, regexp_replace(lower(regexp_replace(run, '#', '#', 'g')), '[ _-]', '', 'g') AS key FROM r),
+    e AS (SELECT regexp_replace(lower(s_name), '[ _-]', '', 'g') AS key, s_suppkey::VARCHAR AS entity_id FROM supplier UNION ALL SELECT 'alias' || s_suppkey, (s_suppkey + 1)::VARCHAR FROM supplier),
+    f AS (SELECT DISTINCT query_id, entity_id FROM a JOIN e USING (key))
+    SELECT query_id, f.entity_id, s_name AS canonical, row_number() OVER (PARTITION BY query_id ORDER BY length(s_name) DESC, s_name, f.entity_id) AS position FROM f JOIN supplier ON s_suppkey::VARCHAR = f.entity_id""")
 def find_entities(t):
-    entities = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("canonical"), X.entity_key(F.col("p_name")).alias("key"))
-    none = t.spark.createDataFrame([], "key string, entity_id string")
-    asked = t.part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("what is "), "p_name", F.lit(" for")).alias("query"))
-    return graph.find_entities(entities, none, asked)
+    entities = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("canonical"), X.entity_key(F.col("s_name")).alias("key"))
+    aliases = t.supplier.select(F.concat(F.lit("alias"), F.col("s_suppkey").cast("string")).alias("key"), (F.col("s_suppkey") + 1).cast("string").alias("entity_id"))
+    asked = t.supplier.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("what is "), "s_name", F.lit(" for alias"), F.col("s_suppkey").cast("string"), F.lit(" now")).alias("query"))
+    return graph.find_entities(entities, aliases, asked).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("SELECT p_partkey, len(g)::BIGINT AS n, array_to_string(g[1:4], '|') AS first FROM (SELECT p_partkey, list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) AS g FROM (SELECT p_partkey, '  ' || regexp_replace(lower(p_name), '[ _-]', '', 'g') || ' ' AS s FROM part))")
@@ -574,9 +622,10 @@ def near_duplicates_lsh(t):
     return resolve.duplicates(chunks).select("a", "b", R("jaccard").alias("jaccard"))
 
 
-@query()
+@query(f"""WITH {_SETS}, h AS (SELECT id, list_transform(g, lambda s: list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(s, ''), lambda c: ord(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295)) AS h FROM g)
+    SELECT id AS p_partkey, array_to_string(list_transform(range(0, 32), lambda i: list_min(list_transform(h, lambda x: (x * (2 * i + 1) + i * 2654435769) & 4294967295))), ' ') AS signature FROM h""")
 def minhash_signature(t):
-    return t.part.select("p_partkey", resolve.signature(X.trigrams(X.entity_key(F.col("p_name")))).alias("signature"))
+    return t.part.select("p_partkey", F.array_join(F.transform(resolve.signature(X.trigrams(X.entity_key(F.col("p_name")))), lambda x: x.cast("string")), " ").alias("signature"))
 
 
 @query()
@@ -588,10 +637,10 @@ def resolve_names(t):
 # --- compaction -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT entity_id FROM mentions) AND s_suppkey NOT IN (SELECT subject FROM facts WHERE deleted_at IS NULL AND invalidated_at IS NULL)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT entity_id FROM mentions) AND c_custkey NOT IN (SELECT subject FROM facts WHERE deleted_at IS NULL AND invalidated_at IS NULL)")
 def orphan_entities(t):
     facts = t.facts.where(scope.live_facts()).select(F.col("subject").alias("subject_entity_id"))
-    return graph.orphans(t.supplier.select(F.col("s_suppkey").alias("id")), t.mentions, facts).select("id")
+    return graph.orphans(t.customer.select(F.col("c_custkey").alias("id")), t.mentions, facts).select("id")
 
 
 @query("SELECT kind, subject, reason FROM (SELECT CASE WHEN entity_id % 2 = 1 THEN 'page' ELSE 'stale' END AS kind, entity_id AS subject, CASE WHEN entity_id % 2 = 1 THEN 'missing' WHEN entity_id % 4 = 0 THEN 'stale' WHEN n >= 3 THEN 'grown' END AS reason FROM (SELECT entity_id, count(DISTINCT chunk_id) AS n FROM mentions GROUP BY entity_id HAVING count(DISTINCT chunk_id) >= 3)) WHERE reason IS NOT NULL")
@@ -631,14 +680,21 @@ def unsupported_sentences(t):
     return out.select(F.col("page_id").alias("conv_id"), F.md5(F.col("sentence").cast("binary")).alias("sentence"), R("support").alias("support"))
 
 
-@query()
+@query("""WITH live AS (SELECT * FROM facts WHERE deleted_at IS NULL AND invalidated_at IS NULL), n AS (SELECT entity_id, count(DISTINCT chunk_id) AS n FROM mentions GROUP BY entity_id)
+    SELECT 'contradiction' AS kind, 'memo://fact/' || a.id AS uri, 'disagrees with memo://fact/' || b.id AS message FROM live a JOIN live b ON a.subject = b.subject AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to AND a.statement <> b.statement
+        AND (a.recorded_at < b.recorded_at OR (a.recorded_at = b.recorded_at AND a.id < b.id))
+    UNION ALL SELECT 'orphan-entity', 'memo://entity/' || s_suppkey, s_name || ' has no live passage mentioning it' FROM supplier WHERE s_suppkey NOT IN (SELECT entity_id FROM mentions) AND s_suppkey NOT IN (SELECT subject FROM live)
+    UNION ALL SELECT 'missing-page', 'memo://entity/' || entity_id, 'mentioned in ' || n || ' live passages and has no page' FROM n WHERE n >= 3 AND entity_id % 2 = 1
+    UNION ALL SELECT 'stale-page', 'memo://page/p' || s_suppkey, s_name || ': revised' FROM supplier WHERE s_suppkey % 4 = 0
+    UNION ALL SELECT 'expired-fact', 'memo://fact/' || id, 'valid_to has passed and nothing supersedes it: ' || statement FROM live WHERE valid_to < AS_OF""".replace("AS_OF", str(T.AS_OF)))
 def lint_union(t):
     entities = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("canonical"))
     facts = t.facts.withColumn("subject_entity_id", F.col("subject"))
     return compact.lint(facts, entities, t.mentions, t.entity_pages, T.AS_OF)
 
 
-@query()
+@query("""SELECT 'documents without passages' AS problem, 0::BIGINT AS n UNION ALL SELECT 'vectors without passage', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id * 100000 + ord FROM lines)
+    UNION ALL SELECT 'facts without evidence', count(*) FROM facts WHERE id NOT IN (SELECT doc_id * 100000 + ord FROM lines) UNION ALL SELECT 'passages without vector', count(*) FROM lines WHERE doc_id * 100000 + ord NOT IN (SELECT vec_id FROM embeddings)""")
 def integrity(t):
     chunks = t.lines.select((F.col("doc_id") * 100000 + F.col("ord")).alias("id"), F.col("doc_id").alias("document_id"))
     vectors = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), F.lit("m").alias("model_id"))
@@ -761,9 +817,10 @@ def error_classes(t):
     return t.events.select("event_id", X.error_class(m).alias("class"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"max_tokens":' || event_id || ',"query":"' || event_type || '"}' ELSE '{"content_len":' || (length(event_type) + 2) || ',"namespace":"n"}' END AS summary FROM events""")
 def argument_summary(t):
-    return t.events.select("event_id", logs.argument_summary(F.lit("search"), F.to_json(F.struct(F.col("event_type").alias("query"), F.col("props").alias("content"), F.lit("x").alias("secret")))).alias("summary"))
+    raw = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("event_type").alias("query"), F.col("event_id").alias("max_tokens"), F.lit("x").alias("secret")))).otherwise(F.to_json(F.struct(F.lit("n").alias("namespace"), F.col("event_type").alias("content"), F.lit("x").alias("mode"))))
+    return t.events.select("event_id", logs.argument_summary(F.when(F.col("event_id") % 2 == 0, "search").otherwise("ingest"), raw).alias("summary"))
 
 
 # --- sources and sinks ----------------------------------------------------------------------------------------------
@@ -791,7 +848,7 @@ def log_replay_jsonl(t):
     return markdown.replay_lines(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("query")))
 
 
-@query()
+@query("""SELECT '# HELP calls_total Calls by tool.' AS line UNION ALL SELECT '# TYPE calls_total counter' UNION ALL SELECT 'calls_total{tool="' || event_type || '"} ' || count(*) FROM events GROUP BY event_type""")
 def prometheus_text(t):
     n = t.events.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("value"))
     families = n.select(F.lit("calls_total").alias("name"), F.lit("Calls by tool.").alias("help"), F.lit("counter").alias("type"), F.create_map(F.lit("tool"), "event_type").alias("labels"), F.lit("").alias("suffix"), "value")
@@ -812,11 +869,16 @@ def cited_chunks(t):
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT DISTINCT source AS namespace, hash AS content_hash FROM hashed JOIN documents USING (doc_id)")
 def stream_ingest_dedup(t):
     return t.streamed_first_seen()
 
 
-@query()
+@query("""WITH s AS (SELECT user_id AS client, count(*) AS calls, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s)
+    SELECT client, calls, first_ts, last_ts FROM s WHERE last_ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_sessions(t):
-    return t.streamed_sessions()
+    return t.streamed_sessions().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
+from . import more_queries  # noqa: E402, F401  registers the rest

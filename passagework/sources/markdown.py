@@ -60,6 +60,25 @@ def bounded_index(docs: DataFrame, facts: DataFrame | None = None, most: int = 8
     return first.select(F.row_number().over(w).alias("position"), "line", spent.alias("spent")).where(F.col("spent") <= room)
 
 
+def export_indexes(docs: DataFrame, path: str, most: int = 8192) -> None:
+    """An index of each namespace as text under `namespace=`, cut to `most` bytes, with how many lines that left out."""
+    line = F.concat(F.lit("- "), X.one_liner(F.col("title")), F.lit(" · "), F.col("uri"), F.lit(" · "), F.col("kind"), F.lit(" · "), F.col("trust"))
+    w = Window.partitionBy("namespace").orderBy("title", "uri")
+    first = docs.select("namespace", "title", "uri", line.alias("line"), F.row_number().over(w).alias("n")).where(F.col("n") <= most)  # no more can fit
+    spent = F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("spent", spent).where(F.col("spent") <= most - 88).select("namespace", "n", F.col("line").alias("value"))
+    counts = docs.groupBy("namespace").agg(F.count(F.lit(1)).alias("all")).join(kept.groupBy("namespace").agg(F.count(F.lit(1)).alias("in")), "namespace", "left")
+    left = F.col("all") - F.coalesce("in", F.lit(0))
+    heads = counts.select("namespace", F.lit(0).alias("n"), F.concat(F.lit("# "), "namespace", F.lit(" ("), F.col("all").cast("string"), F.lit(" documents)")).alias("value"))
+    tails = counts.where(left > 0).select("namespace", F.lit(1 << 30).alias("n"), omitted(left, most).alias("value"))
+    rows = heads.unionByName(kept).unionByName(tails).repartition("namespace").sortWithinPartitions("namespace", "n")
+    rows.select("namespace", "value").write.mode("overwrite").partitionBy("namespace").text(path)
+
+
+def omitted(n: Column, most: int) -> Column:
+    return F.concat(F.lit("_"), n.cast("string"), F.lit(f" more line(s) omitted to fit {most} bytes; search or list for the rest._"))
+
+
 def replay_lines(log: DataFrame) -> DataFrame:
     """Logged searches as candidates for evaluation, a JSON object a line."""
     return log.select(F.to_json(F.struct(F.concat(F.lit("log-"), F.col("id").cast("string")).alias("id"), "query", F.lit("replay").alias("category"), F.array().cast("array<string>").alias("relevant"))).alias("value"))

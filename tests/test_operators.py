@@ -89,11 +89,14 @@ def test_facts(spark):
         rows.select(facts.capped(F.lit("curated"), "tool")).collect()
 
 
-def test_extract():
-    found = {n: (k, w) for n, k, w in graph.extract("Ledger Store", "# Setup guide\n\nUse `Client.Connect` with the Quorum Broker. ERR_CONN_RESET is 1.7 bad. The Quorum Broker again.")}
-    assert found["Ledger Store"] == ("heading", 1.0) and found["Setup guide"][1] == 0.9
-    assert found["Client.Connect"] == ("identifier", 0.8) and found["ERR_CONN_RESET"] == ("identifier", 0.6)
-    assert found["Quorum Broker"] == ("name", 0.5) and "1.7" not in found
+def test_extract(spark):
+    text = "# Setup guide\n\nUse `Client.Connect` with the Quorum Broker. ERR_CONN_RESET is 1.7 bad. The Quorum Broker again. Monday came; Broker `a b c d` and `do it(x)` `Foo Bar` stay."
+    rows = spark.createDataFrame([(1, "Ledger Store", text), (2, None, None), (3, "", "lower only"), (4, "The", "Ledger. store Ledger")], "id long, title string, text string")
+    found = {(r.chunk_id, r.name): (r.type, r.weight) for r in graph.extracted(rows, F.col("title"), F.col("text")).collect()}
+    assert found[1, "Ledger Store"] == ("heading", 1.0) and found[1, "Setup guide"][1] == 0.9
+    assert found[1, "Client.Connect"] == ("identifier", 0.8) and found[1, "ERR_CONN_RESET"] == ("identifier", 0.6)
+    assert found[1, "Quorum Broker"] == ("name", 0.5) and (1, "1.7") not in found and (1, "Broker") not in found and found[1, "Foo Bar"][1] == 0.6
+    assert not [k for k in found if k[0] in (2, 3)] and [k[1] for k in found if k[0] == 4] == ["Ledger"]
 
 
 def test_pagerank_hub_cap_loses_mass(spark):
@@ -154,9 +157,44 @@ def test_percentiles_by_floor_index(spark):
 
 
 def test_argument_summary_keeps_the_allowed(spark):
-    raw = json.dumps({"query": "q", "secret": "x", "content": "abc"})
-    rows = spark.createDataFrame([("search", raw), ("search", "nope")], "tool string, raw string").select(logs.argument_summary(F.col("tool"), F.col("raw"))).collect()
-    assert json.loads(rows[0][0]) == {"query": "q", "content_len": "3"} and rows[1][0] == "{}"
+    calls = [("search", json.dumps({"query": "q", "max_tokens": 5, "scope": {"kinds": ["doc"]}, "secret": "x", "content": "abc"})), ("search", "nope"), ("ingest", json.dumps({"namespace": "n", "content": "abc"})), ("status", "{}")]
+    rows = [r[0] for r in spark.createDataFrame(calls, "tool string, raw string").select(logs.argument_summary(F.col("tool"), F.col("raw"))).collect()]
+    assert rows == ['{"max_tokens":5,"query":"q","scope":{"kinds":["doc"]}}', "{}", '{"content_len":5,"namespace":"n"}', "{}"]
+
+
+def test_stems_phrases_and_folding(spark):
+    """What one form of a word finds, all its forms do; a word with `_` is a phrase; accents make no difference."""
+    texts = ["Reviewing the change before release", "a review of the change", "reviewers met in a café", "err then conn and reset", "it says ERR_CONN_RESET here", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tokens = index.tokenised(docs, "id", F.col("text"))
+    asked = spark.createDataFrame([(1, "reviewed"), (2, "ERR_CONN_RESET"), (3, "CAFE"), (4, "cafés")], "query_id long, q string")
+    asked = index.stem_terms(asked.select("query_id", X.query_terms(F.col("q")).alias("terms")))
+    stored = index.stored(docs, "id", F.lit(""), F.col("text")).where("kind = 'stem'")
+    totals = stored.select("id", "size").distinct().agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
+    ways = [index.bm25(tokens, asked, stems=True), index.bm25_stored(stored, totals, asked)]
+    found = [{(r.query_id, r.id): (r.raw, r.rank) for r in w.collect()} for w in ways]
+    assert found[0] == found[1] and set(found[0]) == {(1, 0), (1, 1), (1, 2), (2, 4), (3, 2), (4, 2)}
+    exact = index.bm25(index.tokenised(docs, "id", F.col("text"), True), spark.createDataFrame([(1, ["err_conn_reset"])], "query_id long, terms array<string>")).collect()
+    assert [r.id for r in exact] == [4]
+
+
+def test_batches_do_not_change_results(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "id long, embedding array<float>")
+    queries = vectors.where("id < 9").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    whole = sorted(map(tuple, index.nearest(vectors, queries, 5).collect()))
+    was, index.FEW_QUERIES = index.FEW_QUERIES, 5
+    try:
+        assert sorted(map(tuple, index.nearest(vectors, queries, 5).collect())) == whole
+    finally:
+        index.FEW_QUERIES = was
+
+
+def test_texts_are_read_for_results_only(spark):
+    """The plan of a search has no window over passages and joins texts after the cut."""
+    passages = spark.createDataFrame([(i, i // 3, i % 3, f"text {i}", 5, "") for i in range(9)], "id long, document_id long, ord int, text string, est_tokens int, context_header string")
+    rows = spark.createDataFrame([(1, 1, 0), (2, 0, 2)], "query_id long, document_id long, ord int")
+    got = {r.query_id: (r.before, r.text, r.after) for r in search.with_texts(passages, rows).collect()}
+    assert got == {1: (None, "text 3", "text 4"), 2: ("text 1", "text 2", None)}
 
 
 def test_profiles_and_routes():
