@@ -215,8 +215,16 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Ids that are broadcast, at most; more go into a Bloom filter.
+FEW_IDS = 200_000
+
+
 def apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`docs` (with a column `id`) in two: rows that may be among `ids` (doc_id), or have none; and rows that surely are not, which need no join."""
+    if ids.count() <= FEW_IDS:
+        few = F.broadcast(ids.where("doc_id is not null").select(F.col("doc_id").alias("_few")).distinct())
+        inside = F.col("id") == F.col("_few")
+        return docs.join(few, inside, "left_semi").unionByName(docs.where("id is null")), docs.where("id is not null").join(few, inside, "left_anti")
     passes = _passing(docs.sparkSession, *_bloom(ids), column="id")
     return docs.where(F.col("id").isNull() | passes), docs.where(F.col("id").isNotNull() & ~passes)
 

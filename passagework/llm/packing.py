@@ -14,9 +14,11 @@ token crosses; ties (pieces of one length) take that length's slots in the order
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,11 @@ _WIDE_GAP = re.compile(r"\s{1000}").search
 _CUT = re.compile(r"(?<=\S)(?= \S)").search
 
 
+def special_tokens(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+
 class Encoder:
     """Token ids of the byte-level BPE in a tokenizers file, as little-endian 32-bit bytes.
 
@@ -48,11 +55,10 @@ class Encoder:
 
     PART = 1_000_000
 
-    def __init__(self, path: str, ranks_path: str | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+    def __init__(self, path: str, ranks_path: str | None = None, special: list[str] | None = None) -> None:
+        """special: the file's special tokens, if they are known; the file is then read only when a text needs it."""
+        self.path = path
+        self.special = special_tokens(path) if special is None else special
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -62,6 +68,12 @@ class Encoder:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -103,8 +115,10 @@ def _numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def _tokenised(path: str, ranks_path: str | None, room: int, end_id: int, keep_ids: bool):
+    special = special_tokens(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sender = Encoder(path, ranks_path), TaskContext.get().partitionId()
+        encoder, sender = Encoder(path, ranks_path, special), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), np.zeros(room + 1, np.int64)
         for batch in batches:
             for b in slices(batch, "text"):
