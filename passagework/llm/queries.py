@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, importance_resampling, language_id, mixing, ngram_join, packing, quality_rules, span_dedup
+from . import chat_format, exact_dedup, html_extract, importance_resampling, language_id, mixing, ngram_join, packing, quality_rules, ranked_search, span_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(rows.unionByName(more)))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_importance_resampling": op2_importance_resampling,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +104,24 @@ ORACLE_SQL: dict[str, str] = {
             CAST(chars AS BIGINT) AS formatted_chars
         FROM s
     """,
+    "op11_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents),
+        s AS (SELECT doc_id, r, len(t) AS n, t FROM d WHERE len(t) > 0),
+        g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM s),
+        p AS (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, n, unnest(t) AS term FROM s) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        w AS (
+            SELECT item_id, term, count(*) * CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * any_value(df) + 1))) AS BIGINT) AS w
+            FROM q JOIN f USING (term), g GROUP BY item_id, term),
+        c AS (
+            SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+            FROM w JOIN p USING (term), g GROUP BY item_id, r)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM c WHERE score > 0 QUALIFY rank <= 20
+    """,
 }
