@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, divergence, exact_dedup, html_extract, importance_resampling, language_id, mixing, ngram_join, packing, quality_rules, ranked_search, span_dedup
+from . import bpe_chunks, chat_format, divergence, exact_dedup, html_extract, importance_resampling, language_id, mixing, ngram_join, packing, quality_rules, ranked_search, span_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"), *tokenizer_files(), keep_ids=False).drop("ids")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
     "op11_ranked_search": op11_ranked_search,
+    "op12_bpe_chunks": op12_bpe_chunks,
     "op13_source_divergence": op13_source_divergence,
 }
 
