@@ -1,13 +1,15 @@
 """A knowledge base in a directory: append-only Parquet events, and everything else derived from them.
 
-Nothing is updated in place. A write appends a batch; what holds now (or held at a time) is a view. Clocks are passed in.
+Nothing is updated in place. A tool call appends to its tables under one commit, which is there in all of them or in none;
+what holds now (or held at a time, or after a commit) is a view. Clocks are passed in.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from .operators import chunking, compact, evaluation, facts, graph, index, inges
 from .plans import profiles, router, search
 from .schemas import TRUST
 from .sources import markdown
+from .storage import Commit, CommitLog
 
 _WRITES = "id string, source_id string, namespace string, uri string, title string, kind string, library string, version string, context string, content string, content_hash string, trust string, origin string, tags array<string>, created_at long, revision int, outcome string, fetched_at long, ttl_s long"
 _EVENTS = {
@@ -33,42 +36,84 @@ _EVENTS = {
 }
 
 
+def _committed(op: str) -> Callable:
+    """All that a method writes becomes one commit, also what methods write that it calls; an error on the way leaves nothing to be seen."""
+
+    def of(method: Callable) -> Callable:
+        @wraps(method)
+        def call(self, *args, **options):
+            if self._open is not None:
+                return method(self, *args, **options)
+            with self.log.commit(op) as own:
+                self._open = own
+                try:
+                    return method(self, *args, **options)
+                finally:
+                    self._open = None
+
+        return call
+
+    return of
+
+
 class KnowledgeBase:
-    """The ten tools as methods. `embed`: a function of a text column that gives vectors; "hash" is the built-in one, None a base without meaning."""
+    """The ten tools as methods. `embed`: a function of a text column that gives vectors; "hash" is the built-in one, None a base without meaning.
+
+    upto: the number of the last commit that is seen; such a view cannot be written to.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, model_id: str = "hash", embed="hash", query_prefix: str = "", doc_prefix: str = "") -> None:
+    def __init__(self, spark: SparkSession, path: str, model_id: str = "hash", embed="hash", query_prefix: str = "", doc_prefix: str = "", upto: int | None = None) -> None:
         self.spark, self.path, self.model_id = spark, path.rstrip("/"), model_id
         self.embed = V.embedder(V.hash_encoder(64)) if embed == "hash" else embed
         self.query_prefix, self.doc_prefix = query_prefix, doc_prefix
+        self.log = CommitLog(spark, self.path, _EVENTS, schemas.VERSION, upto)
+        self._open: Commit | None = None
         self._claim()
 
     # --- storage
 
-    def _fs(self, *parts: str):
-        jvm = self.spark.sparkContext._jvm
-        there = jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
-        return there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), there
-
     def _claim(self) -> None:
-        """A manifest marks a base; a later version than this code knows is refused."""
-        fs, there = self._fs("manifest")
-        if fs.exists(there):
-            found = json.loads(self.spark.read.text(f"{self.path}/manifest").first().value)
-            if found["version"] > schemas.VERSION:
-                raise ValueError(f"version {found['version']} is newer than {schemas.VERSION}")
-        else:
-            self.spark.createDataFrame([(json.dumps({"version": schemas.VERSION}),)], "value string").coalesce(1).write.text(f"{self.path}/manifest")
+        """The log marks a base. A version later than this code knows is refused, an earlier one is brought up step by step."""
+        found = max((e.version for e in self.log.entries()), default=None)
+        if found is None and "manifest" in self.log.listed():
+            found = json.loads(self.spark.read.text(f"{self.path}/manifest").first().value)["version"]
+        if found is None:
+            if self.log.upto is None:
+                self.log.publish("create", "create", 0, {})
+            return
+        if found > schemas.VERSION:
+            raise ValueError(f"version {found} is newer than {schemas.VERSION}")
+        for version in range(found, schemas.VERSION):
+            _UPGRADES[version](self)
+
+    def _adopt(self) -> None:
+        """Version 1 had no log: what lies in its tables becomes the first commit; nothing is moved."""
+        self.log.publish("adopted", "upgrade", 0, {t: files for t in _EVENTS if (files := [f"{t}/{n}" for n in self.log.listed(t) if n.endswith(".parquet")])})
 
     def _append(self, table: str, df: DataFrame) -> None:
-        names = [c.strip().split(" ")[0] for c in _split(_EVENTS[table])]
-        df.select(*names).write.mode("append").parquet(f"{self.path}/{table}")
+        if self._open is not None:
+            return self._open.append(table, df)
+        with self.log.commit("append") as own:
+            own.append(table, df)
 
     def _rows(self, table: str, rows: list[tuple]) -> None:
         self._append(table, self.spark.createDataFrame(rows, _EVENTS[table]))
 
     def table(self, name: str) -> DataFrame:
-        fs, there = self._fs(name)
-        return self.spark.read.schema(_EVENTS[name]).parquet(f"{self.path}/{name}") if fs.exists(there) else self.spark.createDataFrame([], _EVENTS[name])
+        """Committed rows, and inside a call also its own."""
+        return self.log.rows(name, [*self.log.paths(name), *(self._open.adds.get(name, []) if self._open else [])])
+
+    def after(self, seq: int) -> KnowledgeBase:
+        """The base as it was after a commit."""
+        return KnowledgeBase(self.spark, self.path, self.model_id, self.embed, self.query_prefix, self.doc_prefix, upto=seq)
+
+    def commits(self) -> DataFrame:
+        """seq, op, tables of every commit, in order."""
+        return self.spark.createDataFrame([(e.seq, e.op, sorted(e.adds)) for e in self.log.entries()], "seq long, op string, tables array<string>")
+
+    def optimise(self, now_ms: int = 0) -> list[str]:
+        """Tables whose folders were merged."""
+        return [t for t in _EVENTS if self.log.optimise(t, now_ms)]
 
     # --- views
 
@@ -158,6 +203,7 @@ class KnowledgeBase:
 
     # --- tools
 
+    @_committed("ingest")
     def ingest(self, docs: DataFrame, now_ms: int, actor: str = "cli", channel: str = "cli", sizes: chunking.Sizes = chunking.Sizes(), relations: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
         """docs: namespace, uri, content and, as they have them, title, kind, library, version, context, trust, origin, tags, fetched_at, ttl_s. Gives uri, outcome, revision.
 
@@ -174,14 +220,12 @@ class KnowledgeBase:
         decided = ingest.decide(docs.dropDuplicates(["namespace", "uri"]), live)
         source = F.sha2(F.concat_ws("\x1f", "namespace", "uri"), 256).substr(1, 32)
         rows = decided.withColumn("source_id", source).withColumn("id", F.concat("source_id", F.lit("-"), F.col("revision").cast("string"))).withColumn("created_at", F.lit(now_ms).cast("long"))
-        before = self._batches("writes")
         self._append("writes", rows)
-        new = self._since("writes", before)
+        new = self._open.read("writes")
         changed = new.where("outcome <> 'unchanged'")
         cut = ingest.passages(changed.select("id", "title", "context", "content"), sizes).withColumn("id", F.xxhash64("document_id", "ord"))
-        before = self._batches("passages")
         self._append("passages", cut)
-        kept = self._since("passages", before)
+        kept = self._open.read("passages")
         self._append("postings", index.stored(kept, "id", F.coalesce("context_header", F.lit("")), F.col("text")))
         self._embed(kept)
         self._mention(kept, new, now_ms, named)
@@ -225,15 +269,6 @@ class KnowledgeBase:
         """Ingest runs with counters folded from their items, state, percent and rate."""
         return ingest.run_rollup(self.table("run_items"), self.table("runs"), now_ms)
 
-    def _batches(self, table: str) -> set[str]:
-        fs, there = self._fs(table)
-        return {str(f.getPath()) for f in fs.listStatus(there)} if fs.exists(there) else set()
-
-    def _since(self, table: str, before: set[str]) -> DataFrame:
-        """What a write just appended, read from its own files."""
-        new = [p for p in self._batches(table) - before if p.endswith(".parquet")]
-        return self.spark.read.schema(_EVENTS[table]).parquet(*new) if new else self.spark.createDataFrame([], _EVENTS[table])
-
     def _asked(self, queries: Iterable[str | list[str]]) -> tuple[DataFrame, list[list[str]], str]:
         """The request batch as rows (query_id, request_id, query, terms, exact_terms, vector), its texts, and why there are no vectors if so."""
         requests = [[q] if isinstance(q, str) else list(q) for q in queries]
@@ -251,6 +286,7 @@ class KnowledgeBase:
             return bare, requests, f"query embedding failed: {str(e).splitlines()[0][:200]}"
         return self.spark.createDataFrame(rows, T.StructType([*kind.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])), requests, ""
 
+    @_committed("search")
     def search(self, queries: Iterable[str | list[str]], mode: str = "auto", profile: str = "default", scope: scopes.Scope = scopes.Scope(), now_ms: int = 0, granularity: str = "document", **options) -> DataFrame:
         """All requests in one plan; see plans.search.search for columns and options. A request is a query, or a list of a query and its alternates.
 
@@ -258,6 +294,7 @@ class KnowledgeBase:
         """
         return self._searched(queries, mode, profile, scope, now_ms, granularity, options)[0]
 
+    @_committed("search")
     def answer(self, queries: Iterable[str | list[str]], mode: str = "auto", profile: str = "default", scope: scopes.Scope = scopes.Scope(), now_ms: int = 0, granularity: str = "document", **options) -> dict:
         """Results, and for each request without one the reason and a hint; whether meaning was left out, and why; how many documents the scope has and hides."""
         found, q, chosen, degraded, arms = self._searched(queries, mode, profile, scope, now_ms, granularity, options)
@@ -300,6 +337,8 @@ class KnowledgeBase:
         return found, q, chosen, degraded, names
 
     def _log(self, now_ms: int, requests: list[list[str]], mode: str, profile: str, trace: str) -> None:
+        if self.log.upto is not None:  # a view of an earlier state keeps no log
+            return
         self._rows("queries", [(now_ms, json.dumps({"query": x[0], "queries": x[1:]}), mode, profile, self.model_id, None, None, None, trace) for x in requests])
         self._call(now_ms, "tool", "search", json.dumps({"query": requests[0][0]} if requests else {}))
 
@@ -377,6 +416,7 @@ class KnowledgeBase:
         if TRUST.index(row.trust or TRUST[0]) > TRUST.index(cap):
             raise PermissionError(f"{op} on {uri} needs a human: the record is trust={row.trust} and {channel} may act on trust={cap} at most")
 
+    @_committed("remember")
     def remember(self, statement: str, about: list[str], now_ms: int, namespace: str = "default", trust: str = "agent", channel: str = "tool", evidence_chunk_id: int | None = None, supersedes: str | None = None, valid_from: int | None = None, valid_to: int | None = None) -> str:
         if not statement.strip():
             raise ValueError("statement is required")
@@ -400,6 +440,7 @@ class KnowledgeBase:
             row = self.spark.createDataFrame([(id_, self.model_id, text)], "id string, model_id string, text string")
             self._append(table, row.select("id", "model_id", self.embed(X.role_prefix(F.col("text"), self.doc_prefix)).alias("embedding")))
 
+    @_committed("forget")
     def forget(self, uri: str, reason: str, now_ms: int, redact: bool = False, actor: str = "cli", channel: str = "cli") -> bool:
         """Whether something changed: what is forgotten already changes only if it is redacted now."""
         if not reason.strip():
@@ -413,6 +454,7 @@ class KnowledgeBase:
         self._call(now_ms, channel, "forget", json.dumps({"uri": uri, "redact": redact}))
         return True
 
+    @_committed("promote")
     def promote(self, uri: str, trust: str, now_ms: int, channel: str = "cli") -> None:
         if trust not in TRUST:
             raise ValueError(f"trust must be one of {', '.join(TRUST)}")
@@ -438,18 +480,21 @@ class KnowledgeBase:
         key = self.spark.createDataFrame([(entity,)], "name string").select(X.entity_key(F.col("name")).alias("entity_id"))
         return self.live_mentions().join(graph.merged(key, self.decided_merges(), "entity_id"), "entity_id").orderBy(F.desc("weight"), "chunk_id").limit(most)
 
+    @_committed("rebuild")
     def rebuild_mentions(self, now_ms: int) -> int:
         """Mentions of all live passages extracted anew; the number of passages."""
         live = self.live_passages()
         self._mention(live, self.documents(), now_ms)
         return live.count()
 
+    @_committed("merge")
     def decide_merge(self, a: str, b: str, accept: bool, now_ms: int, channel: str = "cli", score: float = 0.0) -> None:
         """Accepted: `b` becomes an alias of `a`, and its mentions and facts count as `a`'s."""
         state = "merged" if accept else "rejected"
         self._rows("merges", [(a, b, score, "names are alike", state, now_ms, now_ms)])
         self._audit(now_ms, f"merge_{state}", f"memo://entity/{b}", channel)
 
+    @_committed("compact")
     def compact(self, now_ms: int) -> DataFrame:
         """Open work: pages to write or refresh, conflicting facts, alike names and near-identical passages, one open item of a kind and subject; new ones are appended."""
         pages = compact.page_items(self.live_mentions(), self.pages()).select("kind", "subject", F.to_json(F.struct("reason", "mentions")).alias("payload"))
@@ -463,6 +508,7 @@ class KnowledgeBase:
         self._append("items", new.select(key.alias("id"), F.lit("default").alias("namespace"), "kind", "subject", "payload", F.lit("open").alias("state"), F.lit(now_ms).cast("long").alias("created_at"), none("long").alias("decided_at"), none("string").alias("result"), none("string").alias("actor")))
         return self.items().where("state = 'open'")
 
+    @_committed("submit")
     def submit(self, item_id: str, now_ms: int, content: str | None = None, keep: str | None = None, accept: bool | None = None, skip: bool = False, actor: str = "agent", channel: str = "tool", dry_run: bool = False) -> dict:
         """Closes a work item, or with dry_run says what that would do: a page is written with the passages it cites, a conflict invalidates the loser, a merge is accepted or rejected, a duplicate is only recorded."""
         item = self.items().where(F.col("id") == item_id).first()
@@ -534,10 +580,19 @@ class KnowledgeBase:
         entities = entities.join(self.aliases().select(F.col("key").alias("id")), "id", "left_anti")
         return compact.lint(self.facts(), entities, self.live_mentions(), self.pages(), now_ms)
 
+    @_committed("repair")
     def verify(self, repair: bool = False) -> DataFrame:
         """Integrity problems and their numbers; repair embeds what lacks a vector and indexes what lacks postings first."""
         if repair:
             self.reindex()
+            # a base of version 1 may hold documents whose ingest was stopped before their passages were written
+            uncut = self.documents().where(scopes.live_documents() & (F.trim("content") != "")).join(self.table("passages").select(F.col("document_id").alias("_d")).distinct(), F.col("id") == F.col("_d"), "left_anti")
+            cut = ingest.passages(uncut.select("id", "title", "context", "content")).withColumn("id", F.xxhash64("document_id", "ord"))
+            if not uncut.isEmpty():
+                self._append("passages", cut)
+                kept = self._open.read("passages")
+                self._embed(kept)
+                self._mention(kept, uncut, 0)
             bare = self.live_passages().join(self.table("postings").select("id").distinct(), "id", "left_anti")
             if not bare.isEmpty():
                 self._append("postings", index.stored(bare, "id", F.coalesce("context_header", F.lit("")), F.col("text")))
@@ -585,6 +640,7 @@ class KnowledgeBase:
         """The same base searched by another model; `reindex` fills what it lacks."""
         return KnowledgeBase(self.spark, self.path, model_id, embed, query_prefix, doc_prefix)
 
+    @_committed("reindex")
     def reindex(self) -> int:
         """Vectors for live passages that lack one of this model, also those that failed; how many were missing."""
         todo = self.jobs()
@@ -597,13 +653,5 @@ class KnowledgeBase:
         self._rows("audit", [(now_ms, channel, channel, op, uri, "{}")])
 
 
-def _split(ddl: str) -> list[str]:
-    """The columns of a schema text; commas inside brackets do not part them."""
-    out, depth = [""], 0
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+#: What brings a base of a version to the next.
+_UPGRADES: dict[int, Callable[[KnowledgeBase], None]] = {1: KnowledgeBase._adopt}

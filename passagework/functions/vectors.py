@@ -38,9 +38,17 @@ _words = re.compile(r"[^\W_]+").findall
 
 
 def _direction(word: str, dim: int) -> np.ndarray:
-    """8 signed steps by the bytes of the word's MD5, two a step: dimension `first mod dim`, plus 1 if the second is below 128, else minus 1."""
-    own = np.frombuffer(hashlib.md5(word.encode()).digest(), np.uint8)
-    return np.bincount(own[::2] % dim, np.where(own[1::2] < 128, 1.0, -1.0), dim)
+    """8 signed steps. Up to 256 dimensions by the bytes of the word's MD5, two a step: dimension `first mod dim`, plus 1 if the second is below 128, else minus 1.
+
+    More dimensions take SHA-256 and four bytes a step: the first two give the dimension, the third the sign.
+    """
+    if dim <= 256:
+        own = np.frombuffer(hashlib.md5(word.encode()).digest(), np.uint8).astype(np.int64)
+        place, sign = own[::2], own[1::2]
+    else:
+        own = np.frombuffer(hashlib.sha256(word.encode()).digest(), np.uint8).astype(np.int64)
+        place, sign = own[::4] * 256 + own[1::4], own[2::4]
+    return np.bincount(place % dim, np.where(sign < 128, 1.0, -1.0), dim)
 
 
 def hash_embed(text: str, dim: int = 256, known: dict[str, np.ndarray] | None = None) -> np.ndarray:

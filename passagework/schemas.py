@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-VERSION = 1
+VERSION = 2
 
 TRUST = ("agent", "user", "curated")
 #: The most a channel may claim.
