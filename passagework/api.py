@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from . import schemas
 from .functions import text as X
 from .functions import vectors as V
-from .operators import chunking, compact, evaluation, facts, graph, index, ingest, logs, resolve, scope as scopes
+from .operators import chunking, compact, evaluation, facts, graph, index, ingest, logs, merges, resolve, scope as scopes
 from .plans import profiles, router, search
 from .schemas import TRUST
 from .sources import markdown
@@ -68,6 +68,7 @@ class KnowledgeBase:
         self.query_prefix, self.doc_prefix = query_prefix, doc_prefix
         self.log = CommitLog(spark, self.path, _EVENTS, schemas.VERSION, upto)
         self._open: Commit | None = None
+        self._roots: tuple[tuple[str, ...], DataFrame | None] = (), None
         self._claim()
 
     # --- storage
@@ -141,7 +142,7 @@ class KnowledgeBase:
     def facts(self) -> DataFrame:
         by_id = lambda df: df.where(F.col("uri").startswith("memo://fact/")).withColumn("id", F.regexp_extract("uri", "fact/(.+)$", 1))
         own = facts.state(self.table("facts"), by_id(self.table("tombstones")), by_id(self.table("trusts")), self.table("invalidations"))
-        return graph.merged(own.withColumn("subject_entity_id", facts.subject(F.col("about"))), self.decided_merges(), "subject_entity_id")
+        return merges.renamed(own.withColumn("subject_entity_id", facts.subject(F.col("about"))), self.roots(), "subject_entity_id")
 
     def pages(self) -> DataFrame:
         """The latest version of each page; stale, with the reason, once a document it cites was revised or forgotten."""
@@ -167,7 +168,7 @@ class KnowledgeBase:
         own = self.table("mentions").join(seen, "chunk_id", "left_semi")
         newest = own.groupBy("chunk_id").agg(F.max("built").alias("built"))
         rows = own.join(newest, ["chunk_id", "built"]).where("key <> ''").select(F.col("key").alias("entity_id"), "chunk_id", "weight", "name")
-        moved = graph.merged(rows, self.decided_merges(), "entity_id")
+        moved = merges.renamed(rows, self.roots(), "entity_id")
         return moved.groupBy("entity_id", "chunk_id").agg(F.max("weight").alias("weight"), F.max_by("name", "weight").alias("name"))
 
     def entities(self) -> DataFrame:
@@ -176,11 +177,21 @@ class KnowledgeBase:
 
     def aliases(self) -> DataFrame:
         """key, entity_id: names that accepted merges made others' aliases."""
-        return self.decided_merges().where("state = 'merged'").select(F.col("b").alias("key"), F.col("a").alias("entity_id"))
+        found = self.roots()
+        return self.spark.createDataFrame([], "key string, entity_id string") if found is None else found.select(F.col("id").alias("key"), F.col("root").alias("entity_id"))
+
+    def roots(self) -> DataFrame | None:
+        """id, root: what each merged entity has become; None before any merge. Found anew only when decisions have come."""
+        now = (*self.log.paths("merges"), *(self._open.adds.get("merges", []) if self._open else []))
+        if not now:
+            return None
+        if self._roots[0] != now:
+            self._roots = now, merges.roots(self.decided_merges())
+        return self._roots[1]
 
     def relations(self) -> DataFrame:
-        """The latest live relation of each pair of entities."""
-        return graph.typed_edges(self.table("edges"))
+        """The latest live relation of each pair of entities, after accepted merges."""
+        return graph.typed_edges(merges.renamed_edges(self.table("edges"), self.roots()))
 
     def jobs(self) -> DataFrame:
         """Passages that still lack a vector of this model: id, state (`failed` if an embedding was tried and gave none, else `queued`)."""
@@ -466,19 +477,19 @@ class KnowledgeBase:
     def facts_about(self, entity: str) -> DataFrame:
         """Live facts whose subject is an entity, by any of its names."""
         key = self.spark.createDataFrame([(entity,)], "name string").select(X.entity_key(F.col("name")).alias("subject_entity_id"))
-        key = graph.merged(key, self.decided_merges(), "subject_entity_id")
+        key = merges.renamed(key, self.roots(), "subject_entity_id")
         return self.facts().where(scopes.live_facts()).join(F.broadcast(key), "subject_entity_id")  # one row
 
     def explore(self, entity: str) -> DataFrame:
         """Entities within two hops by shared passages, with the latest stated relation to the one they were reached from."""
         start = self.spark.createDataFrame([(entity,)], "name string").select(X.entity_key(F.col("name")).alias("entity_id"))
-        found = graph.explore(self.live_mentions(), graph.merged(start, self.decided_merges(), "entity_id"))
+        found = graph.explore(self.live_mentions(), merges.renamed(start, self.roots(), "entity_id"))
         said = self.relations().select(F.col("a").alias("_a"), F.col("b").alias("_b"), "rel")
         return found.join(said, (F.least("entity_id", "via") == F.col("_a")) & (F.greatest("entity_id", "via") == F.col("_b")), "left").drop("_a", "_b")
 
     def strongest_passages(self, entity: str, most: int = 20) -> DataFrame:
         key = self.spark.createDataFrame([(entity,)], "name string").select(X.entity_key(F.col("name")).alias("entity_id"))
-        return self.live_mentions().join(graph.merged(key, self.decided_merges(), "entity_id"), "entity_id").orderBy(F.desc("weight"), "chunk_id").limit(most)
+        return self.live_mentions().join(merges.renamed(key, self.roots(), "entity_id"), "entity_id").orderBy(F.desc("weight"), "chunk_id").limit(most)
 
     @_committed("rebuild")
     def rebuild_mentions(self, now_ms: int) -> int:

@@ -881,4 +881,4 @@ def stream_sessions(t):
     return t.streamed_sessions().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 
-from . import more_queries  # noqa: E402, F401  registers the rest
+from . import more_queries, state_queries  # noqa: E402, F401  register the rest
