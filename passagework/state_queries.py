@@ -10,6 +10,7 @@ from .functions.scratch import shared_dir
 from .operators import graph, merges
 from .queries import query
 from .storage import CommitLog
+from .streaming import live
 
 # --- commits ----------------------------------------------------------------------------------------------------------
 
@@ -71,3 +72,27 @@ def relations_after_merges(t):
     n = t.supplier.count()
     said = t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst"), F.concat("l_returnflag", "l_linestatus").alias("rel"), F.lit(1.0).alias("weight"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("recorded_at"), F.lit(None).cast("long").alias("invalidated_at"))
     return graph.typed_edges(merges.renamed_edges(said, merges.roots(_decided(t.supplier, "s_suppkey")))).select("a", "b", "rel")
+
+
+# --- sessions and calls -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT CAST(user_id % 10 AS VARCHAR) AS client, epoch_us(ts) AS at_us, event_id AS place, CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'close' WHEN 'view' THEN 'begin' WHEN 'click' THEN 'end' ELSE 'seen' END AS kind,
+        CASE event_type WHEN 'view' THEN event_id WHEN 'click' THEN event_id - 1 END AS call FROM events),
+    m AS (SELECT (max(at_us) // 1000 - 600000) * 1000 AS mark FROM e),
+    p AS (SELECT e.* FROM e, m WHERE at_us <= mark),
+    s AS (SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY client ORDER BY at_us, place) AS total FROM p),
+    o AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY client ORDER BY at_us, place)) AS opened FROM s),
+    g AS (SELECT *, lag(at_us) OVER (PARTITION BY client ORDER BY at_us, place) AS prev, lag(opened) OVER (PARTITION BY client ORDER BY at_us, place) AS was FROM o),
+    n AS (SELECT *, sum(CASE WHEN prev IS NULL OR (was = 0 AND at_us - prev > 1800000000) THEN 1 ELSE 0 END) OVER (PARTITION BY client ORDER BY at_us, place) AS session FROM g),
+    x AS (SELECT client, session, min(at_us) AS since, max(at_us) AS last_seen, count(*) FILTER (WHERE kind = 'begin') AS calls, arg_max(opened, place) AS opened FROM n GROUP BY client, session)
+    SELECT client, 'session' AS what, since, last_seen + 1800000000 AS until, last_seen, calls, CAST(NULL AS BIGINT) AS call FROM x, m WHERE opened = 0 AND last_seen + 1800000000 <= mark
+    UNION ALL SELECT client, 'overdue', at_us, at_us + 600000000, NULL, NULL, call FROM p, m WHERE kind = 'begin' AND at_us + 600000000 <= mark
+        AND NOT EXISTS (SELECT 1 FROM p AS z WHERE z.kind = 'end' AND z.client = p.client AND z.call = p.call AND z.at_us >= p.at_us AND z.at_us <= p.at_us + 600000000)""")
+def timed_sessions(t):
+    """Each tenth of the users is a client; signups open it, purchases close it, a view begins a call that the next event ends if it is the client's click."""
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'close' WHEN 'view' THEN 'begin' WHEN 'click' THEN 'end' ELSE 'seen' END")
+    ts = F.col("ts").cast("timestamp")
+    rows = t._stream("events").select((F.col("user_id") % 10).cast("string").alias("client"), ts.alias("ts"), F.unix_micros(ts).alias("at"), F.col("event_id").alias("place"), kind.alias("kind"), F.expr("CASE event_type WHEN 'view' THEN event_id WHEN 'click' THEN event_id - 1 END").alias("call"))
+    with live.rocksdb(t.spark):
+        return t._streamed(live.live(rows), "live", "append")
