@@ -32,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import part_of, parts_within
 from .scratch import columns_apart, frugal, written
 from .terms import WITH_DIGITS, found
 from .words import slices
 
 #: Documents and bytes of text of a block, at most; a longer text has its own.
 BLOCK_DOCS, BLOCK_BYTES = 32, 1 << 20
+#: Bytes of postings that a task has open at once, about.
+READ_BYTES = 1 << 20
 #: Blocks scored for each request before the others, to find its threshold.
 SEEDS = 8
 #: Bytes of terms of a batch of requests, at most (or one request); the batch is collected and sent to every task.
@@ -57,6 +60,17 @@ class Index:
     occurrences: int
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned integers in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind.newbyteorder("<")).tobytes()
+
+
+def _wide(raw: pa.Scalar | bytes) -> np.ndarray:
+    raw = raw if isinstance(raw, bytes) else raw.as_buffer()
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, seq = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
@@ -72,7 +86,7 @@ def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids = b.column("doc_id").take(pa.array(have))
                 flat = pa.concat_arrays([spelled]).cast(pa.string())
                 cuts = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1]
-                row = [task | seq, len(have), int(sizes.sum()), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), np.asarray(ids.is_null()), sizes[have].astype("<i8"), ends.astype("<i4"), (key % len(spelled)).astype("<i4"), counts.astype("<i4"), flat.buffers()[2].to_pybytes()[: cuts[-1]], cuts]
+                row = [task | seq, len(have), int(sizes.sum()), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), np.asarray(ids.is_null()), _narrow(sizes[have]), _narrow(ends), _narrow(key % len(spelled)), _narrow(counts), flat.buffers()[2].to_pybytes()[: cuts[-1]], cuts]
                 yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, (int, bytes)) else x.tobytes()], pa.int64() if i < 3 else pa.binary()) for i, x in enumerate(row)], names=_names(_FORWARD))
                 seq += 1
 
@@ -87,15 +101,16 @@ def _parts(sizes: np.ndarray, ends: np.ndarray, counts: np.ndarray, documents: i
 def _with_maxima(documents: int, occurrences: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, df = [], []
-            for sizes, ends, terms, counts, cuts in zip(*(batch.column(c) for c in ("sizes", "ends", "terms", "counts", "cuts"))):
-                terms, n = np.frombuffer(terms.as_buffer(), "<i4"), cuts.as_buffer().size // 4 - 1
-                _, part = _parts(np.frombuffer(sizes.as_buffer(), "<i8"), np.frombuffer(ends.as_buffer(), "<i4"), np.frombuffer(counts.as_buffer(), "<i4").astype(np.int64), documents, occurrences)
-                most = np.zeros(n, np.int64)
-                np.maximum.at(most, terms, part)
-                best.append(most.astype("<i4").tobytes())
-                df.append(np.bincount(terms, minlength=n).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.binary()), pa.array(df, pa.binary())], names=_names(_BLOCK))
+            for b in slices(batch, "terms", READ_BYTES):
+                best, df = [], []
+                for sizes, ends, terms, counts, cuts in zip(*(b.column(c) for c in ("sizes", "ends", "terms", "counts", "cuts"))):
+                    terms, n = _wide(terms), cuts.as_buffer().size // 4 - 1
+                    _, part = _parts(_wide(sizes), _wide(ends), _wide(counts), documents, occurrences)
+                    most = np.zeros(n, np.int64)
+                    np.maximum.at(most, terms, part)
+                    best.append(_narrow(most))
+                    df.append(_narrow(np.bincount(terms, minlength=n)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.binary()), pa.array(df, pa.binary())], names=_names(_BLOCK))
 
     return run
 
@@ -134,7 +149,7 @@ def _frequencies(batch: _Batch):
         for b in batches:
             for spelled, cuts, df in zip(*(b.column(c) for c in ("spelled", "cuts", "df"))):
                 place = batch.places(spelled.as_py(), cuts.as_py())
-                total += np.where(place >= 0, np.frombuffer(df.as_buffer(), "<i4")[place], 0)
+                total += np.where(place >= 0, _wide(df)[place], 0)
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(total[have])], names=["term", "df"])
 
@@ -148,7 +163,7 @@ def _highest_bounds(batch: _Batch, most: int):
         n, held = len(batch.starts), None
         for b in batches:
             names = b.column("block").to_numpy(zero_copy_only=False)
-            rows = [batch.bounds(batch.places(s.as_py(), c.as_py()), np.frombuffer(x.as_buffer(), "<i4")) for s, c, x in zip(*(b.column(c) for c in ("spelled", "cuts", "best")))]
+            rows = [batch.bounds(batch.places(s.as_py(), c.as_py()), _wide(x)) for s, c, x in zip(*(b.column(c) for c in ("spelled", "cuts", "best")))]
             for at in range(0, len(rows), 64):
                 bounds, blocks = np.array(rows[at : at + 64]).T, np.broadcast_to(names[at : at + 64], (n, len(rows[at : at + 64])))
                 if held:
@@ -186,9 +201,9 @@ def _scored(batch: _Batch, least: np.ndarray, k: int, documents: int, occurrence
         stops = np.append(batch.starts[1:], len(batch.of))
         dense = np.zeros(len(batch.terms), np.int64)
         for b in batches:
-            for part in slices(b, "terms", 1 << 22):
+            for part in slices(b, "terms", READ_BYTES):
                 places = [batch.places(s.as_py(), c.as_py()) for s, c in zip(part.column("spelled"), part.column("cuts"))]
-                bounds = np.array([batch.bounds(p, np.frombuffer(x.as_buffer(), "<i4")) for p, x in zip(places, part.column("best"))])
+                bounds = np.array([batch.bounds(p, _wide(x)) for p, x in zip(places, part.column("best"))])
                 raw = [[x.as_py() for x in part.column(c)] for c in ("ids", "absent", "sizes", "ends", "terms", "counts", "cuts")]
                 opened: dict[int, tuple] = {}
                 for r in np.flatnonzero((bounds >= least).any(axis=0)):
@@ -198,11 +213,12 @@ def _scored(batch: _Batch, least: np.ndarray, k: int, documents: int, occurrence
                         if bounds[i, r] < own.least:
                             break
                         if i not in opened:
-                            ids, absent, sizes, ends, terms, counts, cuts = (np.frombuffer(x[i], kind) for x, kind in zip(raw, ("<i8", bool, "<i8", "<i4", "<i4", "<i4", "<i4")))
-                            number = np.full(len(cuts) - 1, -1, np.int64)
+                            ids, absent = np.frombuffer(raw[0][i], "<i8"), np.frombuffer(raw[1][i], bool)
+                            sizes, ends, terms, counts = (_wide(x[i]) for x in raw[2:6])
+                            number = np.full(len(raw[6][i]) // 4 - 1, -1, np.int64)
                             here = np.flatnonzero(places[i] >= 0)
                             number[places[i][here]] = here
-                            doc, value = _parts(sizes, ends, counts.astype(np.int64), documents, occurrences)
+                            doc, value = _parts(sizes, ends, counts, documents, occurrences)
                             asked = np.flatnonzero(number[terms] >= 0)
                             opened[i] = ids, absent, doc[asked], number[terms[asked]], value[asked]
                         ids, absent, doc, term, value = opened[i]
@@ -225,19 +241,6 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(row)), spelled.take(pa.array(term)).cast(pa.string()), pa.array(n, pa.int64())], names=["item_id", "term", "n"])
 
 
-def _batches(asked: DataFrame, most: int) -> int:
-    """Into how many parts requests are dealt by hash, so that none is above `most` bytes unless it is one request."""
-    sizes = asked.groupBy("item_id").agg(F.sum(F.octet_length("term") + 24).alias("bytes"))
-    total, requests = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    parts = max(1, math.ceil(total / most))
-    while parts > 1 and parts < 64 * requests:
-        dealt = sizes.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(parts))).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        if dealt.where((F.col("bytes") > most) & (F.col("n") > 1)).isEmpty():
-            break
-        parts *= 2
-    return parts
-
-
 def search(there: Index, items: DataFrame, k: int = 20, seeds: int = SEEDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """For each item its `k` best documents: item_id, rank, doc_id, score."""
     spark = items.sparkSession
@@ -246,9 +249,9 @@ def search(there: Index, items: DataFrame, k: int = 20, seeds: int = SEEDS, batc
     asked = written(items.mapInArrow(frugal(_asked), "item_id bigint, term string, n bigint").groupBy("item_id", "term").agg(F.sum("n").alias("n")), "asked")
     if not there.documents or asked.isEmpty():
         return empty
-    parts, out = _batches(asked, batch_bytes), []
+    parts, out = parts_within(asked.groupBy("item_id").agg(F.sum(F.octet_length("term") + 24).alias("bytes")), "item_id", batch_bytes), []
     for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()  # `batch_bytes` at most, or one request
+        rows = asked.where(part_of("item_id", parts) == part).toArrow()  # `batch_bytes` at most, or one request
         if rows.num_rows:
             out.append(_answered(there, rows, k, seeds))
     result = out[0]

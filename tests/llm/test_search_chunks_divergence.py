@@ -88,10 +88,10 @@ def test_blocks_hold_what_their_documents_can_reach(docs, rows):
     assert there.documents == sum(bool(terms(t)) for _, t, *_ in rows)
     assert there.occurrences == sum(len(terms(t)) for _, t, *_ in rows)
     for r in there.blocks.collect():
-        _, part = ranked_search._parts(np.frombuffer(r.sizes, "<i8"), np.frombuffer(r.ends, "<i4"), np.frombuffer(r.counts, "<i4").astype(int), there.documents, there.occurrences)
+        _, part = ranked_search._parts(*(ranked_search._wide(bytes(x)) for x in (r.sizes, r.ends, r.counts)), there.documents, there.occurrences)
         most = np.zeros(len(r.cuts) // 4 - 1, int)
-        np.maximum.at(most, np.frombuffer(r.terms, "<i4"), part)
-        assert (most == np.frombuffer(r.best, "<i4")).all()
+        np.maximum.at(most, ranked_search._wide(bytes(r.terms)), part)
+        assert (most == ranked_search._wide(bytes(r.best))).all()
 
 
 # encoding by chunks
