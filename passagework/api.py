@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from . import schemas
 from .functions import text as X
 from .functions import vectors as V
-from .operators import chunking, compact, evaluation, facts, graph, index, ingest, logs, merges, resolve, scope as scopes
+from .operators import adjacency, chunking, compact, evaluation, facts, graph, index, ingest, logs, merges, resolve, scope as scopes
 from .plans import profiles, router, search
 from .schemas import TRUST
 from .sources import markdown
@@ -116,6 +116,16 @@ class KnowledgeBase:
         """Tables whose folders were merged."""
         return [t for t in _EVENTS if self.log.optimise(t, now_ms)]
 
+    def vacuum(self, older_than_ms: int) -> list[str]:
+        """Removes what no commit names and stored graphs of earlier states, if last written before a time; gives their paths."""
+        gone, now = self.log.vacuum(older_than_ms), self.graph().key
+        for key in self.log.listed("_graphs"):
+            fs, there = self.log.fs("_graphs", key)
+            if key != now and fs.getFileStatus(there).getModificationTime() < older_than_ms:
+                fs.delete(there, True)
+                gone.append(f"_graphs/{key}")
+        return gone
+
     # --- views
 
     def documents(self) -> DataFrame:
@@ -189,6 +199,12 @@ class KnowledgeBase:
             self._roots = now, merges.roots(self.decided_merges())
         return self._roots[1]
 
+    def graph(self) -> adjacency.Graph:
+        """The stored graph of live mentions; built anew once documents, mentions, merges or what was forgotten have changed."""
+        paths = [p for t in ("writes", "passages", "tombstones", "mentions", "merges") for p in self.log.paths(t)]
+        key = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
+        return adjacency.stored(search.mention_edges(self.live_mentions()), f"{self.path}/_graphs", key)
+
     def relations(self) -> DataFrame:
         """The latest live relation of each pair of entities, after accepted merges."""
         return graph.typed_edges(merges.renamed_edges(self.table("edges"), self.roots()))
@@ -210,7 +226,7 @@ class KnowledgeBase:
 
     def corpus(self, mentions: DataFrame | None = None, wanted: DataFrame | None = None) -> search.Corpus:
         by_model = lambda name: self.table(name).where(F.col("model_id") == self.model_id).select("id", "embedding")
-        return search.Corpus(self.passages(), self.documents(), self.vectors(), self.facts(), by_model("fact_vectors"), mentions, wanted, self.postings())
+        return search.Corpus(self.passages(), self.documents(), self.vectors(), self.facts(), by_model("fact_vectors"), mentions, wanted, self.postings(), self.graph if self.log.upto is None else None)
 
     # --- tools
 

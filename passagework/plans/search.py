@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import fusion, graph, index, scope as scope_
+from ..operators import adjacency, fusion, graph, index, scope as scope_
 from .profiles import Profile
 
 
@@ -28,6 +28,7 @@ class Corpus:
     mentions: DataFrame | None = None  # entity_id, chunk_id, weight
     wanted: DataFrame | None = None  # query_id, entity_id
     postings: DataFrame | None = None  # kind, term, id, size, tf, positions
+    graph: Callable[[], adjacency.Graph] | None = None  # the mentions' graph as stored, if it is
 
 
 def visible(corpus: Corpus, scope: scope_.Scope) -> DataFrame:
@@ -104,13 +105,21 @@ def arms(corpus: Corpus, queries: DataFrame, names: list[str], scope: scope_.Sco
     return out
 
 
+def mention_edges(mentions: DataFrame) -> DataFrame:
+    """Entities and passages as nodes `e…` and `c…` of one graph: a, b, weight."""
+    return mentions.select(F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("a"), F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("b"), "weight")
+
+
 def walk(corpus: Corpus, profile: Profile) -> DataFrame:
-    """The graph arm: entities and passages are nodes `e…` and `c…` of one graph, walked from each named entity."""
-    node_e, node_c = F.concat(F.lit("e"), F.col("entity_id").cast("string")), F.concat(F.lit("c"), F.col("chunk_id").cast("string"))
-    edges = corpus.mentions.select(node_e.alias("a"), node_c.alias("b"), "weight")
+    """The graph arm, walked from each named entity; over the stored graph where there is one."""
+    node_e, edges = F.concat(F.lit("e"), F.col("entity_id").cast("string")), mention_edges(corpus.mentions)
     seeds = corpus.wanted.select("query_id", F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("seed"))
-    mass = graph.pagerank(edges, seeds.select("seed").distinct())
-    n = edges.select("a").distinct().count() + edges.select("b").distinct().count()
+    if corpus.graph is not None:
+        there = corpus.graph()
+        mass, n = adjacency.walk(there, seeds), there.nodes.count()
+    else:
+        mass = graph.pagerank(edges, seeds.select("seed").distinct())
+        n = edges.select("a").distinct().count() + edges.select("b").distinct().count()
     chunk = F.when(F.col("node").startswith("c"), F.substring("node", 2, 30)).cast("bigint")
     own = corpus.mentions.select(node_e.alias("entity_id"), "chunk_id")
     return graph.graph_arm(mass, own, seeds, n, chunk, 2 * profile.depth)
