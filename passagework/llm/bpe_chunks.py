@@ -140,8 +140,18 @@ def _may_be(bloom: np.ndarray, digests: list[bytes]) -> np.ndarray:
     return ok
 
 
+def _packed(ids: bytes) -> bytes:
+    """Ids in two bytes each where all of them fit, else in four; the first byte says which. For tables between stages."""
+    own = np.frombuffer(ids, "<u4")
+    return b"\x02" + own.astype("<u2").tobytes() if own.max(initial=0) < 1 << 16 else b"\x04" + ids
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype("<u4").tobytes()
+
+
 def _split(text: str, encoder: Encoder) -> tuple[str, bytes | None, str]:
-    """Text before the first cut of every encoding, ids up to the last (None: there is no such place), text after it."""
+    """Text before the first cut of every encoding, packed ids up to the last (None: there is no such place), text after it."""
     first = _CUT.search(text)
     if not first:
         return text, None, ""
@@ -154,7 +164,7 @@ def _split(text: str, encoder: Encoder) -> tuple[str, bytes | None, str]:
             z = late[-1] if late else a
             break
         reach *= 8
-    return text[:a], encoder.ids(text[a:z]) if z > a else b"", text[z:]
+    return text[:a], _packed(encoder.ids(text[a:z])) if z > a else b"\x02", text[z:]
 
 
 class Vocabulary:
@@ -250,7 +260,7 @@ def joined(parts: Iterator[tuple[str, bytes | None, str]], encoder: Encoder) ->
     for head, core, tail in parts:
         window.append(head)
         if core is not None:
-            out += [encoder.ids("".join(window)), core]
+            out += [encoder.ids("".join(window)), _unpacked(core)]
             window = [tail]
     out.append(encoder.ids("".join(window)))
     return b"".join(out)
