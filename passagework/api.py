@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from . import schemas
 from .functions import text as X
 from .functions import vectors as V
-from .operators import adjacency, chunking, compact, evaluation, facts, graph, index, ingest, logs, merges, resolve, scope as scopes
+from .operators import adjacency, chunking, compact, evaluation, facts, graph, index, ingest, logs, merges, resolve, scope as scopes, segments
 from .plans import profiles, router, search
 from .schemas import TRUST
 from .sources import markdown
@@ -27,7 +28,7 @@ from .storage import Commit, CommitLog
 _WRITES = "id string, source_id string, namespace string, uri string, title string, kind string, library string, version string, context string, content string, content_hash string, trust string, origin string, tags array<string>, created_at long, revision int, outcome string, fetched_at long, ttl_s long"
 _EVENTS = {
     "writes": _WRITES, "passages": "id long, document_id string, ord int, section_path string, text string, est_tokens int, lang string, context_header string, embed_text string",
-    "postings": index.POSTINGS, "vectors": "id long, model_id string, embedding array<float>", "fact_vectors": schemas.VECTORS, "page_vectors": schemas.VECTORS,
+    "segments": segments.BLOCKS, "index_stats": segments.STATS, "removals": segments.REMOVALS, "dead": segments.DEAD, "vectors": "id long, model_id string, embedding array<float>", "fact_vectors": schemas.VECTORS, "page_vectors": schemas.VECTORS,
     "mentions": "chunk_id long, key string, name string, type string, weight double, built long", "edges": schemas.EDGES, "merges": schemas.MERGES,
     "tombstones": "uri string, at long, reason string, redact boolean, actor string", "invalidations": "id string, at long, by string, reason string",
     "facts": "id string, namespace string, statement string, about array<string>, valid_from long, valid_to long, recorded_at long, evidence_chunk_id long, trust string, origin string, supersedes string",
@@ -42,14 +43,8 @@ def _committed(op: str) -> Callable:
     def of(method: Callable) -> Callable:
         @wraps(method)
         def call(self, *args, **options):
-            if self._open is not None:
+            with self.committing(op):
                 return method(self, *args, **options)
-            with self.log.commit(op) as own:
-                self._open = own
-                try:
-                    return method(self, *args, **options)
-                finally:
-                    self._open = None
 
         return call
 
@@ -66,7 +61,7 @@ class KnowledgeBase:
         self.spark, self.path, self.model_id = spark, path.rstrip("/"), model_id
         self.embed = V.embedder(V.hash_encoder(64)) if embed == "hash" else embed
         self.query_prefix, self.doc_prefix = query_prefix, doc_prefix
-        self.log = CommitLog(spark, self.path, _EVENTS, schemas.VERSION, upto)
+        self.log = CommitLog(spark, self.path, _EVENTS, schemas.VERSION, upto, {"segments": "part"})
         self._open: Commit | None = None
         self._roots: tuple[tuple[str, ...], DataFrame | None] = (), None
         self._claim()
@@ -88,8 +83,26 @@ class KnowledgeBase:
             _UPGRADES[version](self)
 
     def _adopt(self) -> None:
-        """Version 1 had no log: what lies in its tables becomes the first commit; nothing is moved."""
+        """Version 1 had no log and other postings: what lies in its tables becomes the first commit, nothing is moved, and the passages are indexed anew."""
         self.log.publish("adopted", "upgrade", 0, {t: files for t in _EVENTS if (files := [f"{t}/{n}" for n in self.log.listed(t) if n.endswith(".parquet")])})
+        self._reindexed(self.passages())
+
+    @_committed("index")
+    def _reindexed(self, passages: DataFrame) -> None:
+        self._index(passages)
+
+    @contextmanager
+    def committing(self, op: str) -> Iterator[None]:
+        """What is written inside is one commit; inside another, it is part of that."""
+        if self._open is not None:
+            yield
+            return
+        with self.log.commit(op) as own:
+            self._open = own
+            try:
+                yield
+            finally:
+                self._open = None
 
     def _append(self, table: str, df: DataFrame) -> None:
         if self._open is not None:
@@ -113,8 +126,8 @@ class KnowledgeBase:
         return self.spark.createDataFrame([(e.seq, e.op, sorted(e.adds)) for e in self.log.entries()], "seq long, op string, tables array<string>")
 
     def optimise(self, now_ms: int = 0) -> list[str]:
-        """Tables whose folders were merged."""
-        return [t for t in _EVENTS if self.log.optimise(t, now_ms)]
+        """Tables whose folders were merged; blocks of the index are merged by `merge_index`."""
+        return [t for t in _EVENTS if t != "segments" and self.log.optimise(t, now_ms)]
 
     def vacuum(self, older_than_ms: int) -> list[str]:
         """Removes what no commit names and stored graphs of earlier states, if last written before a time; gives their paths."""
@@ -222,11 +235,14 @@ class KnowledgeBase:
         return self._kept(own.join(self.table("passages").select("id", "document_id"), "id")).select("id", "embedding").dropDuplicates(["id"])
 
     def postings(self) -> DataFrame:
-        return self._kept(self.table("postings").join(self.table("passages").select("id", "document_id"), "id")).drop("document_id")
+        return segments.postings(self.table("segments")).join(self.table("dead"), "id", "left_anti")
+
+    def index(self) -> segments.Index:
+        return segments.Index(*(self.table(t) for t in ("segments", "index_stats", "removals", "dead")))
 
     def corpus(self, mentions: DataFrame | None = None, wanted: DataFrame | None = None) -> search.Corpus:
         by_model = lambda name: self.table(name).where(F.col("model_id") == self.model_id).select("id", "embedding")
-        return search.Corpus(self.passages(), self.documents(), self.vectors(), self.facts(), by_model("fact_vectors"), mentions, wanted, self.postings(), self.graph if self.log.upto is None else None)
+        return search.Corpus(self.passages(), self.documents(), self.vectors(), self.facts(), by_model("fact_vectors"), mentions, wanted, self.index(), self.graph if self.log.upto is None else None)
 
     # --- tools
 
@@ -253,7 +269,7 @@ class KnowledgeBase:
         cut = ingest.passages(changed.select("id", "title", "context", "content"), sizes).withColumn("id", F.xxhash64("document_id", "ord"))
         self._append("passages", cut)
         kept = self._open.read("passages")
-        self._append("postings", index.stored(kept, "id", F.coalesce("context_header", F.lit("")), F.col("text")))
+        self._index(kept)
         self._embed(kept)
         self._mention(kept, new, now_ms, named)
         if relations is not None:
@@ -263,6 +279,27 @@ class KnowledgeBase:
         self._call(now_ms, channel, "ingest", "{}")
         return new.select("namespace", "uri", "id", "outcome", "revision")
 
+    def _index(self, passages: DataFrame) -> None:
+        header, text = F.coalesce("context_header", F.lit("")), F.col("text")
+        self._append("segments", segments.blocks(index.stored(passages, "id", header, text)))
+        self._append("index_stats", segments.stats(passages, "id", header, text))
+
+    def _unindex(self, passages: DataFrame) -> None:
+        """Passages that go leave their blocks alone and take themselves out of the statistics."""
+        header, text = F.coalesce("context_header", F.lit("")), F.col("text")
+        self._append("removals", segments.removals(index.stored(passages, "id", header, text)))
+        self._append("index_stats", segments.stats(passages, "id", header, text, -1))
+        self._append("dead", passages.select("id"))
+
+    def merge_index(self, now_ms: int = 0) -> int:
+        """Blocks of all commits merged, without what was removed; the number of blocks. Readers see the old ones until the new ones are there."""
+        own = Commit(self.log, "merge index", now_ms)
+        drops = {t: self.log.paths(t) for t in ("segments", "index_stats", "removals", "dead")}
+        own.append("segments", segments.blocks(self.postings()))
+        own.append("index_stats", self.table("index_stats").groupBy("kind").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")))
+        self.log.publish(own.id, own.op, now_ms, own.adds, drops)
+        return self.table("segments").count()
+
     def _embed(self, passages: DataFrame) -> None:
         if self.embed is not None:
             text = X.role_prefix(F.col("embed_text"), self.doc_prefix)
@@ -477,6 +514,8 @@ class KnowledgeBase:
         if before.n and (before.r or not redact):
             return False
         self._rows("tombstones", [(uri, now_ms, reason, redact, actor)])
+        if uri.startswith(f"{X.ADDRESS}doc/") and not before.n:
+            self._unindex(self.table("passages").where(F.col("document_id") == uri.removeprefix(f"{X.ADDRESS}doc/")))
         self._audit(now_ms, "redact" if redact else "forget", uri, channel)
         self._call(now_ms, channel, "forget", json.dumps({"uri": uri, "redact": redact}))
         return True
@@ -620,9 +659,11 @@ class KnowledgeBase:
                 kept = self._open.read("passages")
                 self._embed(kept)
                 self._mention(kept, uncut, 0)
-            bare = self.live_passages().join(self.table("postings").select("id").distinct(), "id", "left_anti")
+            known = self.table("segments").select(F.explode("ids").alias("id")).distinct()
+            words = F.size(X.word_tokens(X.fold(F.col("text")))) > 0
+            bare = self.live_passages().where(words).join(known, "id", "left_anti")
             if not bare.isEmpty():
-                self._append("postings", index.stored(bare, "id", F.coalesce("context_header", F.lit("")), F.col("text")))
+                self._index(bare)
         vectors = self.vectors().select(F.col("id").cast("string").alias("id"), F.lit(self.model_id).alias("model_id"))
         return compact.verify(self.documents(), self.passages(), vectors, self.facts().where("deleted_at is null"), self.model_id)
 

@@ -20,9 +20,6 @@ FEW_WORDS = 200_000
 #: Query vectors that are broadcast at once.
 FEW_QUERIES = 10_000
 
-POSTINGS = "kind string, term string, id long, size int, tf long, positions array<int>"
-
-
 def tokenised(texts: DataFrame, id_: str, body: Column, exact: bool = False) -> DataFrame:
     """id, tokens (folded), size of each text."""
     body = X.fold(body)
@@ -82,7 +79,7 @@ def bm25(tokens: DataFrame, queries: DataFrame, allowed: DataFrame | None = None
     """
     asked, phrases = _asked(queries)
     words = asked.select(F.explode(F.split("term", " ")).alias("asked")).distinct()
-    words = vocabulary(tokens).join(words, F.col("stem") == F.col("asked")).select("term", "stem").persist() if stems else words.select(F.col("asked").alias("term"), F.col("asked").alias("stem"))
+    words = vocabulary(tokens).join(words, F.col("stem") == F.col("asked")).select("term", "stem") if stems else words.select(F.col("asked").alias("term"), F.col("asked").alias("stem"))
     words = words.union(queries.sparkSession.createDataFrame([("", "")], "term string, stem string"))
     spread = tokens.select("id", "size", F.posexplode(F.concat("tokens", F.array(F.lit("")))).alias("pos", "word"))
     spread = spread.join(_few(words), F.col("word") == F.col("term")).select("id", "size", "pos", F.col("stem").alias("term"))
@@ -92,13 +89,6 @@ def bm25(tokens: DataFrame, queries: DataFrame, allowed: DataFrame | None = None
     return _scored(post.where("term <> ''"), totals, asked, phrases, allowed, depth, arm)
 
 
-def bm25_stored(post: DataFrame, n_docs: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, depth: int | None = 100, arm: str = "keyword") -> DataFrame:
-    """As bm25, from postings that an ingest wrote: no text is read. n_docs: n_docs, avg_size."""
-    asked, phrases = _asked(queries)
-    words = asked.select(F.explode(F.split("term", " ")).alias("term")).distinct()
-    return _scored(post.join(_few(words), "term"), n_docs, asked, phrases, allowed, depth, arm)
-
-
 def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
     """term, id, size, tf of phrases (column term, words joined by blanks): how often the words follow each other, by positions alone."""
     parts = phrases.select(F.col("term").alias("phrase"), F.posexplode(F.split("term", " ")).alias("k", "word"), F.size(F.split("term", " ")).alias("n"))

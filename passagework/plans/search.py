@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import adjacency, fusion, graph, index, scope as scope_
+from ..operators import adjacency, fusion, graph, index, scope as scope_, segments
 from .profiles import Profile
 
 
@@ -17,7 +17,7 @@ from .profiles import Profile
 class Corpus:
     """What a search reads. passages: id, document_id, ord, text, est_tokens, context_header; documents: id, kind, title, uri, updated_at and the scope's fields.
 
-    postings: what `index.stored` made of the passages, over which statistics are taken; without it the passages are tokenised for the request batch.
+    index: segments of the passages, over which statistics are taken; without it the passages are tokenised for the request batch.
     """
 
     passages: DataFrame
@@ -27,7 +27,7 @@ class Corpus:
     fact_vectors: DataFrame | None = None
     mentions: DataFrame | None = None  # entity_id, chunk_id, weight
     wanted: DataFrame | None = None  # query_id, entity_id
-    postings: DataFrame | None = None  # kind, term, id, size, tf, positions
+    index: segments.Index | None = None
     graph: Callable[[], adjacency.Graph] | None = None  # the mentions' graph as stored, if it is
 
 
@@ -64,11 +64,8 @@ def _keyword_arms(corpus: Corpus, queries: DataFrame, names: list[str], inside:
         if arm not in names:
             continue
         asked = of(arm).select("query_id", F.col(terms).alias("terms"))
-        if corpus.postings is not None:
-            post = corpus.postings.where(F.col("kind") == kind)
-            each = post.select("id", "size").distinct()
-            totals = each.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
-            out.append(index.bm25_stored(post, totals, asked, inside, depth, arm))
+        if corpus.index is not None:
+            out.append(segments.search(corpus.index, kind, asked, inside, depth, arm))
         elif kind == "exact":
             out.append(index.bm25(index.tokenised(corpus.passages, "id", F.col("text"), True), asked, inside, depth, arm))
         else:

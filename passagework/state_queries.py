@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .functions import text as X
 from .functions.scratch import shared_dir
-from .operators import graph, merges
+from .operators import graph, index, merges, segments
+from .plans import fixtures as T
 from .queries import query
 from .storage import CommitLog
 from .streaming import live
@@ -96,3 +98,28 @@ def timed_sessions(t):
     rows = t._stream("events").select((F.col("user_id") % 10).cast("string").alias("client"), ts.alias("ts"), F.unix_micros(ts).alias("at"), F.col("event_id").alias("place"), kind.alias("kind"), F.expr("CASE event_type WHEN 'view' THEN event_id WHEN 'click' THEN event_id - 1 END").alias("call"))
     with live.rocksdb(t.spark):
         return t._streamed(live.live(rows), "live", "append")
+
+
+# --- the index as segments ----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH kept_tokens AS (SELECT id, tokens FROM exact_tokens WHERE id % 10 <> 0),
+    {T._hits("exact").replace("exact_tokens", "kept_tokens")}
+    SELECT query_id, id, rank, round(raw, 6) AS raw FROM exact_hits WHERE rank <= 10""".replace("exact_hits AS (SELECT", "kept_hits AS (SELECT").replace("FROM exact_hits WHERE", "FROM kept_hits WHERE").replace("exact_spread", "kept_spread").replace("exact_tf", "kept_tf").replace("exact_df", "kept_df").replace("exact_all", "kept_all"), needs=["exact_queries"])
+def segment_search(t):
+    """All documents come in three commits, every tenth goes again; the requests read the asked terms' partitions and of their blocks those that can matter."""
+    log = CommitLog(t.spark, f"{shared_dir(t.spark)}/segments-{uuid.uuid4().hex}", {"segments": segments.BLOCKS, "stats": segments.STATS, "removals": segments.REMOVALS, "dead": segments.DEAD}, partitioned={"segments": "part"})
+    texts, nothing = t.documents.select(F.col("doc_id").alias("id"), "text"), F.lit("")
+    for i in range(3):
+        some = texts.where(F.pmod("id", F.lit(3)) == i)
+        with log.commit(f"part {i}") as c:
+            c.append("segments", segments.blocks(index.postings(index.tokenised(some, "id", F.col("text"), True)).withColumn("kind", F.lit("exact"))))
+            c.append("stats", segments.stats(some, "id", nothing, F.col("text")))
+    gone = texts.where("id % 10 = 0")
+    with log.commit("removed") as c:
+        c.append("removals", segments.removals(index.postings(index.tokenised(gone, "id", F.col("text"), True)).withColumn("kind", F.lit("exact"))))
+        c.append("stats", segments.stats(gone, "id", nothing, F.col("text"), -1))
+        c.append("dead", gone.select("id"))
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), X.query_terms(F.col("text"), True).alias("terms"))
+    there = segments.Index(*(log.table(x) for x in ("segments", "stats", "removals", "dead")))
+    return segments.search(there, "exact", queries, None, 10, "exact").select("query_id", "id", "rank", F.round("raw", 6).alias("raw"))

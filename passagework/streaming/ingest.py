@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunking, ingest
+
+if TYPE_CHECKING:
+    from ..api import KnowledgeBase
 
 
 def first_seen(docs: DataFrame, namespace: str = "namespace", content: str = "content") -> DataFrame:
@@ -24,25 +28,21 @@ def _append(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def ingest_stream(spark: SparkSession, incoming: DataFrame, warehouse: str, checkpoint: str, embed=None, model_id: str = "hash", sizes: chunking.Sizes = chunking.Sizes()):
-    """Passages, postings and vectors of new documents appended batch by batch, then stopped when nothing is left.
+def ingest_stream(base: KnowledgeBase, incoming: DataFrame, checkpoint: str, now_ms: int, name: str = "stream"):
+    """New documents go into a knowledge base batch by batch, as its own ingest writes them: one commit a batch, in all tables. Stops when nothing is left.
 
-    incoming: id, namespace, uri, title, context, content. Index rows follow their passages in the same batch, so they are never out of step.
+    incoming: namespace, uri, content and what else an ingest takes. A batch that is repeated after a failure finds its commit and adds
+    nothing; equal contents of one batch and address are one, later ones are decided against what is there.
     """
 
     def step(batch: DataFrame, n: int) -> None:
-        docs = ingest.with_hash(batch)
-        _append(docs, f"{warehouse}/documents", n)
-        cut = ingest.passages(docs, sizes)
-        key = F.xxhash64("document_id", "ord").alias("id")
-        _append(cut.select(key, "*"), f"{warehouse}/passages", n)
-        kept = spark.read.parquet(f"{warehouse}/passages/batch={n}")
-        terms = kept.select("id", X.word_tokens(F.col("embed_text")).alias("tokens")).select("id", F.explode("tokens").alias("term"), F.size("tokens").alias("size"))
-        _append(terms.groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf")), f"{warehouse}/postings", n)
-        if embed is not None:
-            _append(kept.select("id", F.lit(model_id).alias("model_id"), embed(F.col("embed_text")).alias("embedding")), f"{warehouse}/vectors", n)
-
-    return first_seen(incoming).drop("content_hash").writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        op = f"{name} {n}"
+        if any(e.op == op for e in base.log.entries()):
+            return
+        with base.committing(op):
+            base.ingest(batch, now_ms, actor=name, channel="worker")
+
+    return incoming.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def backfill_stream(spark: SparkSession, passages: DataFrame, warehouse: str, checkpoint: str, model_id: str, embed, text: Column):
