@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import intervals
 from ..schemas import CHANNEL_CAP, TRUST
 
-_FAR = 1 << 62
-
 
 def rank_of(trust: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, TRUST)), trust)
@@ -75,11 +74,10 @@ def conflicts(facts: DataFrame) -> DataFrame:
 
     facts: id, about, statement, valid_from, valid_to, recorded_at, trust. The rule: more trust, else recorded later.
     """
-    spread = facts.select("id", "statement", "recorded_at", "trust", F.coalesce("valid_from", F.lit(-_FAR)).alias("f"), F.coalesce("valid_to", F.lit(_FAR)).alias("t"), X.entity_key(F.col("statement")).alias("key"), F.explode(F.array_distinct(F.transform("about", X.entity_key))).alias("subject"))
-    a, b = spread.alias("a"), spread.alias("b")
-    first = (F.col("a.recorded_at") < F.col("b.recorded_at")) | ((F.col("a.recorded_at") == F.col("b.recorded_at")) & (F.col("a.id") < F.col("b.id")))
-    apart = (F.col("a.f") < F.col("b.t")) & (F.col("b.f") < F.col("a.t")) & (F.col("a.key") != F.col("b.key")) & first
-    pairs = a.join(b, (F.col("a.subject") == F.col("b.subject")) & apart)
+    spread = facts.select("id", "statement", "recorded_at", "trust", F.coalesce("valid_from", F.lit(-intervals.FAR)).alias("f"), F.coalesce("valid_to", F.lit(intervals.FAR)).alias("t"), X.entity_key(F.col("statement")).alias("key"), F.explode(F.array_distinct(F.transform("about", X.entity_key))).alias("subject"))
+    met = intervals.overlapping(spread, "subject", "id", F.col("f"), F.col("t"))
+    swap = (F.col("a.recorded_at") > F.col("b.recorded_at")) | ((F.col("a.recorded_at") == F.col("b.recorded_at")) & (F.col("a.id") > F.col("b.id")))
+    pairs = met.where(F.col("a.key") != F.col("b.key")).select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     ra, rb = rank_of(F.col("a.trust")), rank_of(F.col("b.trust"))
     keep_a = (ra > rb) | ((ra == rb) & ~(F.col("b.recorded_at") > F.col("a.recorded_at")))
     out = pairs.groupBy(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).agg(F.min("a.subject").alias("subject"), F.first(F.when(keep_a, F.col("a.id")).otherwise(F.col("b.id"))).alias("keep_id"), F.first(F.when(ra != rb, "more trusted").otherwise("recorded later")).alias("rule"))

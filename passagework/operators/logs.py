@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.scratch import kept
 
 #: Bucket bounds in milliseconds and in results.
 LATENCY_MS = (1, 2.5, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
@@ -18,15 +19,49 @@ def at_floor_index(sorted_values: Column, p: float) -> Column:
     return F.try_element_at(sorted_values, (F.floor((F.size(sorted_values) - 1) * hundredths / 100) + 1).cast("int"))
 
 
+#: Distinct values of a group among which a percentile is at last picked, and ranges into which more are cut.
+FEW_VALUES, RANGES = 1000, 256
+
+
+def selected(calls: DataFrame, by: list[str], value: str, hundredths: tuple[int, ...]) -> DataFrame:
+    """by, total, p, picked: for each group and percentile the value at index floor(p (n - 1)) of its values in order, exactly.
+
+    The range that holds the index is cut into `RANGES`, its counts say in which of those it is, and so on until few distinct values are
+    left; a range is set to its own least and highest value, so each round cuts. Counting is partial in every task, so no group meets in one.
+    """
+    counted = kept(calls.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "counted")
+    about = counted.groupBy(*by).agg(F.sum("n").alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("values"))
+    targets = about.withColumn("p", F.explode(F.array(*map(F.lit, hundredths)))).withColumn("index", F.floor((F.col("total") - 1) * F.col("p") / 100))
+    targets = kept(targets, "targets")
+    columns, own = targets.columns, [F.col(c).alias(f"_{c}") for c in by]
+
+    def met(some: DataFrame) -> DataFrame:
+        """Counts in the ranges of some targets: a row or few for each group, so it is they that are broadcast where their number allows."""
+        some = some.select(*own, "total", "low", "high", "values", "p", "index")
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return counted.join(F.broadcast(some) if some.count() <= 10_000 else some, same & F.col(value).between(F.col("low"), F.col("high"))).drop(*(f"_{c}" for c in by))
+
+    while True:
+        wide = targets.where(F.col("values") > FEW_VALUES)
+        if wide.isEmpty():
+            break
+        x, low, high = (F.col(c).cast("double") for c in (value, "low", "high"))
+        ranged = met(wide).withColumn("range", F.least(F.lit(RANGES - 1), F.floor((x / 2 - low / 2) / (high / 2 - low / 2) * RANGES)))
+        each = ranged.groupBy(*by, "p", "range").agg(F.first("total").alias("total"), F.first("index").alias("index"), F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("values"))
+        upto = F.sum("n").over(Window.partitionBy(*by, "p").orderBy("range"))  # RANGES rows at most
+        there = each.withColumn("upto", upto).where((F.col("upto") > F.col("index")) & (F.col("upto") - F.col("n") <= F.col("index")))
+        targets = kept(targets.where(F.col("values") <= FEW_VALUES).unionByName(there.withColumn("index", F.col("index") - (F.col("upto") - F.col("n"))).select(*columns)), "targets")
+    upto = F.sum("n").over(Window.partitionBy(*by, "p").orderBy(value))  # FEW_VALUES rows at most
+    return met(targets).withColumn("upto", upto).where(F.col("upto") > F.col("index")).groupBy(*by, "p").agg(F.first("total").alias("total"), F.min(value).alias("picked"))
+
+
 def percentiles(calls: DataFrame, by: list[str], value: str) -> DataFrame:
-    """calls, p50, p95, max by group. Values are counted first, so a group is its distinct values, not its rows."""
-    counted = calls.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counted.select(*by, value, "n", upto.alias("upto"), F.sum("n").over(w).alias("total"))
-    place = lambda hundredths: F.floor((F.col("total") - 1) * hundredths / 100) + 1
-    pick = lambda hundredths: F.min(F.when(F.col("upto") >= place(hundredths), F.col(value)))
-    return rows.groupBy(*by).agg(F.max("total").alias("calls"), pick(50).alias("p50"), pick(95).alias("p95"), F.max(value).alias("max"))
+    """calls, p50, p95, max by group."""
+    found = selected(calls, by, value, (50, 95, 100))
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("picked")))
+    return found.groupBy(*by).agg(F.max("total").alias("calls"), at(50).alias("p50"), at(95).alias("p95"), at(100).alias("max"))
 
 
 def histogram(calls: DataFrame, by: list[str], value: str, bounds: tuple[float, ...] = LATENCY_MS) -> DataFrame:
