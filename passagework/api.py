@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from . import schemas
 from .functions import text as X
 from .functions import vectors as V
-from .operators import adjacency, chunking, compact, evaluation, facts, graph, index, ingest, logs, merges, resolve, scope as scopes, segments
+from .functions.scratch import kept
+from .operators import adjacency, chunking, compact, evaluation, facts, graph, index, ingest, logs, lsh, merges, queue as work, resolve, scope as scopes, segments
 from .plans import profiles, router, search
 from .schemas import TRUST
 from .sources import markdown
@@ -33,7 +34,7 @@ _EVENTS = {
     "tombstones": "uri string, at long, reason string, redact boolean, actor string", "invalidations": "id string, at long, by string, reason string",
     "facts": "id string, namespace string, statement string, about array<string>, valid_from long, valid_to long, recorded_at long, evidence_chunk_id long, trust string, origin string, supersedes string",
     "trusts": "uri string, at long, trust string", "pages": schemas.PAGES, "items": schemas.WORK_ITEMS, "audit": schemas.AUDIT, "queries": schemas.QUERY_LOG, "calls": schemas.CALL_LOG,
-    "runs": schemas.INGEST_RUNS, "run_items": schemas.INGEST_ITEMS, "models": schemas.MODELS,
+    **lsh.tables("names"), "job_events": work.EVENTS, "runs": schemas.INGEST_RUNS, "run_items": schemas.INGEST_ITEMS, "models": schemas.MODELS,
 }
 
 
@@ -61,7 +62,7 @@ class KnowledgeBase:
         self.spark, self.path, self.model_id = spark, path.rstrip("/"), model_id
         self.embed = V.embedder(V.hash_encoder(64)) if embed == "hash" else embed
         self.query_prefix, self.doc_prefix = query_prefix, doc_prefix
-        self.log = CommitLog(spark, self.path, _EVENTS, schemas.VERSION, upto, {"segments": "part"})
+        self.log = CommitLog(spark, self.path, _EVENTS, schemas.VERSION, upto, {"segments": "part", **lsh.partitioned("names")})
         self._open: Commit | None = None
         self._roots: tuple[tuple[str, ...], DataFrame | None] = (), None
         self._claim()
@@ -127,7 +128,7 @@ class KnowledgeBase:
 
     def optimise(self, now_ms: int = 0) -> list[str]:
         """Tables whose folders were merged; blocks of the index are merged by `merge_index`."""
-        return [t for t in _EVENTS if t != "segments" and self.log.optimise(t, now_ms)]
+        return [t for t in _EVENTS if t not in ("segments", "job_events") and self.log.optimise(t, now_ms)]
 
     def vacuum(self, older_than_ms: int) -> list[str]:
         """Removes what no commit names and stored graphs of earlier states, if last written before a time; gives their paths."""
@@ -218,6 +219,15 @@ class KnowledgeBase:
         key = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
         return adjacency.stored(search.mention_edges(self.live_mentions()), f"{self.path}/_graphs", key)
 
+    def alike(self) -> DataFrame:
+        """Pairs of entities with near names: a < b, score. Names that have come since the last call are signed and added; no other is signed again."""
+        now = self.entities()
+        if self.log.upto is None:
+            with self.committing("index names"):
+                lsh.add(self.table, self._append, "names", lsh.names(now), resolve.NEAR_NAME, F.expr(lsh.SAME_DIGITS))
+        live = now.select(F.col("id").alias("_id"))
+        return self.table("names_links").join(live, F.col("a") == F.col("_id"), "left_semi").join(live, F.col("b") == F.col("_id"), "left_semi")
+
     def relations(self) -> DataFrame:
         """The latest live relation of each pair of entities, after accepted merges."""
         return graph.typed_edges(merges.renamed_edges(self.table("edges"), self.roots()))
@@ -230,6 +240,32 @@ class KnowledgeBase:
         todo = self.live_passages().join(done, F.col("id") == F.col("_done"), "left_anti").join(tried, F.col("id") == F.col("_tried"), "left")
         return todo.select("id", "embed_text", F.when(F.col("_tried").isNotNull(), "failed").otherwise("queued").alias("state"))
 
+    def queue(self, now_ms: int) -> DataFrame:
+        """Passages that lack a vector of this model, as jobs at a time: id, embed_text, state, attempts, until."""
+        events = self.log.numbered("job_events").where(F.col("model_id") == self.model_id)
+        return work.state(self.jobs().drop("state"), events, now_ms)
+
+    def claim(self, worker: str, now_ms: int, most: int = 1000, lease_ms: int = work.LEASE) -> DataFrame:
+        """id, attempt of the jobs that a worker has claimed; its claim lasts for the lease."""
+        with self.log.commit(f"claim {worker}", now_ms) as own:
+            own.append("job_events", work.claims(self.queue(now_ms), worker, self.model_id, now_ms, most, lease_ms))
+        seq = next(e.seq for e in reversed(self.log.entries()) if e.id == own.id)
+        return work.held(self.log.numbered("job_events").where(F.col("model_id") == self.model_id), seq)
+
+    def drain(self, worker: str, now_ms: int, most: int = 1000, lease_ms: int = work.LEASE) -> tuple[int, int]:
+        """Claims jobs, embeds their passages and commits vectors and outcomes together; how many were done and how many failed."""
+        mine = kept(self.claim(worker, now_ms, most, lease_ms), "claimed")
+        return self._settled(mine, worker, now_ms)
+
+    def _settled(self, mine: DataFrame, worker: str, now_ms: int) -> tuple[int, int]:
+        text = X.role_prefix(F.col("embed_text"), self.doc_prefix)
+        tried = kept(self.jobs().drop("state").join(mine, "id").select("id", "attempt", self.embed(text).alias("embedding")), "tried")
+        with self.committing("embed"):
+            self._append("vectors", tried.where("embedding is not null").select("id", F.lit(self.model_id).alias("model_id"), "embedding"))
+            self._append("job_events", work.outcome(tried, worker, self.model_id, now_ms))
+        n = {r.ok: r["count"] for r in tried.groupBy(F.col("embedding").isNotNull().alias("ok")).count().collect()}
+        return n.get(True, 0), n.get(False, 0)
+
     def vectors(self) -> DataFrame:
         own = self.table("vectors").where((F.col("model_id") == self.model_id) & F.col("embedding").isNotNull())
         return self._kept(own.join(self.table("passages").select("id", "document_id"), "id")).select("id", "embedding").dropDuplicates(["id"])
@@ -566,7 +602,7 @@ class KnowledgeBase:
         pages = compact.page_items(self.live_mentions(), self.pages()).select("kind", "subject", F.to_json(F.struct("reason", "mentions")).alias("payload"))
         clash = facts.conflicts(self.facts().where(scopes.live_facts())).select(F.lit("conflict").alias("kind"), F.concat_ws("|", "a_id", "b_id").alias("subject"), F.to_json(F.struct("keep_id", "rule")).alias("payload"))
         told = self.decided_merges().select("a", "b")
-        alike = resolve.alike(self.entities()).join(told, ["a", "b"], "left_anti").select(F.lit("merge").alias("kind"), F.concat_ws("|", "a", "b").alias("subject"), F.to_json(F.struct("score")).alias("payload"))
+        alike = self.alike().join(told, ["a", "b"], "left_anti").select(F.lit("merge").alias("kind"), F.concat_ws("|", "a", "b").alias("subject"), F.to_json(F.struct("score")).alias("payload"))
         copies = resolve.duplicates(self.live_passages()).select(F.lit("duplicate").alias("kind"), F.concat_ws("|", "a", "b").alias("subject"), F.to_json(F.struct("jaccard")).alias("payload"))
         new = compact.upsert_items(pages.unionByName(clash).unionByName(alike).unionByName(copies), self.items())
         key = F.substring(F.sha2(F.concat_ws("\x1f", "kind", "subject", F.lit(str(now_ms))), 256), 1, 32)

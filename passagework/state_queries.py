@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.scratch import shared_dir
-from .operators import graph, index, merges, segments
+from .operators import graph, index, lsh, merges, segments
 from .plans import fixtures as T
 from .queries import query
 from .storage import CommitLog
@@ -123,3 +123,19 @@ def segment_search(t):
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), X.query_terms(F.col("text"), True).alias("terms"))
     there = segments.Index(*(log.table(x) for x in ("segments", "stats", "removals", "dead")))
     return segments.search(there, "exact", queries, None, 10, "exact").select("query_id", "id", "rank", F.round("raw", 6).alias("raw"))
+
+
+# --- an index of names that grows -----------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT 'k' || p_partkey AS id, regexp_replace(lower(p_name), '[ _-]', '', 'g') AS key FROM part),
+    k AS (SELECT id, regexp_replace(key, '[^0-9]', '', 'g') AS digits, list_distinct(list_transform(range(1, length(key) + 2), lambda i: substr('  ' || key || ' ', i, 3))) AS g FROM n WHERE length(key) >= 5),
+    j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS jaccard FROM k a JOIN k b ON a.id < b.id AND a.digits = b.digits)
+    SELECT a, b, round(jaccard, 6) AS score FROM j WHERE jaccard >= 8e-1""")
+def incremental_links(t):
+    """All part names come in ten batches; the links that these have found."""
+    log = CommitLog(t.spark, f"{shared_dir(t.spark)}/names-{uuid.uuid4().hex}", lsh.tables("names"), partitioned=lsh.partitioned("names"))
+    own = t.part.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("id"), X.entity_key(F.col("p_name")).alias("key"), F.pmod("p_partkey", F.lit(10)).alias("batch"))
+    for i in range(10):
+        lsh.add_names(log, "names", own.where(F.col("batch") == i))
+    return log.table("names_links").select("a", "b", F.round("score", 6).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.scratch import kept
 
 if TYPE_CHECKING:
     from ..api import KnowledgeBase
@@ -45,6 +46,23 @@ def ingest_stream(base: KnowledgeBase, incoming: DataFrame, checkpoint: str, now
     return incoming.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drain_stream(base: KnowledgeBase, ticks: DataFrame, checkpoint: str, clock, worker: str = "worker", most: int = 1000):
+    """Jobs are drained whenever the stream ticks (any rows). A batch that is repeated after a failure finds its commit and does nothing; what a killed one had claimed is free after its lease.
+
+    clock: a function without arguments that gives milliseconds.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        op = f"{worker} {n}"
+        if not any(e.op == op for e in base.log.entries()):
+            now_ms = clock()
+            mine = kept(base.claim(worker, now_ms, most), "claimed")
+            with base.committing(op):
+                base._settled(mine, worker, now_ms)
+
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def backfill_stream(spark: SparkSession, passages: DataFrame, warehouse: str, checkpoint: str, model_id: str, embed, text: Column):
     """Vectors of a model for passages that lack one; repeated runs add nothing."""
 
