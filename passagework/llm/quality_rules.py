@@ -1,16 +1,17 @@
 """Rules on text statistics whose cutoffs carry a risk guarantee.
 
-Words are `[^\\x20\\x09-\\x0D]+` of the whole text. Besides a fixed base rule, each of `RULES` rejects
-documents whose ratio is above (or below) a cutoff. For every stratum (language) and rule, the labelled
-documents of good quality are a holdout; walking a fixed grid from the loosest cutoff to the strictest, a
-cutoff stands as long as the exact binomial test rejects "more than alpha / rules of the good ones are
-lost" at level delta / (strata x rules). The walk stops at the first that fails, so fixed-sequence
-testing holds inside a rule and Bonferroni across them: with probability 1 - delta, no stratum loses more
-than alpha of its good documents to these rules. A stratum with too few labels gets no cutoff.
-
-Defined cases: null text has no words and fails the base rule; a null language is a stratum of its own;
-labels of an unknown document are ignored, null labels too, and one bad label outweighs good ones; without
-labels only the base rule works. Repeated rows are judged each for itself; labels count once a doc_id.
+Words are `[^\\x20\\x09-\\x0D]+` of the whole text. Besides a fixed base rule, each of `RULES` rejects documents whose ratio is above (or
+below) a cutoff. All cutoffs move together, in `STEPS` equal steps from the loosest to the strictest: one nested family, fixed before any
+label is seen. For every stratum (language), the labelled documents of good quality are a holdout. Its family is walked from the
+loosest end, and a step stands as long as the exact binomial test rejects "the rules together lose at least alpha of the good ones"
+at level delta / strata. The walk ends at the first step that fails, so fixed-sequence testing holds in a stratum and Bonferroni across
+strata: with probability 1 - delta, no stratum loses more than alpha of its good documents to these rules. With 4 strata,
+alpha 0.02 and delta 0.05, 217 good labels do if no step loses one of them; a stratum with too few gets no cutoffs.
+
+Defined cases: null text has no words and fails the base rule, as do empty and short texts; a null language is a stratum of its own;
+labels of an unknown document are ignored, null labels too, and one bad label outweighs good ones; without labels only the base rule
+works. Repeated rows are judged each for itself; of rows that repeat a doc_id the one that is lost first counts as its label's.
+Ties do not arise: a ratio at the cutoff is kept. Very long texts are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from .scratch import columns_apart, frugal, written
 from .words import find, hashed, shingles, slices, utf8
 
-#: rule: (ratio's numerator, denominator, 1 if large values are rejected else -1, grid from loosest to strictest)
+#: Steps of the family.
+STEPS = 48
+#: Fixed values. rule: (ratio's numerator, denominator, 1 if large values are rejected else -1, loosest cutoff, strictest cutoff)
 RULES = {
-    "symbols": ("n_symbols", "word_chars", 1, [x / 100 for x in range(50, 0, -1)]),
-    "dup_lines": ("n_dup_lines", "n_lines", 1, [x / 40 for x in range(39, 0, -1)]),
-    "repeats": ("n_repeat_words", "n_words", 1, [x / 50 for x in range(25, 0, -1)]),
-    "long_words": ("word_chars", "n_words", 1, [x / 4 for x in range(120, 16, -1)]),
-    "short_words": ("word_chars", "n_words", -1, [x / 8 for x in range(8, 48)]),
+    "symbols": ("n_symbols", "word_chars", 1, 0.50, 0.02),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, 0.98, 0.30),
+    "repeats": ("n_repeat_words", "n_words", 1, 0.50, 0.20),
+    "long_words": ("word_chars", "n_words", 1, 30.0, 10.0),
+    "short_words": ("word_chars", "n_words", -1, 1.0, 3.0),
 }
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -112,55 +115,54 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def cutoffs(good: pd.DataFrame, alpha: float, delta: float) -> pd.DataFrame:
-    """good: counts n by stratum, rule and step (how many cutoffs of the grid would lose the document: those from `step` on)."""
-    level = delta / max(1, good.stratum.nunique(dropna=False) * len(RULES))
+def cutoff(rule: str, step: int) -> float:
+    loose, strict = RULES[rule][3:]
+    return loose + (strict - loose) * step / (STEPS - 1)
+
+
+def chosen_steps(good: pd.DataFrame, alpha: float, delta: float) -> pd.DataFrame:
+    """good: counts n by stratum and step (the first that loses the document, `STEPS` if none does). For each stratum: n_good, step (-1: none stands), lost there."""
+    level = delta / max(1, good.stratum.nunique(dropna=False))
     out = []
-    for (stratum, rule), rows in good.groupby(["stratum", "rule"], dropna=False):
-        grid = RULES[rule][3]
-        lost = np.cumsum(np.bincount(rows.step, weights=rows.n, minlength=len(grid) + 1)).astype(int)
-        total, chosen = int(rows.n.sum()), None
-        for i, cutoff in enumerate(grid):
-            if at_most(int(lost[i]), total, alpha / len(RULES)) > level:
-                break
-            chosen = cutoff
-        out.append((stratum, rule, total, chosen))
-    return pd.DataFrame(out, columns=["stratum", "rule", "n_good", "cutoff"])
+    for stratum, rows in good.groupby("stratum", dropna=False):
+        lost = np.cumsum(np.bincount(rows.step, weights=rows.n, minlength=STEPS + 1)).astype(int)
+        total, step = int(rows.n.sum()), -1
+        while step + 1 < STEPS and at_most(int(lost[step + 1]), total, alpha) <= level:
+            step += 1
+        out.append((stratum, total, step, int(lost[step]) if step >= 0 else 0))
+    return pd.DataFrame(out, columns=["stratum", "n_good", "step", "lost"])
 
 
 def _ratio(rule: str):
-    top, bottom, _, _ = RULES[rule]
+    top, bottom = RULES[rule][:2]
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
-def _rejects(rule: str, cutoff):
-    return (_ratio(rule) > cutoff) if RULES[rule][2] > 0 else (_ratio(rule) < cutoff)
+def _first_lost():
+    """The first step of the family at which one of the rules rejects a document; `STEPS` if none does."""
+    each = []
+    for rule, (*_, sign, _, _) in RULES.items():
+        lost = F.filter(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(cutoff(rule, j)).alias("c")) for j in range(STEPS))), lambda x: (_ratio(rule) - x["c"]) * sign > 0)
+        each.append(F.coalesce(F.try_element_at(lost, F.lit(1))["j"], F.lit(STEPS)))
+    return F.least(*each)
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> tuple[DataFrame, pd.DataFrame]:
-    """One row a document with its statistics, base_failed and kept; and the cutoffs."""
+    """One row a document with its statistics, base_failed and kept; and each stratum's step, with the good labels there are and those lost."""
     spark = docs.sparkSession
     stats = written(statistics(docs), "statistics")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     labels = columns_apart(labels, {"doc_id": ("doc_id", "bigint"), "quality": ("quality", "int")})
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    stats = stats.withColumn("first_lost", _first_lost())
     # of documents that the base rule fails nothing is left for these rules to lose
-    good = stats.where(~base).dropDuplicates(["doc_id"]).join(labels.where("quality = 1"), "doc_id")
-    step = lambda rule: F.lit(len(RULES[rule][3])) - F.size(F.filter(F.array(*map(F.lit, RULES[rule][3])), lambda c: _rejects(rule, c)))
-    counted = (
-        good.select(F.col("lang").alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES))).alias("x"))
-        .groupBy("stratum", "x.rule", "x.step")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .toPandas()  # strata x rules x grid at most
-    )
-    chosen = cutoffs(counted, alpha, delta)
-    wide = [(s, *(rows.set_index("rule").cutoff.to_dict().get(r) for r in RULES)) for s, rows in chosen.groupby("stratum", dropna=False)]
-    clean = [tuple(None if x is None or x != x else x for x in row) for row in wide]
-    table = spark.createDataFrame(clean, "stratum string, " + ", ".join(f"c_{r} double" for r in RULES))
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(_rejects(r, F.col(f"c_{r}")), F.lit(False))
-    out = stats.join(table, stats["lang"].eqNullSafe(table["stratum"]), "left").select(
+    good = stats.where(~base).groupBy("doc_id").agg(F.min(F.struct("first_lost", "lang")).alias("x")).join(labels.where("quality = 1"), "doc_id")
+    counted = good.groupBy(F.col("x.lang").alias("stratum"), F.col("x.first_lost").alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # strata x steps at most
+    chosen = chosen_steps(counted, alpha, delta)
+    steps = [(None if s != s else s, int(k)) for s, k in zip(chosen.stratum, chosen.step)]
+    table = spark.createDataFrame(steps, "stratum string, step int")
+    rejected = F.col("first_lost") <= F.coalesce("step", F.lit(-1))
+    out = stats.join(F.broadcast(table), stats["lang"].eqNullSafe(table["stratum"]), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~rejected).alias("kept"), "n_lines", "lang"
     )
     return out, chosen

@@ -304,6 +304,40 @@ def test_quality_rules_keep_their_promise(spark):
     assert none.where("kept").count() == 50
 
 
+def test_quality_cutoffs_are_those_of_brute_force():
+    """Walks every stratum's family with exact fractions; strata of few labels, of none lost, of some lost at each step."""
+    from fractions import Fraction
+    from math import comb
+
+    import pandas as pd
+
+    rng, rows = random.Random(12), []
+    for stratum, n, lossy in (("en", 900, 0.03), ("de", 400, 0.0), ("fr", 216, 0.0), (None, 260, 0.01)):
+        rows += [(stratum, rng.randrange(quality_rules.STEPS) if rng.random() < lossy else quality_rules.STEPS) for _ in range(n)]
+    good = pd.DataFrame(rows, columns=["stratum", "step"]).value_counts(dropna=False).reset_index(name="n")
+    got = {None if r.stratum != r.stratum else r.stratum: (r.n_good, r.step, r.lost) for r in quality_rules.chosen_steps(good, 0.02, 0.05).itertuples()}
+    p, want = Fraction(2, 100), {}
+    for stratum in ("en", "de", "fr", None):
+        own = [s for x, s in rows if x == stratum]
+        step = -1
+        for j in range(quality_rules.STEPS):
+            k = sum(s <= j for s in own)
+            if sum(comb(len(own), i) * p**i * (1 - p) ** (len(own) - i) for i in range(k + 1)) > Fraction(5, 400):
+                break
+            step = j
+        want[stratum] = (len(own), step, sum(s <= step for s in own))
+    assert got == want and want["fr"][1] == -1 and want["de"][1] == quality_rules.STEPS - 1 and 0 < want["en"][1] < quality_rules.STEPS - 1
+
+
+def test_quality_labels_of_a_repeated_id_agree_on_reruns(spark):
+    """Two texts of one doc_id: the one that is lost first stands for it, whatever the order of rows."""
+    fine, bad = " ".join(f"word{i}" for i in range(60)), " ".join(f"w##{i}" for i in range(60))
+    docs = [(i, t, "en") for i in range(300) for t in (fine, bad)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    steps = [quality_rules.judge(spark.createDataFrame(d, "doc_id long, text string, lang string"), labels)[1].step.tolist() for d in (docs, docs[::-1])]
+    assert steps[0] == steps[1] and 0 <= steps[0][0] < quality_rules.STEPS - 1
+
+
 def test_language_id(docs, corpus):
     got = language_id.identify(docs).collect()
     lang = {r[0]: r[2] for r in corpus}
