@@ -9,7 +9,9 @@ the label of the nearest decided blocks before and after (near-good ones need on
 Markup decides before the densities where it is plain. Menus, headers, footers, sidebars, forms, adverts, notices, comments
 and hidden elements, by element, role or a whole class token, are bad with all inside them, block or inline; an
 outer one is not undone by what stands inside, but that a main element always counts, and an article inside a form.
-Inside an article, a main element or one with a class that says so, the container itself is the nearest decided neighbour, and good.
+Inside an article, a main element or one with a class that says so, the container itself is the nearest decided neighbour, and good;
+but three blocks or more in a row there that are nothing but links are a list of other pages, and bad. Where class tokens leave no
+text at all, an element that they call bad and that holds most of the page's words is taken as a layout, and the page is read again.
 
 Good blocks are joined in page order by two line feeds; character references are decoded and white space inside a
 block becomes one space. `template` and `svg` are taken as markup; `noscript`, `object` and `math` are read as text.
@@ -63,6 +65,8 @@ SHORT, LONG = 70, 200
 SOME_STOPS, MANY_STOPS, MANY_LINKS = 0.15, 0.25, 0.33
 #: Words of a page with which its own stop words can be told, and the longest that such a word is.
 TELLING_WORDS, STOP_LETTERS = 150, 7
+#: Blocks in a row that are links, and the share of their signs inside links, that make a list of other pages.
+LIST, ALL_LINKS = 3, 0.9
 #: How bad: forms, which an article inside undoes, and all else.
 _FORM, _OUT = 1, 2
 
@@ -75,8 +79,8 @@ def _attributes(rest: str) -> dict[str, str]:
     return out
 
 
-def _place(name: str, rest: str, bad: int, good: bool) -> tuple[int, bool]:
-    """How bad an element is and whether it is a good container, from its own tag and what it stands in."""
+def _place(name: str, rest: str, bad: int, good: bool, forgiven: bool = False) -> tuple[int, bool]:
+    """How bad an element is and whether it is a good container, from its own tag and what it stands in. forgiven: its class and id tokens name no junk."""
     own = _attributes(rest) if rest and _TELLING(rest) else {}
     role = own.get("role", "").lower()
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or ("style" in own and _UNSEEN(own["style"])):
@@ -84,9 +88,9 @@ def _place(name: str, rest: str, bad: int, good: bool) -> tuple[int, bool]:
     if name == "main" or role == "main":
         return 0, True
     tokens = () if name in ("html", "body") else (own.get("class", "") + " " + own.get("id", "")).split()
-    if name in _BAD or role in _BAD_ROLES or any(map(_BAD_TOKEN, tokens)):
+    if name in _BAD or role in _BAD_ROLES or (not forgiven and any(map(_BAD_TOKEN, tokens))):
         return _OUT, good
-    if not good and (name == "header" or any(map(_HEAD_TOKEN, tokens))):
+    if not good and (name == "header" or (not forgiven and any(map(_HEAD_TOKEN, tokens)))):
         return _OUT, good
     if name in _FORMS:
         return max(bad, _FORM), good
@@ -97,12 +101,15 @@ def _place(name: str, rest: str, bad: int, good: bool) -> tuple[int, bool]:
     return bad, good
 
 
-def blocks(page: str) -> list[tuple[str, int, str, bool]]:
-    """Text, characters inside links, place ('bad', 'good' or '') and whether a heading, of each block in order."""
+def blocks(page: str, forgiven: frozenset[int] = frozenset(), said: list[int] | None = None) -> list[tuple[str, int, str, bool]]:
+    """Text, characters inside links, place ('bad', 'good' or '') and whether a heading, of each block in order.
+
+    forgiven: places in the page of tags whose tokens name no junk. said: gets for each block the place of the outermost tag that is bad by its tokens alone, or -1.
+    """
     out: list[tuple[str, int, str, bool]] = []
     parts: list[str] = []
-    # open block elements: name, how bad, good; open inline elements of each, from a bad one on
-    frames: list[tuple[str, int, bool]] = [("", 0, False)]
+    # open block elements: name, how bad, good, the tag whose tokens said so; open inline elements of each, from a bad one on
+    frames: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]
     inline: list[list[str]] = [[]]
     open_: Counter[str] = Counter()
     links, linked, at = 0, 0, 0
@@ -111,7 +118,9 @@ def blocks(page: str) -> list[tuple[str, int, str, bool]]:
         nonlocal links
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            name, bad, good = frames[-1]
+            name, bad, good, by = frames[-1]
+            if said is not None:
+                said.append(by)
             out.append((text, links, "bad" if bad else "good" if good else "", len(name) == 2 and name[0] == "h" and name[1].isdigit()))
         parts.clear()
         links = 0
@@ -151,8 +160,14 @@ def blocks(page: str) -> list[tuple[str, int, str, bool]]:
             while frames[-1][0] in _CLOSED_BY.get(name, _PARAGRAPH):
                 close(len(frames) - 1)
             if not rest.endswith("/"):
-                _, bad, good = frames[-1]
-                frames.append((name, _OUT, good) if inline[-1] else (name, *_place(name, rest, bad, good)))
+                _, bad, good, by = frames[-1]
+                if inline[-1]:
+                    frames.append((name, _OUT, good, by))
+                else:
+                    own = _place(name, rest, bad, good, m.start() in forgiven)
+                    if said is not None and own[0] == _OUT and bad < _OUT:
+                        by = m.start() if _place(name, rest, bad, good, True)[0] < _OUT else -1
+                    frames.append((name, *own, by if own[0] else -1))
                 inline.append([])
                 open_[name] += 1
         elif name in _VOID:
@@ -171,7 +186,7 @@ def blocks(page: str) -> list[tuple[str, int, str, bool]]:
         elif not rest.endswith("/"):
             if name == "a":
                 linked = len(frames)
-            _, bad, good = frames[-1]
+            _, bad, good, _ = frames[-1]
             if inline[-1] or (not bad and _place(name, rest, 0, good)[0]):
                 inline[-1].append(name)
     text_until(len(page))
@@ -241,8 +256,23 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
+def link_lists(found: list[tuple[str, int, str, bool]]) -> list[tuple[str, int, str, bool]]:
+    """Blocks in an article that are nothing but links, `LIST` or more in a row, are a list of other pages and bad."""
+    bare = [place == "good" and not heading and links >= ALL_LINKS * len(text) > 0 for text, links, place, heading in found]
+    out, at = list(found), 0
+    while at < len(found):
+        end = at
+        while end < len(found) and bare[end]:
+            end += 1
+        if end - at >= LIST:
+            out[at:end] = [(text, links, "bad", heading) for text, links, _, heading in found[at:end]]
+        at = max(end, at + 1)
+    return out
+
+
+def _read(found: list[tuple[str, int, str, bool]]) -> str:
+    """Both passes over a page's blocks."""
+    found = link_lists(found)
     stops = stop_words(found) if any(not p for _, _, p, _ in found) else None
     labels = [first_pass(t, n, p, stops) for t, n, p, _ in found]
     if stops is not None and not {"good", "inside"} & set(labels):  # no block has many of the page's words: they tell nothing here
@@ -251,6 +281,24 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(b[0] for b, k in zip(found, kept) if k)
 
 
+def main_text(page: str | None) -> str:
+    said: list[int] = []
+    found = blocks(page, said=said) if page else []
+    text, forgiven = _read(found), frozenset()
+    # a page whose tokens leave nothing: one that holds most of its words names a layout, not junk
+    while not text and any(x >= 0 for x in said):
+        sizes: Counter[int] = Counter()
+        for (own, links, _, _), by in zip(found, said):
+            sizes[by] += max(0, len(own) - links)
+        most, size = max(((b, n) for b, n in sizes.items() if b >= 0), key=lambda x: (x[1], -x[0]))
+        if 2 * size <= sizes.total():
+            break
+        forgiven, said = forgiven | {most}, []
+        found = blocks(page, forgiven, said)
+        text = _read(found)
+    return text
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 100):

@@ -1,7 +1,9 @@
 """Page shapes with the text that a reader would call theirs, and pages built around a known text."""
 
 import random
+import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -58,6 +60,13 @@ SHAPES = [
     (f"<div><a href=x>{LONG}</a></div><p>{LONG}</p>", LONG),
     ('<article>a<div aria-hidden="true">x</div><dialog>d</dialog><button>b</button></article>', "a"),
     ("<article></span></i></div></p>a</article>", "a"),
+    (f'<div class="content sidebar-left"><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div class="menu"><a href=x>m</a></div>', f"{LONG}\n\nShort one.\n\n{LONG}"),
+    (f'<article class="post share-text"><h1>Head</h1><p>{LONG}</p></article><div class=ad>buy this</div>', f"Head\n\n{LONG}"),
+    (f'<div class="page share"><nav>n</nav><article><p>{LONG}</p><div class="share">tell</div></article></div>', LONG),
+    (f'<div class="page share"><div class="content sidebar-left"><p>{LONG}</p></div></div>', LONG),
+    (f'<article><p>{LONG}</p></article><div class="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>', LONG),
+    (f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a href=x>Another story number {i}</a></li>" for i in range(6)) + f"</ul><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=x>Source</a> says so<li><a href=x>Two</a></ul></article>", f"{LONG}\n\nSource says so\n\nTwo"),
 ]
 
 
@@ -79,6 +88,47 @@ def test_pages_built_around_a_known_text():
         assert main_text(page) == "\n\n".join(paragraphs), page
 
 
+def test_bare_pages_go_by_densities_and_neighbours():
+    """Pages of `div` and `p` without a container, a role or a class: labels and text are those of the two passes done one block at a time."""
+    rng = random.Random(13)
+    words = "the of and to in water town river bridge people met word high old stone road".split()
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    for _ in range(150):
+        kinds = [rng.choice(["long", "long", "long", "short", "links", "near", "head"]) for _ in range(rng.randint(4, 14))]
+        page, own = "", []
+        for k in kinds:
+            text = sentence({"long": 60, "short": 4, "links": 9, "near": 20, "head": 3}[k])
+            page += {"links": "<div><a href=x>{}</a></div>", "head": "<h2>{}</h2>"}.get(k, rng.choice(["<p>{}</p>", "<div>{}</div>"])).format(text)
+            own.append((text, len(text) if k == "links" else 0, k == "head"))
+        times, blocks_with = Counter(), Counter()
+        for text, links, _ in own:
+            if not links:
+                found = re.findall(r"[a-z]+", text.lower())
+                times.update(found)
+                blocks_with.update(set(found))
+        total = sum(times.values())
+        stops = {w for w, n in times.items() if len(w) <= 7 and blocks_with[w] >= 2 and n >= max(3, 0.004 * total)} if total >= 150 else None
+
+        def label(text, links, stops):
+            if links:
+                return "bad"
+            if len(text) < 70:
+                return "short"
+            found = re.findall(r"[a-z]+", text.lower())
+            share = sum(w in stops for w in found) / len(found) if stops else 0.25
+            return ("good" if len(text) > 200 else "near") if share >= 0.25 else "near" if share >= 0.15 else "bad"
+
+        labels = [label(t, n, stops) for t, n, _ in own]
+        if stops is not None and "good" not in labels:
+            labels = [label(t, n, None) for t, n, _ in own]
+        want = []
+        for i, (text, _, head) in enumerate(own):
+            sides = [next((x for x in side if x in ("good", "bad")), "bad") for side in (labels[:i][::-1], labels[i + 1 :])]
+            keep = {"good": True, "bad": False, "near": "good" not in labels or "good" in sides, "short": sides[1] == "good" if head else sides == ["good", "good"]}[labels[i]]
+            want += [text] * keep
+        assert main_text(page) == "\n\n".join(want), page
+
+
 def test_time_grows_with_the_length():
     for piece in ("<a>", "<b>x", "<div>", "<p>x<span class=ad>", "<i class=ad>", "</div>", '<a href="', "<p a='", "<!--", "<li>x", "&amp", "<div class='ad"):
         took = []
