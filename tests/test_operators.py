@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as X
 from passagework.functions import vectors as V
-from passagework.operators import compact, evaluation, facts, fusion, graph, index, ingest, logs, resolve, scope
+from passagework.operators import compact, evaluation, facts, fusion, graph, index, ingest, logs, resolve, scope, segments
 from passagework.plans import profiles, router, search
 from passagework.sources import markdown
 
@@ -169,9 +169,10 @@ def test_stems_phrases_and_folding(spark):
     tokens = index.tokenised(docs, "id", F.col("text"))
     asked = spark.createDataFrame([(1, "reviewed"), (2, "ERR_CONN_RESET"), (3, "CAFE"), (4, "cafés")], "query_id long, q string")
     asked = index.stem_terms(asked.select("query_id", X.query_terms(F.col("q")).alias("terms")))
-    stored = index.stored(docs, "id", F.lit(""), F.col("text")).where("kind = 'stem'")
-    totals = stored.select("id", "size").distinct().agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
-    ways = [index.bm25(tokens, asked, stems=True), index.bm25_stored(stored, totals, asked)]
+    stored = segments.blocks(index.stored(docs, "id", F.lit(""), F.col("text")))
+    none = [spark.createDataFrame([], kind) for kind in (segments.REMOVALS, segments.DEAD)]
+    there = segments.Index(stored, segments.stats(docs, "id", F.lit(""), F.col("text")), *none)
+    ways = [index.bm25(tokens, asked, stems=True), segments.search(there, "stem", asked)]
     found = [{(r.query_id, r.id): (r.raw, r.rank) for r in w.collect()} for w in ways]
     assert found[0] == found[1] and set(found[0]) == {(1, 0), (1, 1), (1, 2), (2, 4), (3, 2), (4, 2)}
     exact = index.bm25(index.tokenised(docs, "id", F.col("text"), True), spark.createDataFrame([(1, ["err_conn_reset"])], "query_id long, terms array<string>")).collect()
