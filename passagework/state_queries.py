@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .functions.scratch import shared_dir
-from .operators import graph, index, lsh, merges, segments
+from .functions.scratch import kept, shared_dir
+from .operators import evaluation, feedback, graph, index, lsh, merges, segments
 from .plans import fixtures as T
 from .queries import query
 from .storage import CommitLog
@@ -139,3 +139,59 @@ def incremental_links(t):
     for i in range(10):
         lsh.add_names(log, "names", own.where(F.col("batch") == i))
     return log.table("names_links").select("a", "b", F.round("score", 6).alias("score"))
+
+
+# --- a second look ----------------------------------------------------------------------------------------------------------
+
+
+def _bm25_sql(name: str, tokens: str, queries: str, depth: int) -> str:
+    """BM25 of a view of requests over a view of tokens, as `T._hits` says it."""
+    whole = T._hits("exact").replace("exact_tokens", tokens).replace("exact_queries", queries)
+    for part in ("spread", "tf", "df", "all", "hits"):
+        whole = whole.replace(f"exact_{part}", f"{name}_{part}")
+    return f"{whole}, {name}_top AS (SELECT query_id, id, rank FROM {name}_hits WHERE rank <= {depth})"
+
+
+_QRELS = "qrels AS (SELECT item_id AS query_id, doc_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text))"
+_METRICS = """SELECT w.query_id, count(*) AS n, coalesce(max(1e0 / rank), 0) AS mrr, sum(CASE WHEN rank <= 10 THEN 1e0 / log2(rank + 1) ELSE 0 END) / any_value(ideal) AS ndcg
+    FROM {wanted} w LEFT JOIN {found} f ON f.query_id = w.query_id AND f.id = w.doc_id
+    JOIN (SELECT query_id, sum(1e0 / log2(i + 1)) AS ideal FROM (SELECT query_id, unnest(range(1, least(10, count(*)) + 1)) AS i FROM {wanted} GROUP BY query_id) GROUP BY query_id) d ON d.query_id = w.query_id GROUP BY w.query_id"""
+
+
+@query(f"""WITH told AS (SELECT id, list_slice(tokens, 1, 6) AS terms FROM exact_tokens), {_bm25_sql("one", "exact_tokens", "exact_queries", 3)},
+    two_queries AS (SELECT q.query_id, list_distinct(list_concat(q.terms, t.terms)) AS terms FROM exact_queries q JOIN one_top o ON o.query_id = q.query_id AND o.rank = 1 JOIN told t ON t.id = o.id),
+    {_bm25_sql("two", "exact_tokens", "two_queries", 10)},
+    both_rounds AS (SELECT query_id, id, 1 AS round, rank FROM one_top UNION ALL SELECT query_id, id, 2, rank FROM two_top WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM one_top)),
+    united AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round, rank) AS rank FROM both_rounds QUALIFY rank <= 10), {_QRELS},
+    m1 AS ({_METRICS.format(wanted="qrels", found="one_top")}), m2 AS ({_METRICS.format(wanted="qrels", found="united")})
+    SELECT query_id, round(m1.ndcg, 6) AS ndcg_one, round(m2.ndcg, 6) AS ndcg_two, round(m1.mrr, 6) AS mrr_one, round(m2.mrr, 6) AS mrr_two FROM m1 JOIN m2 USING (query_id)""", needs=["exact_queries"])
+def agent_proxy_metrics(t):
+    """One round of three results, and a second one that also asks for how the best of them begins; metrics of all requests that have an answer."""
+    tokens = index.tokenised(t.documents, "doc_id", F.col("text"), True)
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), X.query_terms(F.col("text"), True).alias("terms"))
+    first = kept(index.bm25(tokens, queries, None, 3, "exact").select("query_id", "id", "rank"), "first")
+    told = tokens.select("id", F.slice("tokens", 1, 6).alias("terms"))
+    second = index.bm25(tokens, feedback.expanded(queries, first, told), None, 10, "exact").select("query_id", "id", "rank")
+    both = feedback.united(first, second)
+    wanted = kept(t.qrels, "qrels")
+    of = lambda df, name: evaluation.metrics(df.withColumnRenamed("id", "doc_id"), wanted).where("n_relevant > 0").select("query_id", F.round("ndcg", 6).alias(f"ndcg_{name}"), F.round("mrr", 6).alias(f"mrr_{name}"))
+    return of(first, "one").join(of(both, "two"), "query_id")
+
+
+@query(f"""WITH p AS (SELECT unnest(range(5)) AS prefix), held AS (SELECT prefix, id, tokens FROM exact_tokens JOIN p ON id % 5 <= prefix),
+    spread AS (SELECT prefix, id, len(tokens) AS size, unnest(tokens) AS term FROM held), asked AS (SELECT query_id, unnest(terms) AS term FROM exact_queries),
+    tf AS (SELECT prefix, id, size, term, count(*)::DOUBLE AS tf FROM spread WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT prefix, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+    al AS (SELECT prefix, count(*)::DOUBLE AS n, avg(len(tokens)) AS avg_size FROM held GROUP BY prefix),
+    scored AS (SELECT prefix, query_id, id, round(sum(greatest(1e-6, ln((n - df + 5e-1) / (df + 5e-1))) * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * size / avg_size))), 9) AS raw FROM asked JOIN tf USING (term) JOIN df USING (prefix, term) JOIN al USING (prefix) GROUP BY ALL),
+    top AS (SELECT prefix * 1000000 + query_id AS query_id, id, row_number() OVER (PARTITION BY prefix, query_id ORDER BY raw DESC, id) AS rank FROM scored QUALIFY rank <= 10), {_QRELS},
+    early AS (SELECT query_id FROM qrels GROUP BY query_id HAVING max(doc_id % 5) <= 2), wanted AS (SELECT prefix * 1000000 + query_id AS query_id, doc_id FROM qrels SEMI JOIN early USING (query_id), p WHERE prefix >= 2),
+    each AS (SELECT query_id // 1000000 AS prefix, query_id % 1000000 AS q, ndcg, mrr FROM ({_METRICS.format(wanted="wanted", found="top")}))
+    SELECT prefix::INTEGER AS prefix, count(*) AS queries, round(avg(e.ndcg), 6) AS ndcg, round(avg(e.mrr), 6) AS mrr, count(*) FILTER (WHERE e.ndcg + 5e-2 < b.ndcg) AS fell FROM each e JOIN (SELECT q, ndcg FROM each WHERE prefix = 2) b USING (q) GROUP BY prefix""", needs=["exact_queries"])
+def growing_corpus_ndcg(t):
+    """The corpus comes in five commits; requests whose answers are there after the third are asked of every state from then on."""
+    part = F.pmod("doc_id", F.lit(5)).cast("int").alias("part")
+    tokens = index.tokenised(t.documents, "doc_id", F.col("text"), True).withColumn("part", F.pmod("id", F.lit(5)).cast("int"))
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), X.query_terms(F.col("text"), True).alias("terms"))
+    found = feedback.by_prefix(tokens, queries, 5)
+    rows = feedback.growth(kept(found, "found"), kept(t.qrels, "qrels").select("query_id", "doc_id", part), 5, 2)
+    return rows.select("prefix", "queries", F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"), "fell")
