@@ -10,7 +10,7 @@ from .operators import compact, evaluation, facts, fusion, graph, index, ingest,
 from .plans import fixtures as T
 from .plans import search as S
 from .plans.profiles import PROFILES
-from .queries import R, _bm25, _near, query
+from .queries import _CLASS, _GATE, _MESSAGE, R, _bm25, _gated, _message, _near, query
 from .sources import markdown
 from .streaming import ingest as stream
 
@@ -172,11 +172,14 @@ def ttl_freshness(t):
     return t.docs.select("id", fusion.stale(F.col("updated_at"), ttl, 1_750_000_000_000).alias("stale"))
 
 
-@query("SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'nothing matched by keyword and the ' || query_id || ' nearest passages are below the similarity floor (0.30)' ELSE 'no arm matched' END AS reason, 'narrow with scope.version, or rephrase' AS hint FROM (SELECT item_id AS query_id FROM benchmark) WHERE query_id % 3 <> 0 AND query_id > 0")
+@query("""SELECT q.query_id, CASE WHEN count(h.id) > 0 THEN 'nothing matched by keyword and the ' || count(h.id) || ' nearest passages are below the similarity floor (0.30)' ELSE 'no arm matched' END AS reason, 'narrow with scope.version, or rephrase' AS hint
+    FROM exact_queries q LEFT JOIN exact_hits h ON h.query_id = q.query_id AND rank <= 20 GROUP BY q.query_id HAVING coalesce(max(raw), 0) < 60""", needs=["exact_queries", "exact_hits"])
 def abstentions(t):
-    asked = t.benchmark.where("item_id > 0").select(F.col("item_id").alias("query_id"))
-    below = asked.where("query_id % 2 = 0").select("query_id", F.col("query_id").alias("below"))
-    return S.abstained(asked, asked.where("query_id % 3 = 0"), scope.Scope(namespaces=["a"]), PROFILES["default"], below)
+    """The benchmark's requests against all documents; of those that no document answers with a score of 60, how many came near."""
+    hits = _bm25(t, True, 20)
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"))
+    below = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("below"))
+    return S.abstained(asked, hits.where("raw >= 60"), scope.Scope(namespaces=["a"]), PROFILES["default"], below)
 
 
 @query("SELECT query_id, id, array_to_string(list_sort(list_filter(q.terms, lambda x: list_contains(w.tokens, x))), ' ') AS terms FROM keyword_hits h JOIN keyword_queries q USING (query_id) JOIN word_tokens w USING (id) WHERE rank <= 10", needs=["keyword_queries", "word_tokens"])
@@ -280,28 +283,29 @@ def last_writes(t):
     return one("ingest", t.docs, "updated_at").union(one("facts", t.facts, "recorded_at")).union(one("none", t.docs.where("id < 0"), "updated_at"))
 
 
-_MESSAGES = ["memo://doc/1 was forgotten on 2024-01-01: x", "document not found", "trust needs a human", "uri is required", "disk full", "context canceled", "trust must be one of a, b", "bad date", "malformed address", "x is not a memo:// address", "keep must name one of a or b"]
-_CLASSES = ["forgotten", "not_found", "needs_human", "invalid_args", "internal", "canceled", "invalid_args", "invalid_args", "invalid_args", "invalid_args", "invalid_args"]
-
-
-@query(f"SELECT event_id, (ARRAY{_CLASSES})[event_id % 11 + 1] AS class FROM events".replace("ARRAY", ""))
+@query(f"WITH messages AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), {_MESSAGE} SELECT id AS turn_id, {_CLASS} AS class FROM full_message")
 def error_message_classes(t):
-    return t.events.select("event_id", X.error_class(F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 11 + 1).cast("int"))).alias("class"))
+    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), X.error_class(_message(F.col("text"))).alias("class"))
 
 
-_REASONS = ["no embedding model available", "query embedding failed: x", "reranker failed: y", "", "no retrieval arm could run", "no fact matched", "no page matched", "no arm matched", "nothing matched by keyword"]
+_REASONS = ("no embedding model available", "query embedding failed: ", "reranker failed: ", "", "no retrieval arm could run", "no fact matched", "no page matched", "no arm matched", "nothing matched by keyword and ", "nothing")
 
 
-@query("SELECT event_id, (['no_embedder', 'query_embed_failed', 'reranker_failed', 'other', 'other', 'other', 'other', 'other', 'other'])[event_id % 9 + 1] AS degraded, (['other', 'other', 'other', 'other', 'no_arm', 'no_fact', 'no_page', 'no_match', 'no_match'])[event_id % 9 + 1] AS abstained FROM events")
+@query(f"""WITH r AS (SELECT doc_id, {list(_REASONS)}[length(text) % 10 + 1] || text AS m FROM documents)
+    SELECT doc_id, CASE WHEN starts_with(m, 'no embedding model') THEN 'no_embedder' WHEN starts_with(m, 'query embedding failed') THEN 'query_embed_failed' WHEN starts_with(m, 'reranker failed') THEN 'reranker_failed' ELSE 'other' END AS degraded,
+    CASE WHEN starts_with(m, 'no retrieval arm') THEN 'no_arm' WHEN starts_with(m, 'no fact') THEN 'no_fact' WHEN starts_with(m, 'no page') THEN 'no_page' WHEN starts_with(m, 'no arm matched') OR starts_with(m, 'nothing matched') THEN 'no_match' ELSE 'other' END AS abstained FROM r""")
 def reason_classes(t):
-    reason = F.element_at(F.array(*map(F.lit, _REASONS)), (F.col("event_id") % 9 + 1).cast("int"))
-    return t.events.select("event_id", logs.degraded_class(reason).alias("degraded"), logs.abstain_class(reason).alias("abstained"))
+    reason = F.concat(F.element_at(F.array(*map(F.lit, _REASONS)), (F.pmod(F.length("text"), F.lit(10)) + 1).cast("int")), F.col("text"))
+    return t.documents.select("doc_id", logs.degraded_class(reason).alias("degraded"), logs.abstain_class(reason).alias("abstained"))
 
 
-@query("SELECT id, CASE id % 5 WHEN 0 THEN 'index' WHEN 1 THEN 'ns_index' WHEN 2 THEN 'doc' WHEN 3 THEN 'unknown' ELSE 'unknown' END AS kind, CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS tags FROM docs")
+@query(r"""WITH u AS (SELECT id, ['memo://index', 'memo://ns/' || namespace || '/index', 'memo://doc/' || id, 'memo://' || tag || '/' || id, namespace || '/' || id, 'memo://doc', 'memo://entity/' || tag, 'memo://ns/' || namespace][length(text) % 8 + 1] AS uri FROM docs)
+    SELECT id, CASE WHEN uri = 'memo://index' THEN 'index' WHEN regexp_matches(uri, '^memo://ns/[^/]+/index$') THEN 'ns_index' WHEN regexp_matches(uri, '^memo://[^/]+/.') THEN regexp_extract(uri, '^memo://([^/]+)/', 1) ELSE 'unknown' END AS kind,
+    CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS tags FROM u""")
 def resource_kinds(t):
-    key = F.col("id").cast("string")
-    uri = F.when(F.col("id") % 5 == 0, "memo://index").when(F.col("id") % 5 == 1, F.concat(F.lit("memo://ns/"), "namespace", F.lit("/index"))).when(F.col("id") % 5 == 2, X.address("doc", key)).when(F.col("id") % 5 == 3, key).otherwise(F.lit("memo://doc"))
+    key, ns = F.col("id").cast("string"), F.col("namespace")
+    all_ = [F.lit("memo://index"), F.concat(F.lit("memo://ns/"), ns, F.lit("/index")), X.address("doc", key), F.concat(F.lit("memo://"), "tag", F.lit("/"), key), F.concat(ns, F.lit("/"), key), F.lit("memo://doc"), F.concat(F.lit("memo://entity/"), "tag"), F.concat(F.lit("memo://ns/"), ns)]
+    uri = F.element_at(F.array(*all_), (F.pmod(F.length("text"), F.lit(8)) + 1).cast("int"))
     return t.docs.select("id", logs.resource_kind(uri).alias("kind"), F.size(compact.page_provenance(F.col("id") % 4 == 0)["tags"]).alias("tags"))
 
 
@@ -327,12 +331,10 @@ def query_log_rows(t):
 # --- evaluation, streams ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'ndcg drop' AS reason, doc_id AS query_id FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'hit lost', doc_id FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'abstention lost', doc_id FROM documents WHERE doc_id % 4 = 3 UNION ALL SELECT 'mean ndcg drop', NULL")
+@query(_GATE.format(after="keyword_hits WHERE rank <= 2 AND query_id % 2 = 0").replace("exact_hits WHERE rank <= 10", "exact_hits WHERE rank <= 10"), needs=["keyword_hits"])
 def regression_gate(t):
-    kind = F.col("doc_id") % 4
-    before = t.documents.select(F.col("doc_id").alias("query_id"), F.when(kind == 3, 0.0).otherwise(0.9).alias("ndcg"), F.when(kind == 3, 0.0).otherwise(1.0).alias("mrr"), F.when(kind == 3, 0).otherwise(1).alias("n_relevant"), F.when(kind == 3, 0).otherwise(10).alias("n_results"))
-    after = before.withColumns({"ndcg": F.when(F.col("query_id") % 4 == 0, 0.0).otherwise(F.col("ndcg")), "mrr": F.when(F.col("query_id") % 4 == 0, 0.0).otherwise(F.col("mrr")), "n_results": F.lit(10)})
-    return evaluation.paired_gate(before, after).select("reason", "query_id")
+    """The exact search against a keyword search that answers every other request, and that with two results."""
+    return _gated(t, _bm25(t, False, 2).where("query_id % 2 = 0"))
 
 
 @query("SELECT q.vec_id AS query_id, round(avg((v.label = q.label)::INT), 6) AS hit_rate FROM (SELECT query_id AS vec_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS raw FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10) h JOIN embeddings q USING (vec_id) JOIN embeddings v ON v.vec_id = h.id GROUP BY q.vec_id")
