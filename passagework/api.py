@@ -20,6 +20,7 @@ from . import schemas
 from .functions import text as X
 from .functions import vectors as V
 from .functions.scratch import kept
+from .observed import Gauges, Metrics
 from .operators import adjacency, chunking, compact, evaluation, facts, graph, index, ingest, logs, lsh, merges, queue as work, resolve, scope as scopes, segments
 from .plans import profiles, router, search
 from .schemas import TRUST
@@ -64,6 +65,8 @@ class KnowledgeBase:
         self.query_prefix, self.doc_prefix = query_prefix, doc_prefix
         self.log = CommitLog(spark, self.path, _EVENTS, schemas.VERSION, upto, {"segments": "part", **lsh.partitioned("names")})
         self._open: Commit | None = None
+        self.metrics = Metrics()
+        self._gauges = Gauges(lambda: self.status().collect())
         self._roots: tuple[tuple[str, ...], DataFrame | None] = (), None
         self._claim()
 
@@ -339,7 +342,9 @@ class KnowledgeBase:
     def _embed(self, passages: DataFrame) -> None:
         if self.embed is not None:
             text = X.role_prefix(F.col("embed_text"), self.doc_prefix)
-            self._append("vectors", passages.select("id", F.lit(self.model_id).alias("model_id"), self.embed(text).alias("embedding")))
+            rows = passages.select("id", F.lit(self.model_id).alias("model_id"), self.embed(text).alias("embedding"))
+            counts = {"texts": F.count(F.lit(1)), "failed": F.count_if(F.col("embedding").isNull())}
+            self.metrics.write(rows, lambda df: self._append("vectors", df), "embed", counts, model=self.model_id, role="document")
 
     def _mention(self, passages: DataFrame, docs: DataFrame, now_ms: int, named: DataFrame | None = None) -> None:
         titled = passages.join(docs.select(F.col("id").alias("document_id"), "title", "uri"), "document_id")
@@ -714,9 +719,10 @@ class KnowledgeBase:
             "pages": (pages, F.col("deleted_at").isNull()), "pages_stale": (pages, F.col("stale") & F.col("deleted_at").isNull()), "items_open": (items, F.col("state") == "open"), "queries": (self.table("queries"), None),
         })
 
-    def gauges(self) -> DataFrame:
-        """The status as exposition text."""
-        return markdown.prometheus_lines(self.status().select(F.lit("memo_rows").alias("name"), F.lit("Rows by kind.").alias("help"), F.lit("gauge").alias("type"), F.create_map(F.lit("of"), "gauge").alias("labels"), F.lit("").alias("suffix"), F.col("n").cast("double").alias("value")))
+    def gauges(self, now_ms: int = 0) -> DataFrame:
+        """The status as exposition text; the rows are found by one job and kept for the gauges' time to live."""
+        now = self.spark.createDataFrame([tuple(r) for r in self._gauges.rows(now_ms)], "gauge string, n long")
+        return markdown.prometheus_lines(now.select(F.lit("memo_rows").alias("name"), F.lit("Rows by kind.").alias("help"), F.lit("gauge").alias("type"), F.create_map(F.lit("of"), "gauge").alias("labels"), F.lit("").alias("suffix"), F.col("n").cast("double").alias("value")))
 
     def export(self, path: str) -> None:
         """Live documents and pages as one text file each, and an index of every namespace."""
