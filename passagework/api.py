@@ -24,7 +24,7 @@ from .observed import Gauges, Metrics
 from .operators import adjacency, chunking, compact, evaluation, facts, graph, index, ingest, logs, lsh, merges, queue as work, resolve, scope as scopes, segments
 from .plans import profiles, router, search
 from .schemas import TRUST
-from .sources import markdown
+from .sources import markdown, render
 from .storage import Commit, CommitLog
 
 _WRITES = "id string, source_id string, namespace string, uri string, title string, kind string, library string, version string, context string, content string, content_hash string, trust string, origin string, tags array<string>, created_at long, revision int, outcome string, fetched_at long, ttl_s long"
@@ -415,6 +415,13 @@ class KnowledgeBase:
             none = search.abstained(requests, found, scope, chosen, below)
         return {"results": found, "abstained": none, "degraded": degraded, "filtered": scopes.counts(self.documents(), scope), "scope": scopes.describe(scope)}
 
+    @staticmethod
+    def rendered(answer: dict, form: str = "text", explain: bool = False) -> DataFrame:
+        """query_id, text of what `answer` gave: as text, table or json."""
+        if form == "text":
+            return render.as_text(answer["results"], answer["abstained"], explain, answer["degraded"])
+        return render.as_table(answer["results"]) if form == "table" else render.as_json(answer["results"])
+
     def _searched(self, queries, mode, profile, scope, now_ms, granularity, options):
         chosen = profiles.for_model(profiles.PROFILES[profile], self.model_id)
         q, requests, degraded = self._asked(queries)

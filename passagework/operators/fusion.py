@@ -18,26 +18,30 @@ def _weight(weights: dict[str, float]) -> Column:
 def rrf(lists: DataFrame, weights: dict[str, float], k: float = 60.0) -> DataFrame:
     """Reciprocal-rank fusion. lists: query_id, arm, id, rank, raw and n_queries (lists of that arm; 1 if absent).
 
-    Gives fused and, for each id, its arms in fixed order with rank, raw and contribution; a contribution is the sum over lists, the rank the best.
+    Gives fused and, for each id, its arms in fixed order with rank, raw, contribution and hops (null but for the graph arm); a contribution is the sum over lists, the rank the best.
     """
     n = F.col("n_queries") if "n_queries" in lists.columns else F.lit(1.0)
     share = lists.withColumn("share", _weight(weights) / n / (F.lit(k) + F.col("rank")))
-    by_arm = share.groupBy("query_id", "id", "arm").agg(F.min("rank").alias("rank"), F.min_by("raw", "rank").alias("raw"), F.sum("share").alias("contribution"))
+    by_arm = share.groupBy("query_id", "id", "arm").agg(F.min("rank").alias("rank"), F.min_by("raw", "rank").alias("raw"), F.sum("share").alias("contribution"), _hops(lists))
     return _with_arms(by_arm)
 
 
 def min_max(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Scores scaled to 0..1 in each arm (1 if all are equal), weighed and summed; of several lists an arm's best rank counts."""
-    best = lists.groupBy("query_id", "id", "arm").agg(F.min("rank").alias("rank"), F.min_by("raw", "rank").alias("raw"))
+    best = lists.groupBy("query_id", "id", "arm").agg(F.min("rank").alias("rank"), F.min_by("raw", "rank").alias("raw"), _hops(lists))
     w = Window.partitionBy("query_id", "arm")
     low, high = F.min("raw").over(w), F.max("raw").over(w)
     scaled = F.when(high > low, (F.col("raw") - low) / (high - low)).otherwise(1.0)
     return _with_arms(best.withColumn("contribution", _weight(weights) * scaled))
 
 
+def _hops(lists: DataFrame) -> Column:
+    return (F.min("hops") if "hops" in lists.columns else F.min(F.lit(None).cast("int"))).alias("hops")
+
+
 def _with_arms(by_arm: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, ARMS)), F.col("arm"))
-    arms = F.array_sort(F.collect_list(F.struct(place.alias("place"), "arm", "rank", "raw", "contribution")))
+    arms = F.array_sort(F.collect_list(F.struct(place.alias("place"), "arm", "rank", "raw", "contribution", "hops")))
     return by_arm.groupBy("query_id", "id").agg(arms.alias("arms")).withColumn("fused", F.aggregate("arms", F.lit(0.0), lambda a, x: a + x["contribution"]))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.stem import stem_words
 from ..operators import adjacency, fusion, graph, index, scope as scope_, segments
 from .profiles import Profile
 
@@ -92,13 +94,14 @@ def arms(corpus: Corpus, queries: DataFrame, names: list[str], scope: scope_.Sco
     if "graph" in names and corpus.mentions is not None:
         lists.append(walk(corpus, profile).join(inside, "id", "left_semi"))
     common = ["query_id", "arm", "id", "rank", "raw"]
-    out = lists[0].select(*common)
-    for x in lists[1:]:
-        out = out.unionByName(x.select(*common))
+    whole = [x.select(*common, (F.col("hops") if "hops" in x.columns else F.lit(None)).cast("int").alias("hops")) for x in lists]
+    out = whole[0]
+    for x in whole[1:]:
+        out = out.unionByName(x)
     if "request_id" in queries.columns:  # several queries of one request: each list votes with its share
         asked = queries.select("query_id", "request_id", F.count(F.lit(1)).over(Window.partitionBy("request_id")).cast("double").alias("n_queries"))
         alone = F.col("arm").isin("entity", "graph")
-        out = out.join(asked, "query_id").select(F.col("request_id").alias("query_id"), "arm", "id", "rank", "raw", F.when(alone, 1.0).otherwise(F.col("n_queries")).alias("n_queries"))
+        out = out.join(asked, "query_id").select(F.col("request_id").alias("query_id"), "arm", "id", "rank", "raw", "hops", F.when(alone, 1.0).otherwise(F.col("n_queries")).alias("n_queries"))
     return out
 
 
@@ -142,9 +145,10 @@ def search(
     corpus: Corpus, queries: DataFrame, names: list[str], profile: Profile = Profile(), scope: scope_.Scope = scope_.Scope(), now_ms: int = 0, token_budget: int | None = None,
     form: str = "detailed", seen: DataFrame | None = None, per_document: bool = True, limit: int | None = None, scorer: Scorer | None = None,
 ) -> DataFrame:
-    """Results of all queries: query_id, position, id, document_id, fused, recency, final, arms (rank, raw, contribution each), band, content and provenance.
+    """Results of all queries: query_id, position, id, document_id, fused, recency, final, arms (rank, raw, contribution, hops each), band, content, provenance and matched.
 
-    The sum of contributions is fused; final is fused times recency.
+    The sum of contributions is fused; final is fused times recency. form: concise, detailed or explain; with explain, `matched` has the words of the
+    text that the request's words found, as they are written there, else it is empty.
     """
     lists = arms(corpus, queries, names, scope, profile)
     fused = fusion.min_max(lists, profile.weights) if profile.fusion == "minmax" else fusion.rrf(lists, profile.weights, profile.k)
@@ -170,14 +174,35 @@ def search(
     if token_budget:
         rows = fusion.budget(rows, F.col("est_tokens"), token_budget)
     rows = with_texts(corpus.passages, rows, form != "concise")
+    rows = with_matched(rows, queries) if form == "explain" else rows.withColumn("matched", F.array().cast("array<string>"))
     cosine = F.when(F.exists("arms", lambda a: a["arm"] == "semantic"), F.array_max(F.transform(F.filter("arms", lambda a: a["arm"] == "semantic"), lambda a: a["raw"])))
     stale = fusion.stale(F.col("fetched_at"), F.col("ttl_s"), now_ms) if len(fresh) == 2 else F.lit(False)
     return rows.select(
         "query_id", "position", "id", "document_id", "fused", "recency", "final", "arms", fusion.relevance(cosine, profile.bands).alias("band"),
-        fusion.rendered(F.col("text"), F.col("before"), F.col("after"), form).alias("content"), F.struct("uri", "title", "kind", "trust", "updated_at", stale.alias("stale")).alias("provenance"),
+        fusion.rendered(F.col("text"), F.col("before"), F.col("after"), form).alias("content"), F.struct("uri", "title", "kind", "trust", "updated_at", stale.alias("stale")).alias("provenance"), "matched",
     )
 
 
+def with_matched(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Results (query_id, id, text) with `matched`: in the order of the text, its distinct words, in lower case, whose stem or exact form the request asks for."""
+    request = "request_id" if "request_id" in queries.columns else "query_id"
+    asked = lambda column: queries.select(F.col(request).alias("query_id"), F.explode(F.flatten(F.transform(column, lambda w: F.split(w, " ")))).alias("_asked")).distinct()
+    words = lambda tokens: rows.select("query_id", "id", F.posexplode(tokens).alias("_at", "_word"))
+    found = []
+    if "terms" in queries.columns:
+        spread = words(X.word_tokens(F.col("text")))
+        stems = spread.select("_word").distinct().select("_word", stem_words(X.fold(F.col("_word"))).alias("_asked"))
+        found.append(spread.join(stems, "_word").join(asked("terms"), ["query_id", "_asked"], "left_semi").select("query_id", "id", "_at", "_word"))
+    if "exact_terms" in queries.columns:
+        spread = words(X.exact_tokens(F.col("text"))).withColumn("_asked", X.fold(F.col("_word")))
+        found.append(spread.join(asked("exact_terms"), ["query_id", "_asked"], "left_semi").select("query_id", "id", "_at", "_word"))
+    if not found:
+        return rows.withColumn("matched", F.array().cast("array<string>"))
+    every = reduce(DataFrame.unionByName, found).groupBy("query_id", "id", "_word").agg(F.min("_at").alias("_at"))
+    told = every.groupBy("query_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_word"))), lambda x: x["_word"]).alias("matched"))
+    return rows.join(told, ["query_id", "id"], "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
+
+
 def with_texts(passages: DataFrame, rows: DataFrame, neighbours: bool = True) -> DataFrame:
     """The text of each result and of the passages before and after it: read for results only, by (document, place)."""
     near = F.array(F.lit(-1), F.lit(0), F.lit(1)) if neighbours else F.array(F.lit(0))
