@@ -1,4 +1,5 @@
 import json
+
 import pytest
 from pyspark.sql import functions as F
 
