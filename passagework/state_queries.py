@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.scratch import kept, shared_dir
 from .operators import evaluation, feedback, graph, index, lsh, merges, segments
+from .operators import queue as jobs
 from .plans import fixtures as T
 from .queries import query
 from .sources import render
@@ -221,3 +223,21 @@ def answers_as_text(t):
     FROM shown GROUP BY query_id""", needs=["exact_hits"])
 def answers_as_table(t):
     return render.as_table(_shown(t))
+
+
+# --- the embedding queue --------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT user_id AS id, CASE event_type WHEN 'click' THEN 'claimed' WHEN 'error' THEN 'failed' END AS event, event_id AS seq, epoch_ms(ts) AS told,
+        sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events WHERE event_type IN ('click', 'error')),
+    f AS (SELECT id, arg_max(event, seq) AS event, arg_max(told + 86400000, seq) AS until, max(attempt) AS attempts FROM e WHERE told < 1706000000000 GROUP BY id), j AS (SELECT DISTINCT user_id AS id FROM events)
+    SELECT j.id, coalesce(attempts, 0)::INTEGER AS attempts, CASE WHEN event = 'claimed' AND until > 1706000000000 THEN 'claimed' WHEN coalesce(attempts, 0) >= 5 THEN 'given_up' WHEN event = 'failed' AND until > 1706000000000 THEN 'waiting' ELSE 'queued' END AS state
+    FROM j LEFT JOIN f ON f.id = j.id""")
+def job_states(t):
+    """Users as jobs: a click claims one for a day, an error gives it back for a day; how they stand on 2024-01-23."""
+    now, ms = 1_706_000_000_000, F.unix_millis(F.col("ts").cast("timestamp"))
+    own = t.events.where("event_type in ('click', 'error')")
+    attempt = F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("event_id"))
+    log = own.select(F.col("user_id").alias("id"), F.when(F.col("event_type") == "click", "claimed").otherwise("failed").alias("event"), ms.alias("at"), (ms + 86_400_000).alias("until"), attempt.alias("attempt"), F.col("event_id").alias("seq"))
+    rows = jobs.state(t.events.select(F.col("user_id").alias("id")).distinct(), log.where(F.col("at") < now), now)
+    return rows.select("id", F.col("attempts").cast("int").alias("attempts"), "state")
