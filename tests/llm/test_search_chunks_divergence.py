@@ -72,7 +72,7 @@ def test_search_is_that_of_all_documents(spark, docs, rows):
     asked = spark.createDataFrame([(*x, "r", 1) for x in items], "item_id long, text string, block string, weight int")
     there = ranked_search.index(docs)
     want = best(rows, items, 5)
-    for seeds, most in ((1, 4 << 20), (3, 2000)):
+    for seeds, most in ((1, 4 << 20), (3, 4000)):
         got = ranked_search.search(there, asked, k=5, seeds=seeds, batch_bytes=most).collect()
         assert sorted((tuple(r) for r in got), key=str) == want
 
