@@ -171,6 +171,7 @@ def test_relations_rebuild_runs_and_logs(base):
 
 def test_answers_are_explained_and_can_be_read_and_parsed(base):
     answer = base.answer(["brokers and accounts", "xylophone qqq"], mode="keyword", form="explain")
+    answer["results"].cache()  # read several times below
     found = [r for r in answer["results"].orderBy("position").collect() if r.query_id == 0]
     assert found and any(r.matched for r in found)
     for r in found:
