@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,10 +143,56 @@ def nearest(vectors: DataFrame, queries: DataFrame, depth: int | None = 100, flo
 
 
 def _nearest(vectors: DataFrame, queries: DataFrame, depth: int | None, floor: float | None, arm: str) -> DataFrame:
-    sized = lambda df, key, c, to: df.select(key, F.transform(c, lambda x: x.cast("double")).alias(to)).withColumn(f"{to}_size", F.sqrt(V.dot(F.col(to), F.col(to))))
-    q, v = sized(queries, "query_id", "vector", "q"), sized(vectors, "id", "embedding", "v")
-    size = F.col("q_size") * F.col("v_size")
-    scored = v.crossJoin(F.broadcast(q)).select("query_id", "id", F.when(size > 0, V.dot(F.col("q"), F.col("v")) / size).otherwise(0.0).alias("raw"))
-    if floor is not None:
-        scored = scored.where(F.col("raw") >= floor)
+    """Each batch of vectors is multiplied with all queries at once and gives its own best `depth` for each; these are ranked."""
+    asked = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("q")).toArrow()
+    id_, key = dict(vectors.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    scored = vectors.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).mapInArrow(_best(asked, depth, floor), f"query_id {key}, id {id_}, raw double")
     return ranked(scored, arm, depth)
+
+
+#: Scores that a task holds at once.
+SCORES = 4_000_000
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix; null, empty ones and those of nulls are zero."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), max(1, int(sizes.max(initial=0)))))
+    whole = sizes == out.shape[1]
+    values = lists.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    if (whole | (sizes == 0)).all():
+        out[whole] = values.reshape(-1, out.shape[1]) if whole.any() else 0
+        return out
+    raise ValueError("vectors of different lengths")
+
+
+def _best(asked: pa.Table, depth: int | None, floor: float | None):
+    """Batches of id, v to what can be among the best of each query, by the best that the task has met so far; scores that round to that of the last place all stay, so that the ranking sees them."""
+    ids = asked["query_id"].combine_chunks()
+
+    def run(batches):
+        q = _rows(asked["q"])
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), np.finfo(float).tiny)
+        step = max(1, SCORES // max(1, len(q)))
+        best = np.full((len(q), depth or 0), -np.inf)
+        for batch in batches:
+            for first in range(0, batch.num_rows if len(q) else 0, step):
+                part = batch.slice(first, step)
+                v = _rows(part.column(1))
+                if v.shape[1] != q.shape[1]:
+                    if v.any() and q.any():
+                        raise ValueError("vectors of different lengths")
+                    v = np.zeros((len(v), q.shape[1]))
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
+                raw = q @ v.T
+                keep = np.ones(raw.shape, bool)
+                if depth:
+                    best = np.partition(np.hstack([best, raw]), -depth, axis=1)[:, -depth:]
+                    keep = raw >= best.min(axis=1, keepdims=True) - 2e-9
+                if floor is not None:
+                    keep &= raw >= floor
+                a, b = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), part.column(0).take(pa.array(b)), pa.array(raw[a, b])], ["query_id", "id", "raw"])
+
+    return run
