@@ -78,3 +78,16 @@ def test_a_changed_base_gets_a_new_graph(spark, tmp_path):
     second = base.graph()
     assert second.key != first.key and second.steps.count() < first.steps.count()
     assert [g for g in base.vacuum(1 << 60) if g.startswith("_graphs")] == [f"_graphs/{first.key}"]
+
+
+def test_seeds_of_a_group_meet_an_edge_once(spark, tmp_path, edges):
+    frame = spark.createDataFrame(edges, "a string, b string, weight double")
+    names = [f"n{i}" for i in range(0, 150, 3)] + ["hub", "nowhere", "m3"]  # more than a group
+    there = adjacency.stored(frame, f"file://{tmp_path}/graphs", "wide", block=20, buckets=4)
+    found = adjacency.walk(there, spark.createDataFrame([(n,) for n in names], "seed string"), rounds=3)
+    assert {(r.seed, r.node): r.mass for r in found.collect()} == pytest.approx(walked(edges, names, rounds=3))
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        assert "sum(m31" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
