@@ -29,9 +29,10 @@ def tokenised(texts: DataFrame, id_: str, body: Column, exact: bool = False) ->
     return texts.select(F.col(id_).alias("id"), (X.exact_tokens(body) if exact else X.word_tokens(body)).alias("tokens")).withColumn("size", F.size("tokens"))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """term, id, size, tf, positions (from 0)."""
+def postings(tokens: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """term, id, size, tf, positions (from 0). only: words beside which none is shuffled."""
     spread = tokens.select("id", "size", F.posexplode("tokens").alias("pos", "term"))
+    spread = spread if only is None else spread.where(F.col("term").isin(only))
     return spread.groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

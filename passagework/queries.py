@@ -103,8 +103,9 @@ def collection_stats(t):
 
 @query("SELECT id, n FROM (SELECT id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'and' AND tokens[i + 1] = 'the')) AS n FROM word_tokens) WHERE n > 0")
 def phrase_match(t):
-    post = index.postings(index.tokenised(t.documents, "doc_id", F.col("text")))
-    return index.phrase(post, ["and", "the"]).select("id", F.col("n").cast("bigint").alias("n"))
+    words = ["and", "the"]
+    post = index.postings(index.tokenised(t.documents, "doc_id", F.col("text")), words)
+    return index.phrase(post, words).select("id", F.col("n").cast("bigint").alias("n"))
 
 
 _COSINE = """
