@@ -39,24 +39,35 @@ def _bands(sets: DataFrame) -> DataFrame:
 def add(read, append, name: str, rows: DataFrame, least: float, alike: Column | None = None) -> DataFrame:
     """rows: id, grams, tag; those whose id is there already, or that have no grams, are left out. Gives the new links: a < b, score (exact Jaccard).
 
-    read, append: of a table (a commit's, or a base's). alike: a further condition over `x.` and `y.`, both with id and tag.
+    read, append: of a table (a commit's, or a base's). alike: a further condition over the tags `x.tag` and `y.tag`.
+    Rows of equal grams and tag are one class: it is signed when its first row comes, compared once a batch, and what is found is expanded.
     """
-    known = read(f"{name}_sets").select(F.col("id").alias("_known"))
-    new = kept(rows.select("id", "grams", "tag").where(F.size("grams") > 0).dropDuplicates(["id"]).join(known, F.col("id") == F.col("_known"), "left_anti"), "sets")
+    known = read(f"{name}_sets")
+    new = kept(rows.select("id", "grams", "tag").where(F.size("grams") > 0).dropDuplicates(["id"]).join(known.select(F.col("id").alias("_known")).hint("merge"), F.col("id") == F.col("_known"), "left_anti"), "sets")
     if new.isEmpty():
         return rows.sparkSession.createDataFrame([], LINKS)
-    signed = kept(_bands(new), "bands")
+    every = known.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))).withColumn("_own", F.struct(F.array_sort("grams").alias("grams"), "tag"))
+    least_id = F.coalesce(F.min(F.when(~F.col("new"), F.col("id"))), F.min("id")).alias("class")
+    reps = kept(every.groupBy("_own").agg(least_id, F.count(F.lit(1)).alias("n"), F.bool_or("new").alias("grown"), F.bool_and("new").alias("fresh")), "classes")
+    members = kept(every.join(reps.select("_own", "class", "n").hint("merge"), "_own").select("id", "new", "class", "n"), "members")
+    sets = reps.select("class", "n", "grown", "fresh", "_own.*")
+    signed = kept(_bands(sets.where("grown").select(F.col("class").alias("id"), "grams")), "bands")
+    fresh = signed.join(sets.where("fresh").select(F.col("class").alias("id")).hint("merge"), "id", "left_semi").select(*signed.columns)
     parts = [r.part for r in signed.select("part").distinct().collect()]  # PARTS at most
-    there = read(f"{name}_bands").where(F.col("part").isin(parts)).select("band", "key", F.col("id").alias("other"))
-    met = signed.join(there.unionByName(signed.select("band", "key", F.col("id").alias("other"))), ["band", "key"]).where(F.col("id") != F.col("other"))
+    there = read(f"{name}_bands").where(F.col("part").isin(parts)).join(members.select("id", "class").hint("merge"), "id").select("band", "key", F.col("class").alias("other"))
+    met = signed.join(there.unionByName(fresh.select("band", "key", F.col("id").alias("other"))).distinct().hint("merge"), ["band", "key"]).where(F.col("id") != F.col("other"))
     pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    every = read(f"{name}_sets").unionByName(new)
-    side = lambda x: every.select(F.struct("*").alias(x))
+    side = lambda x: sets.select(F.struct(F.col("class").alias("id"), "grams", "tag").alias(x)).hint("merge")
     both = pairs.join(side("x"), F.col("a") == F.col("x.id")).join(side("y"), F.col("b") == F.col("y.id"))
     both = both if alike is None else both.where(alike)
-    links = kept(both.select("a", "b", X.jaccard(F.col("x.grams"), F.col("y.grams")).alias("score")).where(F.col("score") >= least), "links")
+    near = kept(both.select("a", "b", X.jaccard(F.col("x.grams"), F.col("y.grams")).alias("score")).where(F.col("score") >= least), "near")
+    equal = sets.where("grown and n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("score"))
+    # A new row of one class with all rows of the other, from either side; of two new rows the smaller id comes first.
+    ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(equal)
+    found = resolve.expanded(ways, resolve.blocks(members.where("new")), resolve.blocks(members, "new"), ~F.col("y.new") | (F.col("x.id") < F.col("y.id")))
+    links = kept(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "score"), "links")
     append(f"{name}_sets", new)
-    append(f"{name}_bands", signed)
+    append(f"{name}_bands", fresh)
     append(f"{name}_links", links)
     return links
 
