@@ -1,7 +1,9 @@
 """Timed sessions: batches, disorder within the watermark and a restart give what one look at all rows gives."""
 
 import random
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from passagework.streaming import live
@@ -61,3 +63,72 @@ def test_batches_disorder_and_restart(spark, tmp_path):
     mark = (max(r[1] for r in rows) // 1000 - 12 * 3_600_000) * 1000
     want = all_at_once(rows, mark)
     assert got == want and {r[1] for r in got} == {"session", "overdue"}
+
+
+class _State:
+    """What a processor asks of its handle, in memory."""
+
+    def __init__(self):
+        self.held, self.timers = {}, set()
+
+    def _of(self, name, *_):
+        state = _State()
+        state.held = self.held.setdefault(name, {})
+        return state
+
+    getValueState = getListState = getMapState = _of
+
+    def get(self):
+        return iter(self.held.get("list", [])) if "list" in self.held else self.held.get("value") or iter(())
+
+    def appendValue(self, x):
+        self.held.setdefault("list", []).append(x)
+
+    def clear(self):
+        self.held.clear()
+
+    def listTimers(self):
+        return list(self.timers)
+
+    registerTimer = lambda self, t: self.timers.add(t)
+    deleteTimer = lambda self, t: self.timers.discard(t)
+    iterator = lambda self: iter(self.held.get("map", {}).items())
+    keys = lambda self: iter(self.held.get("map", {}))
+
+    def put(self, rows):
+        self.held["list"] = list(rows)
+
+    def update(self, x):
+        self.held["value"] = x
+
+    def updateValue(self, k, x):
+        self.held.setdefault("map", {})[k] = x
+
+    def removeKey(self, k):
+        self.held["map"].pop(k)
+
+
+class _Mark:
+    def __init__(self, us):
+        self.ms = us // 1000
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_client_with_very_many_calls_costs_its_rows(tmp_path):
+    """60,000 calls of one open client that never end: each is reported once, and a row does not look at the others."""
+    n, start = 60_000, 1_700_000_000 * 1_000_000
+    session, handle, p = _State(), _State(), live.Live()
+    session.get = lambda: session.held.get("value")
+    handle.getValueState = lambda *_: session
+    p.init(handle)
+    rows = [(start, 0, "open", None)] + [(start + i * 100_000, i, "begin", i) for i in range(1, n)]
+    frames = [pd.DataFrame(rows[i : i + 10_000], columns=["at", "place", "kind", "call"]) for i in range(0, n, 10_000)]
+    began, mark = time.time(), start + n * 100_000
+    out = [f for f in p.handleInputRows(("a",), iter(frames[::-1]), _Mark(0))]
+    out += [f for f in p.handleExpiredTimer(("a",), _Mark(mark), None)]
+    told = pd.concat([f for f in out if len(f)])
+    assert time.time() - began < 20
+    assert sorted(told["call"]) == [i for i in range(1, n) if start + i * 100_000 + live.LIMIT <= mark]
+    assert (told["what"] == "overdue").all() and len(handle.timers) == 1
