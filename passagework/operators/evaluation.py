@@ -5,9 +5,64 @@ results: query_id, doc_id, rank (from 1); relevant: query_id, doc_id.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes by which passages are looked up, and bytes of texts that are looked at together.
+WINDOW, LOOK = 8, 1 << 22
+
+
+def containing(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id, doc_id of all texts that contain a passage. texts: doc_id, text; passages, the stated side: query_id, passage.
+
+    Every place of a text is looked up once among one window of each passage, whatever their number; where a window stands the whole passage is compared.
+    """
+    key, id_ = dict(passages.dtypes)["query_id"], dict(texts.dtypes)["doc_id"]
+    asked = passages.where("passage is not null").select("query_id", F.col("passage").cast("binary").alias("passage")).toArrow()
+    return texts.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_containing(asked), f"query_id {key}, doc_id {id_}")
+
+
+def _slot(windows: np.ndarray) -> np.ndarray:
+    return (windows * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+
+
+def _containing(asked: pa.Table):
+    passages = asked["passage"].to_pylist()
+    short = [j for j, p in enumerate(passages) if len(p) < WINDOW]
+    long_: dict[int, list[tuple[int, int]]] = {}  # window: passage and where in it
+    for j, p in enumerate(passages):
+        if len(p) >= WINDOW:
+            at = max(range(len(p) - WINDOW + 1), key=lambda i: len(set(p[i : i + WINDOW])))
+            long_.setdefault(int.from_bytes(p[at : at + WINDOW], "little"), []).append((j, at))
+
+    def run(batches):
+        query_ids = asked["query_id"].combine_chunks()
+        keys = np.array(sorted(long_), np.uint64)
+        marked = np.zeros(1 << 18, bool)
+        marked[_slot(keys)] = True
+        for batch in batches:
+            each = batch.column(1).to_pylist()
+            ends, whole = np.cumsum([len(x) for x in each], dtype=np.int64), b"".join(each)
+            found = {(j, i) for j in short for i, x in enumerate(each) if passages[j] in x}
+            for start in range(0, max(0, len(whole) - WINDOW + 1), LOOK):
+                for shift in range(WINDOW):
+                    n = (min(LOOK + WINDOW, len(whole) - start) - shift) // WINDOW
+                    windows = np.frombuffer(whole, "<u8", n, start + shift) if n > 0 else keys[:0]
+                    near = np.flatnonzero(marked[_slot(windows)])
+                    near = near[np.isin(windows[near], keys)]
+                    for place, w in zip((near * WINDOW + start + shift).tolist(), windows[near].tolist()):
+                        i = int(np.searchsorted(ends, place, "right"))
+                        low = int(ends[i - 1]) if i else 0
+                        for j, at in long_[w]:
+                            if place - at >= low and place - at + len(passages[j]) <= ends[i] and whole.startswith(passages[j], place - at):
+                                found.add((j, i))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array([j for j, _ in pairs], pa.int64())), batch.column(0).take(pa.array([i for _, i in pairs], pa.int64()))], ["query_id", "doc_id"])
+
+    return run
+
 
 def metrics(results: DataFrame, relevant: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10), k: int = 10) -> DataFrame:
     """recall_at_*, mrr, ndcg, n_relevant, n_results of each query in either frame. Queries without a right answer have 0 and are left out of means."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stem
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import index
+from ..operators import evaluation, index
 from ..streaming import ingest as stream
 from . import search as S
 from .profiles import PROFILES
@@ -216,9 +216,8 @@ class Tables:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        """Documents that contain a passage; the passages are the stated queries, so they alone are broadcast."""
-        b = self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-        return self.documents.crossJoin(F.broadcast(b)).where(F.contains("text", "passage")).select("query_id", "doc_id")
+        """Documents that contain a passage; the passages are the stated queries, so they alone are sent to all tasks."""
+        return evaluation.containing(self.documents.select("doc_id", "text"), self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
 
     def corpus(self) -> S.Corpus:
         docs = self.docs.withColumn("deleted_at", F.lit(None).cast("bigint")).withColumn("superseded_by", F.lit(None).cast("bigint"))

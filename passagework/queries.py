@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vectors as V
-from .functions.scratch import shared_dir
+from .functions.scratch import kept, shared_dir
 from .functions.stem import stem_words
 from .operators import adjacency, compact, evaluation, fusion, graph, index, ingest, logs, resolve, scope
 from .operators import facts as facts_
@@ -756,15 +756,17 @@ _GATE = f"""WITH qrels AS (SELECT item_id AS query_id, doc_id FROM documents, be
     UNION ALL SELECT 'mean ndcg drop', NULL FROM scored HAVING avg(ndcg_0) - avg(ndcg_1) > 2e-2""".replace("q.query_id, any_value", "q.query_id, any_value").replace("SELECT query_id, any_value(best) AS best,", "SELECT q.query_id, any_value(best) AS best,")
 
 
-def _gated(t, after):
-    of = lambda df: evaluation.metrics(df.select("query_id", F.col("id").alias("doc_id"), "rank"), t.qrels)
-    return evaluation.paired_gate(of(_bm25(t, True)), of(after)).select("reason", "query_id")
+def _gated(t, before, after):
+    wanted = kept(t.qrels, "qrels")
+    of = lambda df: kept(evaluation.metrics(df.select("query_id", F.col("id").alias("doc_id"), "rank"), wanted), "metrics")
+    return evaluation.paired_gate(of(before), of(after)).select("reason", "query_id")
 
 
 @query(_GATE.format(after="exact_hits WHERE rank = 10 OR (rank = 1 AND id % 2 = 0)"))
 def paired_gate(t):
     """Against a search that has lost most of its ranks: what the gate has to say of it."""
-    return _gated(t, _bm25(t, True).where("rank = 10 or (rank = 1 and id % 2 = 0)"))
+    found = kept(_bm25(t, True).select("query_id", "id", "rank"), "found")
+    return _gated(t, found, found.where("rank = 10 or (rank = 1 and id % 2 = 0)"))
 
 
 # --- logs -----------------------------------------------------------------------------------------------------------

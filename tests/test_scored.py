@@ -49,3 +49,13 @@ def test_prefixes_are_as_by_shuffled_postings(corpus):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_texts_that_contain_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "LOOK", 64)  # several looks a batch
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choices("abé ", k=rng.randint(0, 300)))) for i in range(200)] + [(500, None), (501, "")]
+    passages = [(i, texts[i * 7][1][5 : 5 + rng.choice([1, 3, 7, 8, 9, 20, 60])]) for i in range(25)] + [(90, "abababab"), (91, ""), (92, None), (93, "aaaaaaaa"), (94, "never met in any text")]
+    got = evaluation.containing(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), spark.createDataFrame(passages, "query_id long, passage string"))
+    assert sorted(map(tuple, got.collect())) == sorted((q, i) for q, p in passages for i, t in texts if p is not None and t is not None and p in t)
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
