@@ -59,3 +59,11 @@ def test_texts_that_contain_a_passage(spark, monkeypatch):
     got = evaluation.containing(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), spark.createDataFrame(passages, "query_id long, passage string"))
     assert sorted(map(tuple, got.collect())) == sorted((q, i) for q, p in passages for i, t in texts if p is not None and t is not None and p in t)
     assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_for_the_first_places_alone(spark, monkeypatch):
+    met, own = [], search.rerank
+    monkeypatch.setattr(search, "rerank", lambda rows, *more: met.append(rows.agg(F.max("position")).first()[0]) or own(rows, *more))
+    t = fixtures.Tables(spark, "/root/testdata/sf0.001")
+    rows = search.search(t.corpus(), t.asked(), ["exact"], Profile(rerank_top=3), limit=5).select("query_id", "position").collect()
+    assert met == [5] and max(r.position for r in rows) == 5
