@@ -167,15 +167,16 @@ class Asked:
 
     def best(self, held: DataFrame, counts: Counts | None, depth: int | None) -> DataFrame:
         """query_id, id, raw, terms of all that can be among the best."""
-        from pyspark.sql.types import StructField, StructType
-        from pyspark.sql.pandas.types import from_arrow_type
-
-        key = StructType([StructField("query_id", from_arrow_type(self.query_ids.type))])
         counts = counts or Counts(0, 0, 0, np.zeros(len(self.words), np.int64))
         weights = np.maximum(LEAST_IDF, np.log((counts.docs - counts.df + 0.5) / (counts.df + 0.5)))
         average = counts.tokens / counts.known if counts.tokens else 1.0
-        kinds = f"query_id {key[0].dataType.simpleString()}, id {dict(held.dtypes)['id']}, raw double, terms array<string>"
-        return held.select("id", "size", "words", "tfs").mapInArrow(_scores(self, weights, average, depth), kinds)
+        return held.select("id", "size", "words", "tfs").mapInArrow(_scores(self, weights, average, depth), self.kinds(dict(held.dtypes)["id"]))
+
+    def kinds(self, id_: str) -> str:
+        """The columns of what can be among the best, for ids of a type."""
+        from pyspark.sql.pandas.types import from_arrow_type
+
+        return f"query_id {from_arrow_type(self.query_ids.type).simpleString()}, id {id_}, raw double, terms array<string>"
 
 
 def _held(words: pa.Array, stems: bool):

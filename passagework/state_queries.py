@@ -112,16 +112,16 @@ def timed_sessions(t):
 def segment_search(t):
     """All documents come in three commits, every tenth goes again; the requests read the asked terms' partitions and of their blocks those that can matter."""
     log = CommitLog(t.spark, f"{shared_dir(t.spark)}/segments-{uuid.uuid4().hex}", {"segments": segments.BLOCKS, "stats": segments.STATS, "removals": segments.REMOVALS, "dead": segments.DEAD}, partitioned={"segments": "part"})
-    texts, nothing = t.documents.select(F.col("doc_id").alias("id"), "text"), F.lit("")
+    tokens = index.tokenised(t.documents, "doc_id", F.col("text"), True)
     for i in range(3):
-        some = texts.where(F.pmod("id", F.lit(3)) == i)
+        some = tokens.where(F.pmod("id", F.lit(3)) == i)
         with log.commit(f"part {i}") as c:
-            c.append("segments", segments.blocks(index.postings(index.tokenised(some, "id", F.col("text"), True)).withColumn("kind", F.lit("exact"))))
-            c.append("stats", segments.stats(some, "id", nothing, F.col("text")))
-    gone = texts.where("id % 10 = 0")
+            c.append("segments", segments.inverted(some, "exact"))
+            c.append("stats", segments.counted(some, "exact"))
+    gone = tokens.where("id % 10 = 0")
     with log.commit("removed") as c:
-        c.append("removals", segments.removals(index.postings(index.tokenised(gone, "id", F.col("text"), True)).withColumn("kind", F.lit("exact"))))
-        c.append("stats", segments.stats(gone, "id", nothing, F.col("text"), -1))
+        c.append("removals", segments.removals(gone.select(F.lit("exact").alias("kind"), F.explode(F.array_distinct("tokens")).alias("term"))))
+        c.append("stats", segments.counted(gone, "exact", -1))
         c.append("dead", gone.select("id"))
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), X.query_terms(F.col("text"), True).alias("terms"))
     there = segments.Index(*(log.table(x) for x in ("segments", "stats", "removals", "dead")))
