@@ -85,7 +85,12 @@ def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     """All values of a binary column, row after row."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    runs = [np.zeros(0, np.uint8)]
+    for chunk in column.cast(pa.binary()).chunks if isinstance(column, pa.ChunkedArray) else [column.cast(pa.binary())]:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else [0, 0]
+        if offsets[-1] > offsets[0]:
+            runs.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    return np.concatenate(runs).view(kind)
 
 
 def _ends(n: np.ndarray) -> np.ndarray:
