@@ -353,4 +353,4 @@ def first_seen_batch(t):
 @query("SELECT a, b, round(jaccard, 6) AS score FROM (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS jaccard FROM k a JOIN k b ON a.id < b.id AND a.digits = b.digits) WHERE jaccard >= 8e-1".replace("SELECT a, b, round", "WITH n AS (SELECT 'k' || p_partkey AS id, regexp_replace(lower(p_name), '[ _-]', '', 'g') AS key FROM part), k AS (SELECT id, regexp_replace(key, '[^0-9]', '', 'g') AS digits, list_distinct(list_transform(range(1, length(key) + 2), lambda i: substr('  ' || key || ' ', i, 3))) AS g FROM n WHERE length(key) >= 5) SELECT a, b, round", 1))
 def alike_names(t):
     own = t.part.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("id"), X.entity_key(F.col("p_name")).alias("key"))
-    return resolve.alike(own).select("a", "b", R("score").alias("score"))
+    return resolve.alike(own, 6).select("a", "b", "score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.scratch import kept
-from ..storage import CommitLog
+from ..storage import CommitLog, Opened
 from . import resolve
 
 #: Folders of the band table.
@@ -19,8 +19,10 @@ PARTS = 16
 SETS = "id string, grams array<string>, tag string"
 BANDS = "band int, key long, id string, part int"
 LINKS = "a string, b string, score double"
+#: Links lie as pairs of blocks of ids and are expanded where the table is read; rows of earlier versions have a, b alone.
+LINKED = Opened(f"{LINKS}, xs array<string>, ys array<string>", lambda df: _opened(df))
 #: Tables of an index, by what follows its name; partitioned ones and their columns.
-TABLES = {"sets": SETS, "bands": BANDS, "links": LINKS}
+TABLES = {"sets": SETS, "bands": BANDS, "links": LINKED}
 
 
 def tables(name: str) -> dict[str, str]:
@@ -48,8 +50,8 @@ def add(read, append, name: str, rows: DataFrame, least: float, alike: Column |
         return rows.sparkSession.createDataFrame([], LINKS)
     every = known.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))).withColumn("_own", F.struct(F.array_sort("grams").alias("grams"), "tag"))
     least_id = F.coalesce(F.min(F.when(~F.col("new"), F.col("id"))), F.min("id")).alias("class")
-    reps = kept(every.groupBy("_own").agg(least_id, F.count(F.lit(1)).alias("n"), F.bool_or("new").alias("grown"), F.bool_and("new").alias("fresh")), "classes")
-    members = kept(every.join(reps.select("_own", "class", "n").hint("merge"), "_own").select("id", "new", "class", "n"), "members")
+    reps = kept(every.groupBy("_own").agg(least_id, F.count(F.lit(1)).alias("n"), F.count_if("new").alias("come"), F.bool_or("new").alias("grown"), F.bool_and("new").alias("fresh")), "classes")
+    members = kept(every.join(reps.select("_own", "class", "n", "come").hint("merge"), "_own").select("id", "new", "class", F.when(F.col("new"), F.col("come")).otherwise(F.col("n") - F.col("come")).alias("n")), "members")
     sets = reps.select("class", "n", "grown", "fresh", "_own.*")
     signed = kept(_bands(sets.where("grown").select(F.col("class").alias("id"), "grams")), "bands")
     fresh = signed.join(sets.where("fresh").select(F.col("class").alias("id")).hint("merge"), "id", "left_semi").select(*signed.columns)
@@ -62,14 +64,26 @@ def add(read, append, name: str, rows: DataFrame, least: float, alike: Column |
     both = both if alike is None else both.where(alike)
     near = kept(both.select("a", "b", X.jaccard(F.col("x.grams"), F.col("y.grams")).alias("score")).where(F.col("score") >= least), "near")
     equal = sets.where("grown and n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("score"))
-    # A new row of one class with all rows of the other, from either side; of two new rows the smaller id comes first.
-    ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(equal)
-    found = resolve.expanded(ways, resolve.blocks(members.where("new")), resolve.blocks(members, "new"), ~F.col("y.new") | (F.col("x.id") < F.col("y.id")))
-    links = kept(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "score"), "links")
+    # New rows of a class with the other's old ones, from either side, and with its new ones; every link is found once.
+    listed = lambda new: resolve.blocks(members.where(F.col("new") == new))
+    young, old, back = kept(listed(True), "young"), kept(listed(False), "old"), near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")
+    found = resolve.products(near.unionByName(equal), young, young)
+    crossed = resolve.products(near.unionByName(back).unionByName(equal), young, old, True)
+    links = kept(found.unionByName(crossed).select("score", "xs", "ys"), "links")
     append(f"{name}_sets", new)
     append(f"{name}_bands", fresh)
-    append(f"{name}_links", links)
-    return links
+    append(f"{name}_links", links.select(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), "score", "xs", "ys"))
+    return resolve.opened(links)
+
+
+def _opened(links: DataFrame, digits: int | None = None) -> DataFrame:
+    pairs = links.select(F.coalesce("xs", F.array("a")).alias("xs"), F.when(F.col("xs").isNull(), F.array("b")).otherwise(F.col("ys")).alias("ys"), "score")
+    return resolve.opened(resolve.rounded(pairs, "score", digits)).select("a", "b", "score")
+
+
+def links(log: CommitLog, name: str, digits: int | None = None) -> DataFrame:
+    """All links of an index; scores are rounded before the blocks are expanded, not once a pair."""
+    return _opened(log.stored(f"{name}_links"), digits)
 
 
 def names(entities: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def incremental_links(t):
     own = t.part.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("id"), X.entity_key(F.col("p_name")).alias("key"), F.pmod("p_partkey", F.lit(10)).alias("batch"))
     for i in range(10):
         lsh.add_names(log, "names", own.where(F.col("batch") == i))
-    return log.table("names_links").select("a", "b", F.round("score", 6).alias("score"))
+    return lsh.links(log, "names", 6)
 
 
 # --- a second look ----------------------------------------------------------------------------------------------------------
