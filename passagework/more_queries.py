@@ -337,11 +337,12 @@ def regression_gate(t):
     return _gated(t, _bm25(t, True), _bm25(t, False, 2).where("query_id % 2 = 0"))
 
 
-@query("SELECT q.vec_id AS query_id, round(avg((v.label = q.label)::INT), 6) AS hit_rate FROM (SELECT query_id AS vec_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS raw FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10) h JOIN embeddings q USING (vec_id) JOIN embeddings v ON v.vec_id = h.id GROUP BY q.vec_id")
+@query("SELECT q.vec_id AS query_id, round(avg((v.label = q.label)::INT), 6) AS hit_rate FROM (SELECT query_id AS vec_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS raw FROM embeddings a, embeddings b)) WHERE rank <= 10) h JOIN embeddings q USING (vec_id) JOIN embeddings v ON v.vec_id = h.id GROUP BY q.vec_id")
 def label_agreement(t):
+    """Of every vector, compared with all; `nearest` takes them in blocks of its size."""
     own = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("mine"))
     other = t.embeddings.select(F.col("vec_id").alias("id"), "label")
-    return _near(t).join(own, "query_id").join(other, "id").groupBy("query_id").agg(R(F.avg((F.col("label") == F.col("mine")).cast("double"))).alias("hit_rate"))
+    return _near(t, asked="true").join(own, "query_id").join(other, "id").groupBy("query_id").agg(R(F.avg((F.col("label") == F.col("mine")).cast("double"))).alias("hit_rate"))
 
 
 @query("SELECT id FROM (SELECT id, lag(id) OVER (PARTITION BY hash ORDER BY id) AS before FROM (SELECT doc_id AS id, source || hash AS hash FROM hashed JOIN documents USING (doc_id))) WHERE before IS NULL".replace("SELECT id FROM", "SELECT count(*) AS n FROM", 1))

@@ -115,8 +115,8 @@ _COSINE = """
             FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""
 
 
-def _near(t, depth=10):
-    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _near(t, depth=10, asked="vec_id % 50 = 0"):
+    queries = t.embeddings.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return index.nearest(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), queries, depth)
 
 
